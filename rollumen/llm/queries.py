@@ -5,21 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rollumen.llm import exact_dedup as exact
-from rollumen.llm.common import documents
+from rollumen.llm import kdtree, packing, pii, quality, toxicity
+from rollumen.llm.bpe import round_trip
+from rollumen.llm.common import documents, labels
 from rollumen.llm.simhash import simhash_groups
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file is; another place can be given to the operators themselves."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.graded(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op7_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(documents(spark, sf_dir)).select("doc_id", "n_private", "text")
+
+
+def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality": op6_quality,
+    "op7_kdtree_topk": op7_kdtree_topk,
+    "op8_pseudonyms": op8_pseudonyms,
+    "op9_mixture_packing": op9_mixture_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE_SQL = {"op5_exact_dedup": exact.ORACLE}
+ORACLE_SQL = {"op5_exact_dedup": exact.ORACLE, "op7_kdtree_topk": kdtree.ORACLE}

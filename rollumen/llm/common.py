@@ -43,7 +43,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """As cut(), for wide rows: a compressed Parquet table in the shared folder, read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,9 @@ from rollumen.llm import exact_dedup as exact
 from rollumen.llm import kdtree, packing, pii, quality, toxicity
 from rollumen.llm.bpe import round_trip
 from rollumen.llm.common import documents, labels
+from rollumen.llm.context_mixing import mixing_scores
 from rollumen.llm.simhash import simhash_groups
+from rollumen.llm.suffix_dedup import suffix_dedup
 
 
 def tokenizer_file(name: str) -> str:
@@ -18,12 +20,20 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_scores(documents(spark, sf_dir))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
@@ -54,7 +64,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_context_mixing": op1_context_mixing,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality": op6_quality,

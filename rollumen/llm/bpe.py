@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEPT, LONG = 150_000, 1 << 20
+KEPT, LONG = 400_000, 1 << 20
 
 
 class RankQueue:
-    """Positions by merge rank; pop() gives the leftmost position of the lowest rank."""
+    """Positions by merge rank; pop() gives the leftmost position of the lowest rank. One queue serves many
+    pre-tokens, as it is empty again when all of a pre-token's entries have been popped."""
 
     def __init__(self, n_ranks: int) -> None:
         self.low = [0] * (n_ranks // 64 + 1)
@@ -38,28 +39,39 @@ class RankQueue:
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.setdefault(rank, [])
-        if not bucket:
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
-        heappush(bucket, position)
+        bucket = self.buckets.get(rank)
+        if bucket:
+            heappush(bucket, position)
+            return
+        self.buckets[rank] = [position]
+        b = rank >> 6
+        if not self.low[b]:
+            a = b >> 6
+            self.mid[a] |= 1 << (b & 63)
+            self.top |= 1 << a
+        self.low[b] |= 1 << (rank & 63)
 
     def pop(self) -> tuple[int, int] | None:
-        if not self.top:
+        """(rank, position), or None if nothing is left."""
+        top = self.top
+        if not top:
             return None
-        a = (self.top & -self.top).bit_length() - 1
-        b = a << 6 | (self.mid[a] & -self.mid[a]).bit_length() - 1
-        rank = b << 6 | (self.low[b] & -self.low[b]).bit_length() - 1
+        a = (top & -top).bit_length() - 1
+        word = self.mid[a]
+        b = a << 6 | (word & -word).bit_length() - 1
+        word = self.low[b]
+        rank = b << 6 | (word & -word).bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.low[b] &= self.low[b] - 1
-            if not self.low[b]:
-                self.mid[a] &= self.mid[a] - 1
-                if not self.mid[a]:
-                    self.top &= self.top - 1
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        del self.buckets[rank]
+        word &= word - 1
+        self.low[b] = word
+        if not word:
+            self.mid[a] &= self.mid[a] - 1
+            if not self.mid[a]:
+                self.top &= top - 1
+        return rank, bucket[0]
 
 
 class Encoder:
@@ -68,7 +80,8 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import regex
 
-        self.ranks, self.n_ranks = ranks, max(ranks.values()) + 1
+        self.ranks = ranks
+        self.queue = RankQueue(max(ranks.values()) + 1)
         self.pieces = regex.compile(pattern)
         self.odd = regex.compile(r"\A\s|\s\s|\s\Z")
         self.table = {r: b for b, r in ranks.items()}
@@ -84,35 +97,39 @@ class Encoder:
         """Ids of one pre-token."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        n, get = len(piece), self.ranks.get
-        end = list(range(1, n + 1))  # of the part that starts here; 0: merged into the part before
-        before = list(range(-1, n - 1))
-        queue = RankQueue(self.n_ranks)
+        n, get, queue = len(piece), self.ranks.get, self.queue
+        push, pop = queue.push, queue.pop
+        end = list(range(1, n + 2))  # of the part that starts here; 0: merged into the part before
+        before = list(range(-1, n))
         for i in range(n - 1):
             if (rank := get(piece[i : i + 2])) is not None:
-                queue.push(rank, i)
-        while (got := queue.pop()) is not None:
+                push(rank, i)
+        while (got := pop()) is not None:
             rank, i = got
             j = end[i]
-            if not j or j >= n or get(piece[i : end[j]]) != rank:
+            if not j or j >= n:
                 continue  # stale
-            end[i], end[j] = end[j], 0
-            if end[i] < n:
-                before[end[i]] = i
-                if (rank := get(piece[i : end[end[i]]])) is not None:
-                    queue.push(rank, i)
-            if (h := before[i]) >= 0 and (rank := get(piece[h : end[i]])) is not None:
-                queue.push(rank, h)
+            k = end[j]
+            if get(piece[i:k]) != rank:
+                continue  # stale
+            end[i], end[j] = k, 0
+            if k < n:
+                before[k] = i
+                if (rank := get(piece[i : end[k]])) is not None:
+                    push(rank, i)
+            if (h := before[i]) >= 0 and (rank := get(piece[h:k])) is not None:
+                push(rank, h)
         out, i = [], 0
         while i < n:
-            out.append(self.ranks[piece[i : end[i]]])
-            i = end[i]
+            j = end[i]
+            out.append(self.ranks[piece[i:j]])
+            i = j
         return out
 
     def packed(self, token: str) -> bytes:
         """A pre-token's ids as little-endian unsigned 32-bit integers."""
         if (got := self.tokens.get(token)) is None:
-            got = np.array(self.merge(token.encode()), "<u4").tobytes()
+            got = array("I", self.merge(token.encode())).tobytes()
             if len(token) <= 64:
                 if len(self.tokens) >= KEPT:
                     self.tokens.clear()

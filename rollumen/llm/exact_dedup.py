@@ -61,6 +61,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
+    """The rows of docs that stay: of equal texts one row, with the smallest id (null ids last, then the first row)."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    norm = normalised(F.col(text_col))
+    digests = cut(
+        rows.select(
+            F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("doc_id"),
+            F.sha2(norm, 256).alias("digest"),
+            F.length(norm).alias("size"),
+            F.xxhash64(norm).alias("check"),
+            F.spark_partition_id().alias("run"),
+        )
+    )
+    last = digests.agg(F.max("run").alias("n")).first()["n"]
+    merged = merge_runs(digests, 0 if last is None else last + 1, fan_in)
+    return rows.join(merged.select(F.col("keep_id.row").alias("_row")), "_row", "left_semi").select(docs.columns)
+
+
 ORACLE = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents

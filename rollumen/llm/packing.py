@@ -17,7 +17,9 @@ are packed as often as they come. An empty table gives no pieces. Other columns
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -26,52 +28,104 @@ from pyspark.sql import functions as F
 
 from rollumen.llm.common import prefix_sums, stored
 
-LENGTH, QUANTUM, END, KEPT = 4096, 512, 2, 200_000
+LENGTH, QUANTUM, END, KEPT = 4096, 512, 2, 600_000
 #: White space for Python's split() that the tokenizer's pattern doesn't count as such.
 CONTROLS = "\x1c\x1d\x1e\x1f"
 
-_LOADED: dict[str, tuple] = {}
+#: Marks that the tokenizer parts from letters before them.
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
+_LOADED: dict[str, Words] = {}
 
-def tokenizer(path: str):
-    if path not in _LOADED:
+
+class Words:
+    """Ids of words, as little-endian unsigned 32-bit integers; kept for up to KEPT words, then anew."""
+
+    def __init__(self, path: str) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _LOADED[path] = (Tokenizer.from_file(path), {})
+        self.own = Tokenizer.from_file(path)
+        self.narrow = self.own.get_vocab_size() <= 1 << 16
+        self.kept: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.closes = np.zeros(self.own.get_vocab_size(), bool)
+        for token, i in self.own.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for k in range(0, len(texts), 5000):
+            out += [array("I", e.ids).tobytes() for e in self.own.encode_batch_fast(texts[k : k + 5000], add_special_tokens=False)]
+        return out
+
+    def alphabetic(self, words: list[str]) -> list[bytes]:
+        """Words of letters alone: the last id of each closes a word, so that many can be encoded as one text."""
+        out = []
+        for k in range(0, len(words), 1000):
+            part = words[k : k + 1000]
+            ids = np.array(self.own.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(part):
+                data, ends = ids.tobytes(), (ends * 4).tolist()
+                out += [data[a:b] for a, b in zip([0, *ends], ends)]
+            else:
+                out += self.plain(part)
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        parted, whole = [], []
+        for w in new:
+            core = w.rstrip(MARKS)
+            if core.isalpha():
+                parted.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
+            else:
+                whole.append(w)
+        if len(self.letters) > KEPT:
+            self.letters.clear()
+        missing = list({c for _, c, _ in parted}.difference(self.letters))
+        self.letters.update(zip(missing, self.alphabetic(missing)))
+        tails = list({t for _, _, t in parted if t})
+        of = dict(zip(tails, self.plain(tails)))
+        of[""] = b""
+        self.kept.update((w, self.letters[c] + of[t]) for w, c, t in parted)
+        self.kept.update(zip(whole, self.plain(whole)))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Whole texts. The tokenizer drops white space and never joins what it parts."""
+        split = [[t] if any(c in t for c in CONTROLS) else t.split() for t in texts]
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        new: set[str] = set()
+        for words in split:
+            new.update(filterfalse(self.kept.__contains__, words))
+        if new:
+            self.learn(list(new))
+        return [b"".join(map(self.kept.__getitem__, words)) for words in split]
+
+
+def tokenizer(path: str) -> Words:
+    if path not in _LOADED:
+        _LOADED[path] = Words(path)
     return _LOADED[path]
 
 
-def encode_all(texts: list[str], path: str) -> list[bytes]:
-    """Ids of whole texts as little-endian unsigned 32-bit integers. The tokenizer drops white space and never joins
-    what it parts, so words are encoded once and kept, up to KEPT of them."""
-    own, kept = tokenizer(path)
-    split = [[t] if any(c in t for c in CONTROLS) else t.split() for t in texts]
-    if new := list(set().union(*split).difference(kept)):
-        if len(kept) > KEPT:
-            kept.clear()
-            new = list(set().union(*split))
-        for k in range(0, len(new), 10_000):
-            for w, e in zip(new[k : k + 10_000], own.encode_batch_fast(new[k : k + 10_000], add_special_tokens=False)):
-                kept[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(kept.__getitem__, words)) for words in split]
-
-
 def tokenised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """(row, doc_id, source, n, ids): ids hold every token and the end; row names the input row."""
     stop = np.array([end], "<u4").tobytes()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = tokenizer(path)
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                b = whole.slice(k, 256)
-                got = [x + stop for x in encode_all(b.column(3).to_pylist(), path)]
+            for k in range(0, whole.num_rows, 1000):
+                b = whole.slice(k, 1000)
+                got = [x + stop for x in own.encode_all(b.column(3).to_pylist())]
                 n = pa.array([len(x) // 4 for x in got], pa.int64())
                 # two bytes hold any id of a vocabulary below 65,536
-                narrow = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if tokenizer(path)[0].get_vocab_size() <= 65536 else x for x in got]
+                narrow = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if own.narrow else x for x in got]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), n, pa.array(narrow, pa.binary())], names=["row", "doc_id", "source", "n", "ids"])
 
     rows = docs.select(

@@ -237,14 +237,13 @@ def bucket_links(limit: int):
 def near_links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Links (fa, fb) between distinct fingerprints: they span every group that distances up to the limit link."""
     parts, thresholds = plan_parts(fps, limit)
-    options = []
+    near = []
     for i, (part, t) in enumerate(zip(parts, thresholds)):
-        masks = [sum(1 << k for k in c) for d in range(t + 1) for c in combinations(range(len(part)), d)]
-        own = gather(part)
-        options += [F.struct(F.lit(i).alias("i"), own.bitwiseXOR(F.lit(x).cast("long")).alias("v")) for x in masks]
-    filed = fps.select("fp", F.explode(F.array(*options)).alias("x")).select(
-        "fp", F.col("x.i").alias("i"), F.col("x.v").alias("v")
-    )
+        masks = F.array(*[F.lit(sum(1 << k for k in c)).cast("long") for d in range(t + 1) for c in combinations(range(len(part)), d)])
+        near.append((i, masks if t >= 0 else None, F.col(f"v{i}")))
+    held = fps.select("fp", *[gather(part).alias(f"v{i}") for i, part in enumerate(parts)])
+    probes = F.concat(*[F.transform(m, lambda x, i=i, v=v: F.struct(F.lit(i).alias("i"), v.bitwiseXOR(x).alias("v"))) for i, m, v in near if m is not None])
+    filed = held.select("fp", F.explode(probes).alias("x")).select("fp", F.col("x.i").alias("i"), F.col("x.v").alias("v"))
     blocks = filed.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
     placed = (
@@ -274,3 +273,45 @@ def simhash_groups(docs: DataFrame, limit: int = LIMIT, words: int = WORDS) -> D
     return own.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, s): the distinct hashes of a text's shingles of `size` words, as array<long>."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            out = []
+            for text in text_bytes(b.column(1)):
+                w = text.lower().split()
+                own = {xxh64_intdigest(b" ".join(w[k : k + size])) for k in range(max(1, len(w) - size + 1))}
+                out.append(np.fromiter(own, "<u8", len(own)).view("<i8"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "s"])
+
+    kept = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return kept.mapInArrow(scan, "doc_id long, s array<long>")
+
+
+def near_duplicates(docs: DataFrame, limit: int = 7, words: int = 2, size: int = 5, least: float = 0.8) -> DataFrame:
+    """docs (doc_id unique, text) -> doc_id, component_id: fingerprints of `words`-word shingles within `limit` bits
+    propose links, and only those stay whose texts share `least` of their `size`-word shingles (Jaccard)."""
+    own = cut(fingerprints(docs, words))
+    fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    links = near_links(fps, limit)
+    far = links.join(fps.select(F.col("fp").alias("fa"), F.col("rep").alias("a")), "fa").join(
+        fps.select(F.col("fp").alias("fb"), F.col("rep").alias("b")), "fb"
+    )
+    same = own.join(fps, "fp").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    pairs = cut(far.select("a", "b").unionByName(same))
+    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = cut(shingle_sets(docs.join(ends, "doc_id", "left_semi"), size))
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(
+        sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b"
+    )
+    shared = F.size(F.array_intersect("sa", "sb"))
+    alike = both.filter(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    comps = connected_components(alike)
+    return own.join(comps, own["doc_id"] == comps["node"], "left").select(
+        "doc_id", F.coalesce("component", "doc_id").alias("component_id")
+    )

@@ -237,12 +237,13 @@ def bucket_links(limit: int):
 def near_links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Links (fa, fb) between distinct fingerprints: they span every group that distances up to the limit link."""
     parts, thresholds = plan_parts(fps, limit)
-    near = []
-    for i, (part, t) in enumerate(zip(parts, thresholds)):
-        masks = F.array(*[F.lit(sum(1 << k for k in c)).cast("long") for d in range(t + 1) for c in combinations(range(len(part)), d)])
-        near.append((i, masks if t >= 0 else None, F.col(f"v{i}")))
     held = fps.select("fp", *[gather(part).alias(f"v{i}") for i, part in enumerate(parts)])
-    probes = F.concat(*[F.transform(m, lambda x, i=i, v=v: F.struct(F.lit(i).alias("i"), v.bitwiseXOR(x).alias("v"))) for i, m, v in near if m is not None])
+
+    def probed(i: int, part: list[int], t: int):
+        masks = F.array(*[F.lit(sum(1 << k for k in c)).cast("long") for d in range(t + 1) for c in combinations(range(len(part)), d)])
+        return F.transform(masks, lambda x: F.struct(F.lit(i).alias("i"), F.col(f"v{i}").bitwiseXOR(x).alias("v")))
+
+    probes = F.concat(*[probed(i, part, t) for i, (part, t) in enumerate(zip(parts, thresholds)) if t >= 0])
     filed = held.select("fp", F.explode(probes).alias("x")).select("fp", F.col("x.i").alias("i"), F.col("x.v").alias("v"))
     blocks = filed.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")

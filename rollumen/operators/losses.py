@@ -92,7 +92,7 @@ def vanilla(tokens: DataFrame, low: float = 0.2, high: float = 0.2, c: float = 3
 def gspo(tokens: DataFrame, low: float = 0.2, high: float = 0.2) -> DataFrame:
     """The ratio is that of the row's mean difference; always the mean of rows' means."""
     w = Window.partitionBy("row_id")
-    mean = masked_sum(_D).over(w) / F.greatest(F.sum("mask").over(w), F.lit(1))
+    mean = masked_sum(_D, window=w) / F.greatest(F.sum("mask").over(w), F.lit(1))
     r = F.exp(F.least(mean, F.lit(10.0)))
     df = tokens.withColumn("_r", r)
     l1, l2 = -_A * F.col("_r"), -_A * clip(F.col("_r"), 1 - low, 1 + high)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def masked_sum(value, mask="mask") -> Column:
-    """Aggregate: sum of value * mask where mask > 0."""
-    return F.coalesce(F.sum(F.when(_col(mask) > 0, _col(value) * _col(mask))), F.lit(0.0))
+def masked_sum(value, mask="mask", window: WindowSpec | None = None) -> Column:
+    """Aggregate (or window aggregate): sum of value * mask where mask > 0."""
+    total = F.sum(F.when(_col(mask) > 0, _col(value) * _col(mask)))
+    return F.coalesce(total if window is None else total.over(window), F.lit(0.0))
 
 
 def masked_mean(value, mask="mask") -> Column:

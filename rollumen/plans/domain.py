@@ -50,3 +50,8 @@ TOK0 = f"""tok0 AS (SELECT l_orderkey AS row_id,
 TOK = f"{TRAJ}, {TOK0}, tok AS (SELECT tok0.*, traj.uid FROM tok0 JOIN traj USING (row_id))"
 #: One row for each trajectory with tokens: score, length (valid tokens).
 ROWS = f"{TOK}, sc AS (SELECT row_id, uid, sum(reward) AS score, sum(mask) AS length FROM tok GROUP BY row_id, uid)"
+
+
+def scores_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, uid, score, length) of trajectories with tokens."""
+    return tokens(spark, sf_dir).groupBy("row_id", "uid").agg(F.sum("reward").alias("score"), F.sum("mask").alias("length"))

@@ -79,7 +79,7 @@ simple("text_without_think", lambda: t.without_think("sol"), r"regexp_replace(so
 simple("text_after_last_think", lambda: t.after_last_think("sol"), "string_split(sol, '</think>')[-1]")
 simple("text_qa_normalized", lambda: t.qa_normalized("sol"), _QA.format("sol"))
 simple("text_em_normalized", lambda: t.em_normalized("sol"), _EM.format("sol"))
-simple("text_first_number", lambda: t.first_number("sol"), _NUM.format("sol"))
+simple("text_first_number", lambda: t.first_number("sol").cast("double"), f"CAST({_NUM.format('sol')} AS DOUBLE)")
 simple(
     "text_a_or_b", lambda: t.a_or_b("sol"),
     r"coalesce('(' || coalesce(nullif(regexp_extract(lower(" + strip("sol") + r"), '\(([ab])\)', 1), ''), nullif(regexp_extract(lower(" + strip("sol") + r"), '\b([ab])\b', 1), '')) || ')', '')",

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one stands in only where the session names none (tests)."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if named is None:
+        named = tempfile.mkdtemp(prefix="rollumen-")
+        sc.setCheckpointDir(named)
+    return str(named)
 
 
 def fixed(df: DataFrame) -> DataFrame:
-    """df as written to the folder of spark.checkpoint.dir: the same rows in the same partitions for every later use. A
-    temporary folder stands in only where the session names none (tests)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="rollumen-"))
+    """df as written to the checkpoint folder: the same rows in the same partitions for every later use."""
+    checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -30,7 +30,7 @@ def token_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (-(F.col("l_quantity") / 50)).alias("logp_new"),
         (-0.1 - F.col("l_tax") * 5).alias("logp_rollout"),
         (-0.1 - F.col("l_discount") * 2).alias("logp_ref"),
-        (F.floor(F.col("l_extendedprice") / 100) / 1000).alias("reward"),
+        (F.floor(F.col("l_extendedprice") / 100) / 997.0).alias("reward"),
         (F.col("l_quantity") / 50).alias("value"),
         (0.3 + F.col("l_tax")).alias("sum_pi_sq"),
     )
@@ -45,7 +45,7 @@ TRAJ = "traj AS (SELECT o_orderkey AS row_id, o_custkey AS uid, o_orderpriority
 TOK0 = f"""tok0 AS (SELECT l_orderkey AS row_id,
   CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(ORDER)}) - 1 AS INTEGER) AS t,
   CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END AS mask, -0.1 - l_discount * 5 AS logp_old, -(l_quantity / 50) AS logp_new,
-  -0.1 - l_tax * 5 AS logp_rollout, -0.1 - l_discount * 2 AS logp_ref, floor(l_extendedprice / 100) / 1000 AS reward,
+  -0.1 - l_tax * 5 AS logp_rollout, -0.1 - l_discount * 2 AS logp_ref, floor(l_extendedprice / 100) / 997.0 AS reward,
   l_quantity / 50 AS value, 0.3 + l_tax AS sum_pi_sq FROM lineitem)"""
 TOK = f"{TRAJ}, {TOK0}, tok AS (SELECT tok0.*, traj.uid FROM tok0 JOIN traj USING (row_id))"
 #: One row for each trajectory with tokens: score, length (valid tokens).

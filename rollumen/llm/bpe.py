@@ -1,12 +1,12 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token's bytes form a linked list. Every adjacent pair that has a merge rank is filed in the bucket of its rank; a
-bitmap of three levels tells which buckets hold positions, and find-first-set on it gives the lowest rank. A bucket
+bitmap of two levels (words of 1024 ranks) tells which buckets hold positions, and find-first-set on it gives the lowest rank. A bucket
 gives its leftmost position first. Entries whose pair has changed since are skipped when they come up. So a pre-token
 of n bytes costs about n log n however long it is, where rescanning the pairs costs n squared.
 
-White-space-separated pieces repeat, so their ids are kept, up to KEPT pieces a worker (then the store starts anew:
-results don't depend on it). A text is split at single spaces where that gives the same pre-tokens as the pattern on
+White-space-separated pieces repeat, so their ids are kept in two generations of up to KEPT pieces a worker (twice as
+many pre-tokens); results don't depend on it. A text is split at single spaces where that gives the same pre-tokens as the pattern on
 the whole text, which holds unless the text starts or ends with white space or has two such characters in a row.
 
 Nulls: a null text is the empty one and has no ids. Repeated rows give repeated results; an empty table gives none.
@@ -25,53 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEPT, LONG = 400_000, 1 << 20
-
-
-class RankQueue:
-    """Positions by merge rank; pop() gives the leftmost position of the lowest rank. One queue serves many
-    pre-tokens, as it is empty again when all of a pre-token's entries have been popped."""
-
-    def __init__(self, n_ranks: int) -> None:
-        self.low = [0] * (n_ranks // 64 + 1)
-        self.mid = [0] * (len(self.low) // 64 + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        b = rank >> 6
-        if not self.low[b]:
-            a = b >> 6
-            self.mid[a] |= 1 << (b & 63)
-            self.top |= 1 << a
-        self.low[b] |= 1 << (rank & 63)
-
-    def pop(self) -> tuple[int, int] | None:
-        """(rank, position), or None if nothing is left."""
-        top = self.top
-        if not top:
-            return None
-        a = (top & -top).bit_length() - 1
-        word = self.mid[a]
-        b = a << 6 | (word & -word).bit_length() - 1
-        word = self.low[b]
-        rank = b << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        del self.buckets[rank]
-        word &= word - 1
-        self.low[b] = word
-        if not word:
-            self.mid[a] &= self.mid[a] - 1
-            if not self.mid[a]:
-                self.top &= top - 1
-        return rank, bucket[0]
+from rollumen.llm.common import Generations, no_collection
+
+KEPT, LONG = 350_000, 1 << 20
+BIT = [1 << k for k in range(1024)]
 
 
 class Encoder:
@@ -81,12 +38,11 @@ class Encoder:
         import regex
 
         self.ranks = ranks
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        self.words = [0] * ((max(ranks.values()) >> 10) + 1)
         self.pieces = regex.compile(pattern)
         self.odd = regex.compile(r"\A\s|\s\s|\s\Z")
         self.table = {r: b for b, r in ranks.items()}
-        self.spaced: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.spaced, self.tokens = Generations(KEPT, self.spaced_ids), Generations(2 * KEPT, self.packed)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Encoder:
@@ -94,18 +50,39 @@ class Encoder:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token. buckets: positions by merge rank, each a heap; words and top: a bitmap of the buckets that
+        hold any and a bitmap of the words that do. The steps stand in line, as most pre-tokens are a few bytes long."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        n, get, queue = len(piece), self.ranks.get, self.queue
-        push, pop = queue.push, queue.pop
+        n, get = len(piece), self.ranks.get
+        words, buckets, top = self.words, {}, 0  # words are all 0 again at the end
         end = list(range(1, n + 2))  # of the part that starts here; 0: merged into the part before
         before = list(range(-1, n))
         for i in range(n - 1):
-            if (rank := get(piece[i : i + 2])) is not None:
-                push(rank, i)
-        while (got := pop()) is not None:
-            rank, i = got
+            rank = get(piece[i : i + 2])
+            if rank is not None:
+                if rank in buckets:
+                    buckets[rank].append(i)  # positions rise, so this is a heap
+                else:
+                    buckets[rank] = [i]
+                    w = rank >> 10
+                    words[w] |= BIT[rank & 1023]
+                    top |= BIT[w]
+        while top:
+            first = top & -top
+            w = first.bit_length() - 1
+            word = words[w]
+            bit = word & -word
+            rank = w << 10 | bit.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                words[w] = word ^ bit
+                if word == bit:
+                    top ^= first
             j = end[i]
             if not j or j >= n:
                 continue  # stale
@@ -113,12 +90,21 @@ class Encoder:
             if get(piece[i:k]) != rank:
                 continue  # stale
             end[i], end[j] = k, 0
+            h = before[i]
             if k < n:
                 before[k] = i
-                if (rank := get(piece[i : end[k]])) is not None:
-                    push(rank, i)
-            if (h := before[i]) >= 0 and (rank := get(piece[h:k])) is not None:
-                push(rank, h)
+                fresh = ((i, get(piece[i : end[k]])), (h, get(piece[h:k]) if h >= 0 else None))
+            else:
+                fresh = ((h, get(piece[h:k]) if h >= 0 else None),)
+            for at, rank in fresh:
+                if rank is not None:
+                    if rank in buckets:
+                        heappush(buckets[rank], at)
+                    else:
+                        buckets[rank] = [at]
+                        w = rank >> 10
+                        words[w] |= BIT[rank & 1023]
+                        top |= BIT[w]
         out, i = [], 0
         while i < n:
             j = end[i]
@@ -128,39 +114,27 @@ class Encoder:
 
     def packed(self, token: str) -> bytes:
         """A pre-token's ids as little-endian unsigned 32-bit integers."""
-        if (got := self.tokens.get(token)) is None:
-            got = array("I", self.merge(token.encode())).tobytes()
-            if len(token) <= 64:
-                if len(self.tokens) >= KEPT:
-                    self.tokens.clear()
-                self.tokens[token] = got
-        return got
+        return array("I", self.merge(token.encode())).tobytes()
 
     def spaced_ids(self, word: str) -> bytes:
         """Ids of a space and a word without white space around it."""
-        if (got := self.spaced.get(word)) is None:
-            got = b"".join(map(self.packed, self.pieces.findall(" " + word)))
-            if len(word) <= 64:
-                if len(self.spaced) >= KEPT:
-                    self.spaced.clear()
-                self.spaced[word] = got
-        return got
+        return b"".join(map(self.tokens.__getitem__, self.pieces.findall(" " + word)))
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, packed."""
         if not text:
             return b""
+        ids = self.tokens.__getitem__
         if self.odd.search(text):
             if len(text) <= LONG:
-                return b"".join(map(self.packed, self.pieces.findall(text)))
+                return b"".join(map(ids, self.pieces.findall(text)))
             found, parts = self.pieces.finditer(text), []
-            while part := b"".join(self.packed(m[0]) for m in islice(found, 1 << 16)):
+            while part := b"".join(ids(m[0]) for m in islice(found, 1 << 16)):
                 parts.append(part)
             return b"".join(parts)
         words = text.split(" ")
-        get, more = self.spaced.get, self.spaced_ids
-        head = b"".join(map(self.packed, self.pieces.findall(words[0])))
-        return head + b"".join([get(w) or more(w) for w in words[1:]])
+        head = b"".join(map(ids, self.pieces.findall(words[0])))
+        return head + b"".join(map(self.spaced.__getitem__, words[1:]))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, array("I", ids)))
@@ -181,7 +155,9 @@ def over_texts(docs: DataFrame, schema: str, rows: Callable[[list, list[str]], I
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from rows(b.column(0), b.column(1))
+            with no_collection():
+                out = list(rows(b.column(0), b.column(1)))
+            yield from out
 
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(scan, schema)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -80,3 +81,36 @@ def prefix_sums(df: DataFrame, keys: list[str], value: str, out: str) -> DataFra
         .withColumn(out, F.col("_before") + F.sum(value).over(w) - F.col(value))
         .drop("_part", "_before")
     )
+
+
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """Without the collector of cycles: it would walk stores of millions of words, and none of them is in a cycle."""
+    import gc
+
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+class Generations(dict):
+    """A store of up to 2 * size entries: when the young generation is full it becomes the old one, and what is asked for
+    again moves back. Results never depend on what is held. compute(key) makes a value."""
+
+    def __init__(self, size: int, compute) -> None:
+        super().__init__()
+        self.size, self.compute, self.old = size, compute, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.compute(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got

@@ -52,13 +52,14 @@ def _group(c: Column) -> Column:
     return c.over(Window.partitionBy("uid"))
 
 
-_N = F.count(F.lit(1))
+def _n() -> Column:
+    return F.count(F.lit(1))
 
 
 @register("grpo")
 def grpo(rows: DataFrame, epsilon: float = 1e-6, by_std: bool = True) -> DataFrame:
     """(s - mean) / (sample std + epsilon); a group of one has mean 0 and std 1."""
-    one = _group(_N) == 1
+    one = _group(_n()) == 1
     mean = F.when(one, 0.0).otherwise(_group(F.avg("score")))
     std = F.when(one, 1.0).otherwise(_group(F.stddev_samp("score")))
     centred = F.col("score") - mean
@@ -68,7 +69,7 @@ def grpo(rows: DataFrame, epsilon: float = 1e-6, by_std: bool = True) -> DataFra
 @register("grpo_vectorized")
 def grpo_vectorized(rows: DataFrame, epsilon: float = 1e-6, by_std: bool = True) -> DataFrame:
     """As grpo, but the variance has a floor of epsilon instead of an addend to the std."""
-    n, s1, s2 = _group(_N), _group(F.sum("score")), _group(F.sum(F.col("score") ** 2))
+    n, s1, s2 = _group(_n()), _group(F.sum("score")), _group(F.sum(F.col("score") ** 2))
     var = (s2 - s1 * s1 / n) / F.greatest(n - 1, F.lit(1))
     std = F.when(n == 1, 1.0).otherwise(F.sqrt(F.greatest(var, F.lit(epsilon))))
     centred = F.col("score") - F.when(n == 1, 0.0).otherwise(s1 / n)
@@ -80,24 +81,25 @@ def grpo_passk(rows: DataFrame, epsilon: float = 1e-6, by_std: bool = True) -> D
     """Only the best row of a group (the lowest row_id among equals) gets best - second best; a group of one is an error."""
     w = Window.partitionBy("uid").orderBy(F.desc("score"), "row_id")
     first, second = (F.nth_value("score", k).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for k in (1, 2))
-    n = _group(_N)
-    gap = F.when(n < 2, F.raise_error(F.lit("pass@k needs groups of two rows at least")).cast("double")).otherwise(first - second)
+    n = _group(_n())
+    gap = first - second
     if by_std:
         gap = gap / (_group(F.stddev_samp("score")) + epsilon)
-    return rows.withColumn("advantage", F.when(F.row_number().over(w) == 1, gap).otherwise(0.0))
+    small = F.raise_error(F.lit("pass@k needs groups of two rows at least")).cast("double")
+    return rows.withColumn("advantage", F.when(n < 2, small).when(F.row_number().over(w) == 1, gap).otherwise(0.0))
 
 
 @register("rloo")
 def rloo(rows: DataFrame) -> DataFrame:
     """s minus the mean of the others; a group of one keeps its score."""
-    n = _group(_N)
+    n = _group(_n())
     return rows.withColumn("advantage", F.when(n > 1, (F.col("score") - _group(F.avg("score"))) * n / F.nullif(n - 1, F.lit(0))).otherwise(F.col("score")))
 
 
 @register("rloo_vectorized")
 def rloo_vectorized(rows: DataFrame) -> DataFrame:
     """As rloo, but a group of one gets 0."""
-    n = _group(_N)
+    n = _group(_n())
     return rows.withColumn("advantage", F.when(n > 1, (n * F.col("score") - _group(F.sum("score"))) / F.greatest(n - 1, F.lit(1))).otherwise(0.0))
 
 
@@ -105,14 +107,14 @@ def rloo_vectorized(rows: DataFrame) -> DataFrame:
 def opo(rows: DataFrame) -> DataFrame:
     """s minus the length-weighted mean of the group; 0 for the baseline of a group of one."""
     base = _group(F.sum(F.col("length") * F.col("score"))) / F.nullif(_group(F.sum("length")).cast("double"), F.lit(0.0))
-    return rows.withColumn("advantage", F.col("score") - F.when(_group(_N) == 1, 0.0).otherwise(base))
+    return rows.withColumn("advantage", F.col("score") - F.when(_group(_n()) == 1, 0.0).otherwise(base))
 
 
 @register("gpg")
 def gpg(rows: DataFrame, f_norm: float = 1.0) -> DataFrame:
     """alpha (s - mean) / f_norm with alpha = rows / rows of a score other than 0, over the whole batch."""
-    counts = rows.agg(_N.alias("_n"), F.count_if(F.col("score") != 0).alias("_k"))
-    mean = F.when(_group(_N) == 1, 0.0).otherwise(_group(F.avg("score")))
+    counts = rows.agg(_n().alias("_n"), F.count_if(F.col("score") != 0).alias("_k"))
+    mean = F.when(_group(_n()) == 1, 0.0).otherwise(_group(F.avg("score")))
     alpha = F.col("_n") / F.greatest("_k", F.lit(1))
     return rows.withColumn("_c", F.col("score") - mean).crossJoin(F.broadcast(counts)).withColumn("advantage", alpha * F.col("_c") / f_norm).drop("_c", "_n", "_k")
 
@@ -120,7 +122,7 @@ def gpg(rows: DataFrame, f_norm: float = 1.0) -> DataFrame:
 @register("reinforce_plus_plus_baseline")
 def reinforce_plus_plus_baseline(tokens: DataFrame) -> DataFrame:
     """s - group mean on every token, whitened over the batch's valid tokens, times the mask."""
-    rows = scored(tokens).withColumn("advantage", F.col("score") - F.when(_group(_N) == 1, 0.0).otherwise(_group(F.avg("score"))))
+    rows = scored(tokens).withColumn("advantage", F.col("score") - F.when(_group(_n()) == 1, 0.0).otherwise(_group(F.avg("score"))))
     spread = tokens.join(rows.select("row_id", F.col("advantage").alias("_raw")), "row_id")
     return masked_whiten(spread, "_raw", "_white").withColumn("advantage", F.col("_white") * F.col("mask")).drop("_raw", "_white")
 

@@ -54,7 +54,13 @@ def _weighted(loss: Column, tokens: DataFrame) -> Column:
     return loss * F.col("is_weight") if "is_weight" in tokens.columns else loss
 
 
-_A, _D = F.col("advantage"), F.col("logp_new") - F.col("logp_old")
+def _adv() -> Column:
+    return F.col("advantage")
+
+
+def _diff() -> Column:
+    """Log of the probability ratio."""
+    return F.col("logp_new") - F.col("logp_old")
 
 
 def _share(c: Column) -> Column:
@@ -80,60 +86,60 @@ def vanilla(tokens: DataFrame, low: float = 0.2, high: float = 0.2, c: float = 3
     """PPO with a clipped ratio, and a bound c for negative advantages."""
     if c <= 1:
         raise ValueError("the bound for negative advantages must be above 1")
-    d = clip(_D, -20.0, 20.0)
+    d = clip(_diff(), -20.0, 20.0)
     r = F.exp(d)
-    l1, l2, l3 = -_A * r, -_A * clip(r, 1 - low, 1 + high), -_A * c
+    l1, l2, l3 = -_adv() * r, -_adv() * clip(r, 1 - low, 1 + high), -_adv() * c
     worst = F.greatest(l1, l2)
-    df = tokens.withColumn("loss", _weighted(F.when(_A < 0, F.least(l3, worst)).otherwise(worst), tokens))
-    return _with_metrics(df, mode, width, clipfrac=l2 > l1, ppo_kl=-d, clipfrac_lower=(worst > l3) & (_A < 0))
+    df = tokens.withColumn("loss", _weighted(F.when(_adv() < 0, F.least(l3, worst)).otherwise(worst), tokens))
+    return _with_metrics(df, mode, width, clipfrac=l2 > l1, ppo_kl=-d, clipfrac_lower=(worst > l3) & (_adv() < 0))
 
 
 @register("gspo")
 def gspo(tokens: DataFrame, low: float = 0.2, high: float = 0.2) -> DataFrame:
     """The ratio is that of the row's mean difference; always the mean of rows' means."""
     w = Window.partitionBy("row_id")
-    mean = masked_sum(_D, window=w) / F.greatest(F.sum("mask").over(w), F.lit(1))
+    mean = masked_sum(_diff(), window=w) / F.greatest(F.sum("mask").over(w), F.lit(1))
     r = F.exp(F.least(mean, F.lit(10.0)))
     df = tokens.withColumn("_r", r)
-    l1, l2 = -_A * F.col("_r"), -_A * clip(F.col("_r"), 1 - low, 1 + high)
+    l1, l2 = -_adv() * F.col("_r"), -_adv() * clip(F.col("_r"), 1 - low, 1 + high)
     df = df.withColumn("loss", _weighted(F.greatest(l1, l2), tokens))
-    return _with_metrics(df, "seq-mean-token-mean", None, clipfrac=l2 > l1, ppo_kl=-_D)
+    return _with_metrics(df, "seq-mean-token-mean", None, clipfrac=l2 > l1, ppo_kl=-_diff())
 
 
 @register("sapo")
 def sapo(tokens: DataFrame, tau_pos: float = 1.0, tau_neg: float = 1.05) -> DataFrame:
     """A sigmoid gate of the ratio in place of clipping; its slope depends on the sign of the advantage."""
-    d = clip(_D, -20.0, 20.0)
-    tau = F.when(_A > 0, tau_pos).otherwise(tau_neg)
+    d = clip(_diff(), -20.0, 20.0)
+    tau = F.when(_adv() > 0, tau_pos).otherwise(tau_neg)
     gate = 1 / (1 + F.exp(-tau * (F.exp(d) - 1))) * (4 / tau)
-    df = tokens.withColumn("loss", _weighted(-gate * _A, tokens))
+    df = tokens.withColumn("loss", _weighted(-gate * _adv(), tokens))
     return _with_metrics(df, "seq-mean-token-mean", None, ppo_kl=-d)
 
 
 @register("gpg")
 def gpg(tokens: DataFrame, mode: str = "token-mean", width: int | None = None) -> DataFrame:
-    return _with_metrics(tokens.withColumn("loss", _weighted(-F.col("logp_new") * _A, tokens)), mode, width)
+    return _with_metrics(tokens.withColumn("loss", _weighted(-F.col("logp_new") * _adv(), tokens)), mode, width)
 
 
 @register("cispo")
 def cispo(tokens: DataFrame, low: float = 0.2, high: float = 0.2, mode: str = "token-mean", width: int | None = None) -> DataFrame:
-    d = clip(_D, -20.0, 20.0)
+    d = clip(_diff(), -20.0, 20.0)
     r = F.exp(d)
     bounded = clip(r, 1 - low, 1 + high)
-    df = tokens.withColumn("loss", _weighted(-bounded * _A * F.col("logp_new"), tokens))
+    df = tokens.withColumn("loss", _weighted(-bounded * _adv() * F.col("logp_new"), tokens))
     return _with_metrics(df, mode, width, clipfrac=r != bounded, ppo_kl=-d)
 
 
 @register("geo_mean")
 def geo_mean(tokens: DataFrame, low: float = 0.2, high: float = 0.2) -> DataFrame:
     """The geometric mean of a row's clipped ratios times its mean advantage; plain mean over rows."""
-    sign = F.signum(_A)
-    bounded = clip(_D, -low, high)
-    least = sign * F.least(sign * _D, sign * bounded)
+    sign = F.signum(_adv())
+    bounded = clip(_diff(), -low, high)
+    least = sign * F.least(sign * _diff(), sign * bounded)
     df = tokens.withColumn("_least", least)
     rows = df.groupBy("row_id").agg(
         masked_sum("_least").alias("d"), masked_sum("advantage").alias("a"), F.sum("mask").alias("n"),
-        masked_sum(((_D != bounded) & (_A > 0)).cast("double")).alias("c1"), masked_sum(((_D != bounded) & (_A < 0)).cast("double")).alias("c2"), masked_sum(-_D).alias("k"),
+        masked_sum(((_diff() != bounded) & (_adv() > 0)).cast("double")).alias("c1"), masked_sum(((_diff() != bounded) & (_adv() < 0)).cast("double")).alias("c2"), masked_sum(-_diff()).alias("k"),
     )
     n = F.col("n") + 1e-8
     total = F.sum("n") + 1e-8
@@ -146,7 +152,7 @@ def geo_mean(tokens: DataFrame, low: float = 0.2, high: float = 0.2) -> DataFram
 def _covariance(tokens: DataFrame) -> DataFrame:
     """Adds cov, the product of the centred advantage and log-probability; means over valid tokens."""
     means = tokens.agg(masked_mean("advantage").alias("_ma"), masked_mean("logp_new").alias("_ml"), F.sum("mask").alias("_n"))
-    return tokens.crossJoin(F.broadcast(means)).withColumn("cov", (_A - F.col("_ma")) * (F.col("logp_new") - F.col("_ml"))).drop("_ma", "_ml")
+    return tokens.crossJoin(F.broadcast(means)).withColumn("cov", (_adv() - F.col("_ma")) * (F.col("logp_new") - F.col("_ml"))).drop("_ma", "_ml")
 
 
 def top_tokens(tokens: DataFrame, order: list[Column], share: float) -> DataFrame:
@@ -161,8 +167,8 @@ def kl_cov(tokens: DataFrame, share: float = 0.0002, coef: float = 1.0, mode: st
     df = _covariance(tokens)
     best = top_tokens(df.filter("mask > 0"), [F.desc(F.round("cov", 9)), F.col("row_id"), F.col("t")], share).withColumn("_top", F.lit(True))
     df = df.join(best, ["row_id", "t"], "left")
-    loss = -_A * F.exp(_D) + F.when(F.col("_top"), coef * F.abs(_D)).otherwise(0.0)
-    return _with_metrics(df.withColumn("loss", _weighted(loss, tokens)), mode, width, ppo_kl=F.abs(_D))
+    loss = -_adv() * F.exp(_diff()) + F.when(F.col("_top"), coef * F.abs(_diff())).otherwise(0.0)
+    return _with_metrics(df.withColumn("loss", _weighted(loss, tokens)), mode, width, ppo_kl=F.abs(_diff()))
 
 
 @register("clip_cov")
@@ -170,21 +176,21 @@ def clip_cov(tokens: DataFrame, share: float = 0.0002, lower: float = 1.0, upper
     """Tokens with a covariance between the bounds that aren't clipped anyway are dropped from the loss, as many as the
     share allows, in the order of a seeded hash of row and position."""
     df = _covariance(tokens)
-    r = F.exp(_D)
-    l1, l2 = -_A * r, -_A * clip(r, 1 - low, 1 + high)
+    r = F.exp(_diff())
+    l1, l2 = -_adv() * r, -_adv() * clip(r, 1 - low, 1 + high)
     near = df.filter((F.col("mask") > 0) & (F.col("cov") > lower) & (F.col("cov") < upper) & ~(l2 > l1))
     n = df.agg(F.sum("mask")).first()[0] or 0
     gone = near.orderBy(F.xxhash64(F.lit(seed), "row_id", "t"), "row_id", "t").limit(max(1, int(n * share))).select("row_id", "t", F.lit(True).alias("_gone"))
     df = df.join(gone, ["row_id", "t"], "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
     loss = F.when(F.col("_gone"), 0.0).otherwise(F.greatest(l1, l2))
-    return _with_metrics(df.withColumn("loss", _weighted(loss, tokens)), mode, width, clipfrac=F.col("_gone"), ppo_kl=-_D)
+    return _with_metrics(df.withColumn("loss", _weighted(loss, tokens)), mode, width, clipfrac=F.col("_gone"), ppo_kl=-_diff())
 
 
 @register("reinforce")
 def reinforce(tokens: DataFrame, mode: str = "token-mean", width: int | None = None) -> DataFrame:
     """-log-probability times advantage, with importance weights if there are any."""
-    df = tokens.withColumn("loss", _weighted(-F.col("logp_new") * _A, tokens))
-    return _with_metrics(df, mode, width, ppo_kl=-_D)
+    df = tokens.withColumn("loss", _weighted(-F.col("logp_new") * _adv(), tokens))
+    return _with_metrics(df, mode, width, ppo_kl=-_diff())
 
 
 def value_loss(tokens: DataFrame, pred: str, bound: float = 0.5, mode: str = "token-mean", width: int | None = None) -> DataFrame:

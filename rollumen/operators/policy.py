@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from rollumen.operators.masked import clip, masked_mean, masked_sum
 
@@ -53,11 +54,12 @@ def kl_rewards(tokens: DataFrame, ratio: float) -> DataFrame:
     return tokens.withColumn("reward", F.col("reward") - (F.col("logp_old") - F.col("logp_ref")) * ratio)
 
 
-ROW = Window.partitionBy("row_id")
+def _own() -> WindowSpec:
+    return Window.partitionBy("row_id")
 
 
 def _row(c: Column) -> Column:
-    return c.over(ROW)
+    return c.over(_own())
 
 
 def log_ratio(tokens: DataFrame) -> DataFrame:
@@ -67,7 +69,7 @@ def log_ratio(tokens: DataFrame) -> DataFrame:
 def importance_weights(tokens: DataFrame, level: str = "token", threshold: float = 2.0, normalise: bool = False) -> DataFrame:
     """Adds raw_weight (before the upper bound) and is_weight, from log_ratio and mask."""
     m = F.col("mask")
-    x = F.col("log_ratio") if level == "token" else masked_sum("log_ratio", window=ROW)
+    x = F.col("log_ratio") if level == "token" else masked_sum("log_ratio", window=_own())
     out = tokens.withColumn("raw_weight", F.exp(clip(x, -SAFE, SAFE)) * m).withColumn("is_weight", F.least("raw_weight", F.lit(threshold)))
     if not normalise:
         return out
@@ -148,8 +150,8 @@ def rejection(tokens: DataFrame, modes: str | list[str], spec) -> DataFrame:
         v, valid = kinds[kind], F.col("mask") > 0
         stat = {
             "token": lambda v=v: v,
-            "seq_sum": lambda v=v: masked_sum(v, window=ROW),
-            "seq_mean": lambda v=v: masked_sum(v, window=ROW) / (_row(F.sum("mask")) + 1e-8),
+            "seq_sum": lambda v=v: masked_sum(v, window=_own()),
+            "seq_mean": lambda v=v: masked_sum(v, window=_own()) / (_row(F.sum("mask")) + 1e-8),
             "seq_max": lambda v=v, valid=valid: F.coalesce(_row(F.max(F.when(valid, v))), F.lit(0.0)),
         }[level]()
         low, high = bounds[mode]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 
+import numpy as np
 import pytest
 from conftest import SMALL
 
@@ -27,8 +28,9 @@ def duck():
 def plain(df):
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        if df[c].dtype.kind == "f":
-            df[c] = df[c].round(6) + 0.0
+        numbers = df[c].dropna().map(lambda x: isinstance(x, (int, float, np.number)) and not isinstance(x, (bool, np.bool_))).all()
+        if df[c].dtype.kind in "iuf" or (df[c].dtype == object and numbers):  # whole numbers with nulls come as either
+            df[c] = df[c].astype(float).round(6) + 0.0
     text = df.astype(str).replace({"None": "nan", "<NA>": "nan", "NaT": "nan"})
     return text.sort_values(list(text.columns)).reset_index(drop=True)
 

@@ -19,16 +19,18 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import filterfalse
+from itertools import accumulate, chain, compress
+from operator import add, not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollumen.llm.common import prefix_sums, stored
+from rollumen.llm.common import no_collection, prefix_sums, stored
 
-LENGTH, QUANTUM, END, KEPT = 4096, 512, 2, 600_000
+LENGTH, QUANTUM, END, KEPT, TOGETHER = 4096, 512, 2, 150_000, 2 << 20
 #: White space for Python's split() that the tokenizer's pattern doesn't count as such.
 CONTROLS = "\x1c\x1d\x1e\x1f"
 
@@ -39,18 +41,24 @@ _LOADED: dict[str, Words] = {}
 
 
 class Words:
-    """Ids of words, as little-endian unsigned 32-bit integers; kept for up to KEPT words, then anew."""
+    """Ids of words, as little-endian unsigned integers of 16 bits if the vocabulary allows, else of 32; kept in two generations of up to KEPT words each; results
+    don't depend on it."""
 
     def __init__(self, path: str) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        self.own = Tokenizer.from_file(path)
-        self.narrow = self.own.get_vocab_size() <= 1 << 16
+        self.own, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # lower-case ASCII letters pass the normaliser and the pattern unchanged, so they can go without
+        self.bare.normalizer, self.bare.pre_tokenizer = None, WhitespaceSplit()
+        self.kind, self.code = ("<u2", "H") if self.own.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.kept: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
+        self.letters_before: dict[str, bytes] = {}
         self.closes = np.zeros(self.own.get_vocab_size(), bool)
         for token, i in self.own.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
@@ -58,52 +66,60 @@ class Words:
     def plain(self, texts: list[str]) -> list[bytes]:
         out = []
         for k in range(0, len(texts), 5000):
-            out += [array("I", e.ids).tobytes() for e in self.own.encode_batch_fast(texts[k : k + 5000], add_special_tokens=False)]
+            out += [array(self.code, e.ids).tobytes() for e in self.own.encode_batch_fast(texts[k : k + 5000], add_special_tokens=False)]
         return out
 
-    def alphabetic(self, words: list[str]) -> list[bytes]:
+    def alphabetic(self, words: list[str], own) -> list[bytes]:
         """Words of letters alone: the last id of each closes a word, so that many can be encoded as one text."""
         out = []
         for k in range(0, len(words), 1000):
             part = words[k : k + 1000]
-            ids = np.array(self.own.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(own.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(part):
-                data, ends = ids.tobytes(), (ends * 4).tolist()
+                data, ends = ids.tobytes(), (ends * ids.itemsize).tolist()
                 out += [data[a:b] for a, b in zip([0, *ends], ends)]
             else:
                 out += self.plain(part)
         return out
 
     def learn(self, new: list[str]) -> None:
-        parted, whole = [], []
-        for w in new:
-            core = w.rstrip(MARKS)
-            if core.isalpha():
-                parted.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
-            else:
-                whole.append(w)
-        if len(self.letters) > KEPT:
-            self.letters.clear()
-        missing = list({c for _, c, _ in parted}.difference(self.letters))
-        self.letters.update(zip(missing, self.alphabetic(missing)))
-        tails = list({t for _, _, t in parted if t})
-        of = dict(zip(tails, self.plain(tails)))
-        of[""] = b""
-        self.kept.update((w, self.letters[c] + of[t]) for w, c, t in parted)
+        """Adds words. A word of letters and closing marks is its letters (in lower case if ASCII) and its marks."""
+        cores = [w.rstrip(MARKS) for w in new]
+        plain = list(map(str.isalpha, cores))
+        whole = list(compress(new, map(not_, plain)))
+        words, cores = list(compress(new, plain)), list(compress(cores, plain))
+        tails = [w[len(c) :] for w, c in zip(words, cores)]
+        cores = [c.lower() if c.isascii() else c for c in cores]
+        wanted = set(cores)
+        if len(self.letters) > KEPT:  # what is wanted now must not go with the older generation
+            self.letters, self.letters_before = {}, self.letters
+        wanted.difference_update(self.letters)
+        old = wanted.intersection(self.letters_before)
+        self.letters.update(zip(old, map(self.letters_before.__getitem__, old)))
+        for own, missing in ((self.bare, [w for w in wanted - old if w.isascii()]), (self.own, [w for w in wanted - old if not w.isascii()])):
+            self.letters.update(zip(missing, self.alphabetic(missing, own)))
+        ids = list(map(self.letters.__getitem__, cores))
+        ends = {t: x for t in set(tails) for x in self.plain([t])}
+        self.kept.update(zip(words, map(add, ids, map(ends.__getitem__, tails))))
         self.kept.update(zip(whole, self.plain(whole)))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Whole texts. The tokenizer drops white space and never joins what it parts."""
         split = [[t] if any(c in t for c in CONTROLS) else t.split() for t in texts]
+        flat = list(chain.from_iterable(split))
         if len(self.kept) > KEPT:
-            self.kept.clear()
-        new: set[str] = set()
-        for words in split:
-            new.update(filterfalse(self.kept.__contains__, words))
-        if new:
-            self.learn(list(new))
-        return [b"".join(map(self.kept.__getitem__, words)) for words in split]
+            self.kept, self.before = {}, self.kept
+        got = list(map(self.kept.get, flat))
+        if missing := [i for i, x in enumerate(got) if x is None]:
+            new = {flat[i] for i in missing}
+            known = new.intersection(self.before)
+            self.kept.update((w, self.before[w]) for w in known)
+            self.learn(list(new - known))
+            for i in missing:
+                got[i] = self.kept[flat[i]]
+        ends = list(accumulate(map(len, split), initial=0))
+        return [b"".join(got[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def tokenizer(path: str) -> Words:
@@ -112,21 +128,29 @@ def tokenizer(path: str) -> Words:
     return _LOADED[path]
 
 
+def lots(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about TOGETHER bytes in a column of texts or bytes; a longer value is a slice of its own."""
+    sizes = np.array(pc.binary_length(batch.column(column)).fill_null(0))
+    at = 0
+    for lot in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes) // TOGETHER)) + 1):
+        if len(lot):
+            yield batch.slice(at, len(lot))
+            at += len(lot)
+
+
 def tokenised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """(row, doc_id, source, n, ids): ids hold every token and the end; row names the input row."""
-    stop = np.array([end], "<u4").tobytes()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                b = whole.slice(k, 1000)
-                got = [x + stop for x in own.encode_all(b.column(3).to_pylist())]
-                n = pa.array([len(x) // 4 for x in got], pa.int64())
-                # two bytes hold any id of a vocabulary below 65,536
-                narrow = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if own.narrow else x for x in got]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), n, pa.array(narrow, pa.binary())], names=["row", "doc_id", "source", "n", "ids"])
+        stop = np.array([end], own.kind).tobytes()
+        for b in batches:
+            for part in lots(b, 3):
+                with no_collection():
+                    got = [x + stop for x in own.encode_all(part.column(3).to_pylist())]
+                n = pa.array([len(x) // len(stop) for x in got], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), n, pa.array(got, pa.binary())], names=["row", "doc_id", "source", "n", "ids"])
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -182,9 +206,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, quantum: int = QUANTU
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                b = whole.slice(k, 256)
-                crc, where, size = [], [], []
+            for b in lots(whole, 3):
+                crc, where = [], []
                 for i, (n, ids, starts, sizes) in enumerate(zip(b.column(2).to_pylist(), b.column(3), b.column(4), b.column(5))):
                     data = ids.as_buffer()
                     wide = memoryview(np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype("<u4").tobytes())

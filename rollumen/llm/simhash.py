@@ -154,7 +154,7 @@ def plan_parts(fps: DataFrame, limit: int = LIMIT) -> tuple[list[list[int]], lis
             exact = float(same.get(f"{m}.{i}", 0))
             probes = np.cumsum([len(list(combinations(range(len(part)), t))) if t <= 2 else 1e6 for t in range(len(own))])
             # a probe row costs about as much as eight comparisons
-            costs.append([max(c, exact) - own[0] + exact + 8.0 * n * float(probes[t]) for t, c in enumerate(own)])
+            costs.append([max(c, exact) - own[0] + exact + 8.0 * max(n, 1) * float(probes[t]) for t, c in enumerate(own)])
         got = allocate(costs, limit - m + 1)
         if best is None or got[0] < best[0]:
             best = (got[0], parts, got[1])

@@ -41,9 +41,10 @@ def outcome(name: str, sql: str, **options):
         rows = scores(spark, sf_dir)
         if name == "grpo_passk":  # groups of one row are an error
             rows = rows.join(rows.groupBy("uid").count().filter("count > 1").select("uid"), "uid", "left_semi")
-        return rounded(adv.estimator(name)(rows, **options).select("row_id", "advantage"), "row_id")
+        # first to nine places: a value half-way between two fourth places then is so in both engines
+        return rounded(adv.estimator(name)(rows, **options).select("row_id", F.round("advantage", 9).alias("advantage")), "row_id")
 
-    query(f"adv_{name}" + "".join(f"_{k}" for k in options), f"WITH {ROWS} SELECT row_id, round({sql}, 4) + 0.0 AS advantage FROM sc")(run)
+    query(f"adv_{name}" + "".join(f"_{k}" for k in options), f"WITH {ROWS} SELECT row_id, round(round({sql}, 9), 4) + 0.0 AS advantage FROM sc")(run)
 
 
 _G = "OVER (PARTITION BY uid)"

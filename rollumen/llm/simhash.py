@@ -28,6 +28,8 @@ from rollumen.llm.components import connected_components
 
 LIMIT, WORDS, BLOCK, CHUNK = 4, 4, 4096, 1 << 16
 PARTS = (2, 3, 4, 5)
+#: Near-duplicates: members of a bucket that is first compared with one of its members, and how many times.
+CROWD, TURNS = 16, 3
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -234,8 +236,8 @@ def bucket_links(limit: int):
     return scan
 
 
-def near_links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Links (fa, fb) between distinct fingerprints: they span every group that distances up to the limit link."""
+def file_parts(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(fp, i, v): each fingerprint under the values v of part i that it probes."""
     parts, thresholds = plan_parts(fps, limit)
     held = fps.select("fp", *[gather(part).alias(f"v{i}") for i, part in enumerate(parts)])
 
@@ -244,7 +246,12 @@ def near_links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
         return F.transform(masks, lambda x: F.struct(F.lit(i).alias("i"), F.col(f"v{i}").bitwiseXOR(x).alias("v")))
 
     probes = F.concat(*[probed(i, part, t) for i, (part, t) in enumerate(zip(parts, thresholds)) if t >= 0])
-    filed = held.select("fp", F.explode(probes).alias("x")).select("fp", F.col("x.i").alias("i"), F.col("x.v").alias("v"))
+    return held.select("fp", F.explode(probes).alias("x")).select("fp", F.col("x.i").alias("i"), F.col("x.v").alias("v"))
+
+
+def near_links(fps: DataFrame, limit: int = LIMIT, filed: DataFrame | None = None) -> DataFrame:
+    """Links (fa, fb) between distinct fingerprints: they span every group that distances up to the limit link."""
+    filed = file_parts(fps, limit) if filed is None else filed
     blocks = filed.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
     placed = (
@@ -294,25 +301,71 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return kept.mapInArrow(scan, "doc_id long, s array<long>")
 
 
-def near_duplicates(docs: DataFrame, limit: int = 7, words: int = 2, size: int = 5, least: float = 0.8) -> DataFrame:
-    """docs (doc_id unique, text) -> doc_id, component_id: fingerprints of `words`-word shingles within `limit` bits
-    propose links, and only those stay whose texts share `least` of their `size`-word shingles (Jaccard)."""
-    own = cut(fingerprints(docs, words))
-    fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    links = near_links(fps, limit)
-    far = links.join(fps.select(F.col("fp").alias("fa"), F.col("rep").alias("a")), "fa").join(
-        fps.select(F.col("fp").alias("fb"), F.col("rep").alias("b")), "fb"
-    )
-    same = own.join(fps, "fp").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    pairs = cut(far.select("a", "b").unionByName(same))
+def alike(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts share `least` of their `size`-word shingles."""
+    pairs = cut(pairs)
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = cut(shingle_sets(docs.join(ends, "doc_id", "left_semi"), size))
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b"
     )
     shared = F.size(F.array_intersect("sa", "sb"))
-    alike = both.filter(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    comps = connected_components(alike)
-    return own.join(comps, own["doc_id"] == comps["node"], "left").select(
+    return cut(both.filter(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+
+
+def labelled(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """ids (doc_id), links (a, b) -> doc_id, component_id: the smallest doc_id linked."""
+    comps = connected_components(links)
+    return ids.join(comps, ids["doc_id"] == comps["node"], "left").select(
         "doc_id", F.coalesce("component", "doc_id").alias("component_id")
     )
+
+
+def all_links(filed: DataFrame, links: DataFrame, ids: DataFrame, verify) -> DataFrame:
+    """links (a, b), true ones, and as many more as make their components those of every pair of rows of filed
+    (key, doc_id) with a key in common that verify() keeps. Pairs inside a component need no comparison. In buckets of
+    over CROWD members that hold several components, one member is compared with the others, in up to TURNS turns;
+    then every pair left between components is."""
+
+    def mixed() -> DataFrame:
+        named = filed.join(cut(labelled(ids, links)), "doc_id")
+        several = named.groupBy("key").agg(
+            F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.count(F.lit(1)).alias("n"),
+            F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "component_id")).alias("pivot"),
+        )
+        return cut(named.join(several.filter("low <> high").select("key", "n", "pivot"), "key"))
+
+    a, b = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    for turn in range(TURNS):  # noqa: B007
+        rows = mixed()
+        star = rows.filter((F.col("n") > CROWD) & (F.col("pivot.component_id") != F.col("component_id")))
+        more = verify(star.select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b")).select(a, b).distinct())
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+    else:
+        rows = mixed()
+    one, two = (rows.select("key", F.col("doc_id").alias(x), F.col("component_id").alias(f"c{x}")) for x in "ab")
+    rest = one.join(two, (one["key"] == two["key"]) & (F.col("ca") < F.col("cb")))
+    return links.unionByName(verify(rest.select(a, b).distinct()))
+
+
+def near_duplicates(docs: DataFrame, limit: int = 7, words: int = 2, size: int = 5, least: float = 0.8) -> DataFrame:
+    """docs (doc_id unique, text) -> doc_id, component_id: fingerprints of `words`-word shingles within `limit` bits
+    propose links, and only those stay whose texts share `least` of their `size`-word shingles (Jaccard). What the
+    spanning links leave apart is compared pair by pair."""
+    own = cut(fingerprints(docs, words))
+    fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    parts = file_parts(fps, limit)
+    links = near_links(fps, limit, parts)
+    far = links.join(fps.select(F.col("fp").alias("fa"), F.col("rep").alias("a")), "fa").join(
+        fps.select(F.col("fp").alias("fb"), F.col("rep").alias("b")), "fb"
+    )
+    same = own.join(fps, "fp").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return alike(pairs, docs, size, least)
+
+    filed = cut(own.join(parts, "fp").select(F.xxhash64("i", "v").alias("key"), "doc_id"))
+    found = all_links(filed, verify(far.select("a", "b").unionByName(same)), own.select("doc_id"), verify)
+    return labelled(own.select("doc_id"), found)

@@ -481,6 +481,39 @@ def test_near_duplicates_are_verified(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
+def jaccard_components(texts: list[str]) -> dict[int, int]:
+    """Smallest index reachable by pairs with 0.8 of their five-word shingles in common, by brute force."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    up = list(range(len(texts)))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            x, y = sorted((top(i), top(j)))
+            up[y] = x
+    return {i: top(i) for i in range(len(texts))}
+
+
+def test_near_duplicates_that_fail_with_their_pivot(spark):
+    # 20 orders of the same word pairs, twice each: one fingerprint, and no two orders are alike
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(60)]
+    blocks = [[*words[k : k + 3], "x"] for k in range(0, 60, 3)]
+    texts = []
+    for k in range(20):
+        r.shuffle(blocks)
+        one = " ".join(["x", *(w for b in blocks for w in b)])
+        texts += [one, one.replace(" ", "  ")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.fingerprints(df, 2).select("fp").distinct().count() == 1
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(df).collect()}
+    assert got == jaccard_components(texts)
+
+
 def test_empty_tables(none, byte_bpe):
     for df in (
         context_mixing.mixing_scores(none), bpe.round_trip(none, *byte_bpe), suffix_dedup.suffix_dedup(none), exact_dedup.exact_dedup(none),

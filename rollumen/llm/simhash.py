@@ -15,6 +15,7 @@ fingerprint and the component of their fingerprint's class. Empty tables give no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -30,6 +31,8 @@ LIMIT, WORDS, BLOCK, CHUNK = 4, 4, 4096, 1 << 16
 PARTS = (2, 3, 4, 5)
 #: Near-duplicates: members of a bucket that is first compared with one of its members, and how many times.
 CROWD, TURNS = 16, 3
+#: Shingles that come last in the prefix filter's order: at most so many, by counts over one of SOME documents.
+COMMON, SOME = 200_000, 16
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -236,8 +239,8 @@ def bucket_links(limit: int):
     return scan
 
 
-def file_parts(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(fp, i, v): each fingerprint under the values v of part i that it probes."""
+def near_links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Links (fa, fb) between distinct fingerprints: they span every group that distances up to the limit link."""
     parts, thresholds = plan_parts(fps, limit)
     held = fps.select("fp", *[gather(part).alias(f"v{i}") for i, part in enumerate(parts)])
 
@@ -246,12 +249,7 @@ def file_parts(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
         return F.transform(masks, lambda x: F.struct(F.lit(i).alias("i"), F.col(f"v{i}").bitwiseXOR(x).alias("v")))
 
     probes = F.concat(*[probed(i, part, t) for i, (part, t) in enumerate(zip(parts, thresholds)) if t >= 0])
-    return held.select("fp", F.explode(probes).alias("x")).select("fp", F.col("x.i").alias("i"), F.col("x.v").alias("v"))
-
-
-def near_links(fps: DataFrame, limit: int = LIMIT, filed: DataFrame | None = None) -> DataFrame:
-    """Links (fa, fb) between distinct fingerprints: they span every group that distances up to the limit link."""
-    filed = file_parts(fps, limit) if filed is None else filed
+    filed = held.select("fp", F.explode(probes).alias("x")).select("fp", F.col("x.i").alias("i"), F.col("x.v").alias("v"))
     blocks = filed.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
     placed = (
@@ -283,24 +281,86 @@ def simhash_groups(docs: DataFrame, limit: int = LIMIT, words: int = WORDS) -> D
     )
 
 
+def shingles(text: bytes, size: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles of `size` words, unsigned."""
+    from xxhash import xxh64_intdigest
+
+    w = text.lower().split()
+    own = {xxh64_intdigest(b" ".join(w[k : k + size])) for k in range(max(1, len(w) - size + 1))}
+    return np.fromiter(own, "<u8", len(own))
+
+
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, s): the distinct hashes of a text's shingles of `size` words, as array<long>."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         for b in batches:
-            out = []
-            for text in text_bytes(b.column(1)):
-                w = text.lower().split()
-                own = {xxh64_intdigest(b" ".join(w[k : k + size])) for k in range(max(1, len(w) - size + 1))}
-                out.append(np.fromiter(own, "<u8", len(own)).view("<i8"))
+            out = [shingles(text, size).view("<i8") for text in text_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "s"])
 
     kept = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return kept.mapInArrow(scan, "doc_id long, s array<long>")
 
 
+def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of shingles that are frequent in one of SOME documents. They only put shingles in
+    order: whatever the order, a prefix filter finds the same pairs, and it proposes fewer others with common ones last."""
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SOME)) == 0)
+    counts = shingle_sets(some, size).select(F.explode("s").alias("key")).groupBy("key").count().filter("count > 2")
+    got = counts.orderBy(F.desc("count"), "key").limit(COMMON).toArrow()
+    key = got.column("key").to_numpy().astype("<i8").view("<u8")
+    at = np.argsort(key)
+    return key[at], got.column("count").to_numpy()[at]
+
+
+def prefixes(docs: DataFrame, size: int, least: float) -> DataFrame:
+    """(key, doc_id): each text under the first n - ceil(least * n) + 1 of its n shingles, in one order for all texts.
+    Two texts with `least` of their shingles in common have one of these in common."""
+    common = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size))
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = common.value
+        for b in batches:
+            keys, many = [np.zeros(0, "<u8")], []
+            for text in text_bytes(b.column(1)):
+                s = np.sort(shingles(text, size))
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
+                s = s[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]
+                keys.append(s)
+                many.append(len(s))
+            ids = np.repeat(b.column(0).to_numpy(), many)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view("<i8")), pa.array(ids, pa.int64())], names=["key", "doc_id"])
+
+    kept = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    filed = kept.mapInArrow(scan, "key long, doc_id long")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return filed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(shared_keys, "key long, doc_id long")
+
+
+def shared_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, doc_id) sorted by key: those whose key another row has."""
+    held = None  # the last row seen, and whether it has been told apart from the row before it
+
+    def out(key: np.ndarray, own: np.ndarray, some: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(own[some])], names=["key", "doc_id"])
+
+    for b in batches:
+        key, own = (np.array(b.column(c).to_numpy(), np.int64) for c in (0, 1))
+        if not len(key):
+            continue
+        before = False
+        if held is not None:
+            key, own, before = np.append(held[0], key), np.append(held[1], own), held[2]
+        same = key[1:] == key[:-1]
+        some = np.append(before, same) | np.append(same, False)
+        held = key[-1], own[-1], bool(some[-1])
+        yield out(key[:-1], own[:-1], some[:-1])
+    if held is not None:
+        yield out(np.array([held[0]]), np.array([held[1]]), np.array([held[2]]))
+
+
 def alike(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
     """Those of the pairs (a, b) whose texts share `least` of their `size`-word shingles."""
     pairs = cut(pairs)
@@ -352,12 +412,12 @@ def all_links(filed: DataFrame, links: DataFrame, ids: DataFrame, verify) -> Dat
 
 def near_duplicates(docs: DataFrame, limit: int = 7, words: int = 2, size: int = 5, least: float = 0.8) -> DataFrame:
     """docs (doc_id unique, text) -> doc_id, component_id: fingerprints of `words`-word shingles within `limit` bits
-    propose links, and only those stay whose texts share `least` of their `size`-word shingles (Jaccard). What the
-    spanning links leave apart is compared pair by pair."""
+    propose links, and only those stay whose texts share `least` of their `size`-word shingles (Jaccard). They save
+    comparisons in dense groups; a prefix filter then proposes all pairs that can share so much, and those are compared
+    that are still apart. So every pair with `least` in common is in one component."""
     own = cut(fingerprints(docs, words))
     fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    parts = file_parts(fps, limit)
-    links = near_links(fps, limit, parts)
+    links = near_links(fps, limit)
     far = links.join(fps.select(F.col("fp").alias("fa"), F.col("rep").alias("a")), "fa").join(
         fps.select(F.col("fp").alias("fb"), F.col("rep").alias("b")), "fb"
     )
@@ -366,6 +426,6 @@ def near_duplicates(docs: DataFrame, limit: int = 7, words: int = 2, size: int =
     def verify(pairs: DataFrame) -> DataFrame:
         return alike(pairs, docs, size, least)
 
-    filed = cut(own.join(parts, "fp").select(F.xxhash64("i", "v").alias("key"), "doc_id"))
+    filed = cut(prefixes(docs, size, least))
     found = all_links(filed, verify(far.select("a", "b").unionByName(same)), own.select("doc_id"), verify)
     return labelled(own.select("doc_id"), found)

@@ -514,6 +514,35 @@ def test_near_duplicates_that_fail_with_their_pivot(spark):
     assert got == jaccard_components(texts)
 
 
+@pytest.mark.parametrize("some", [1, 16])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, some):
+    # appended, cut, block and scattered edits around the limit, and a passage that many unlike texts have in common
+    monkeypatch.setattr(simhash, "SOME", some)
+    r = random.Random(8)
+    draw = lambda n: ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(n)]
+    texts, passage = [], draw(12)
+    for _ in range(40):
+        w, n = draw(r.randrange(20, 120)), r.randrange(1, 22)
+        k = len(w) * n // 100
+        at = r.randrange(len(w) - k)
+        changed = [r.choice(draw(1)) if r.random() < 0.02 else x for x in w]
+        texts += [w, w + draw(k), w[k:], w[:at] + draw(k) + w[at + k :], changed]
+    texts += [draw(r.randrange(3, 30)) + passage for _ in range(30)] + [draw(3), [], []]
+    texts = [" ".join(w) for w in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(df).collect()}
+    assert got == jaccard_components(texts)
+
+
+def test_shared_keys_across_batches():
+    r = np.random.default_rng(2)
+    key = np.sort(r.integers(0, 40, 60))
+    for size in (1, 2, 7, 60):
+        table = simhash.pa.table({"key": key, "doc_id": np.arange(60)})
+        got = [x for b in simhash.shared_keys(table.to_batches(size)) for x in b.column(1).to_pylist()]
+        assert got == [i for i in range(60) if (key == key[i]).sum() > 1]
+
+
 def test_empty_tables(none, byte_bpe):
     for df in (
         context_mixing.mixing_scores(none), bpe.round_trip(none, *byte_bpe), suffix_dedup.suffix_dedup(none), exact_dedup.exact_dedup(none),

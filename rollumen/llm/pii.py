@@ -6,7 +6,8 @@ characters are numbers in their own radix (digit, letter, octet; day of a 400-ye
 and odd places are the two halves. In each round one half is shifted by a keyed SHA-256 of the other, each number in its
 radix, so the map is a permutation of the values of that format: equal values have equal pseudonyms in all documents,
 and different values different ones. Marks and spacing stay; a phone number has the same digits however it is spaced.
-Check digits are computed anew, so pseudonyms are valid too. What doesn't validate stays as it is.
+Check digits are computed anew, so pseudonyms are valid too. A run of numbers that doesn't
+validate as a whole is searched for values made of some of them. What doesn't validate stays as it is.
 
 Nulls: a null text stays null, with no values found. Repeated rows get equal results; an empty table gives none.
 Columns of other names are kept by pseudonymised(); names that start with _pii are its own.
@@ -23,14 +24,17 @@ KEY = "rollumen"
 #: The forms of each kind. Java's syntax; possessive where a run could be rescanned.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})"
 KEYED = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
-NAMED = r"(?<![A-Za-z])(?:token|password|passwd|secret|api_?key)\s?[=:]\s?[\"']?[A-Za-z0-9_\-/+.]{8,}+"
+NAMES = r"(?i:token|password|passwd|secret|api_?key)"
+NAMED = rf"(?<![A-Za-z]){NAMES}\s?[=:]\s?[\"']?[A-Za-z0-9_\-/+.]{{8,}}+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\w/-])"
 IP = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 PHONE = r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w)"
-ANY = "|".join((EMAIL, KEYED, NAMED, IBAN, DATE, IP, SSN, CARD, PHONE))
+#: Numbers parted by single spaces or dashes, of 13 digits or more: a card, or several values and other numbers side by side.
+RUN = rf"(?<![\w.+-])(?=\d(?:[ -]?\d){{12}})\d++(?:[ -](?!{DATE}|{IP}|\d{{3}}\.\d{{3}}[ .-]\d{{4}})\d++(?!\w))*+(?!\w)"
+ANY = "|".join((EMAIL, KEYED, NAMED, IBAN, DATE, IP, SSN, RUN, PHONE))
 #: Days from 1800-01-01 over one Gregorian cycle, 146,097 = 189 * 773.
 FIRST_DAY, DAY_RADIX = "1800-01-01", (189, 773)
 
@@ -195,7 +199,7 @@ def email(m: Column, key: str) -> Column:
 
 
 def named(m: Column, key: str) -> Column:
-    name = F.regexp_extract(m, r"^(?:token|password|passwd|secret|api_?key)\s?[=:]\s?[\"']?", 0)
+    name = F.regexp_extract(m, rf"^{NAMES}\s?[=:]\s?[\"']?", 0)
     value = F.substring(m, F.length(name) + 1, F.length(m))
     return F.concat(name, F.when(value.rlike("^[0-9a-f]+$"), hexes(value, key, "secret")).otherwise(letters(value, key, "secret")))
 
@@ -219,16 +223,54 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     return F.coalesce(*[F.when(m.rlike(whole(form)), make(m, key)) for _, form, make in KINDS])
 
 
+def inside(m: Column, key: str) -> Column:
+    """(p, n) of a run of numbers that is no value itself: those values in it that validate, each of whole numbers, are
+    replaced; null if there are none. From left to right, social-security and phone numbers before cards, long before short."""
+
+    def run(groups: Column) -> Column:
+        size = F.size(groups)
+        mark = lambda i: F.regexp_extract(F.get(groups, i), "^[ -]?", 0)
+
+        def first(i: Column, form: str, make, alone: bool) -> Column:
+            def at(n: Column) -> Column:
+                free = ~((mark(i) == "-") | F.coalesce(mark(i + n) == "-", F.lit(False))) if alone else F.lit(True)
+                own = F.regexp_replace(F.concat_ws("", F.slice(groups, i + 1, n)), "^[ -]", "")
+                return F.struct(bind(own, lambda w: F.when(free & w.rlike(whole(form)), make(w, key))).alias("p"), (i + n).cast("int").alias("end"))
+
+            # no value has more than 19 digits, so none has more numbers
+            return F.get(F.filter(F.transform(F.sequence(F.least(size - i, F.lit(19)), F.lit(1), F.lit(-1)), at), lambda x: x["p"].isNotNull()), F.lit(0))
+
+        def step(acc: Column, i: Column) -> Column:
+            def put(x: Column) -> Column:
+                kept = F.struct(F.concat(acc["p"], F.get(groups, i)).alias("p"), acc["n"].alias("n"), (i + 1).cast("int").alias("end"))
+                new = F.struct(F.concat(acc["p"], mark(i), x["p"]).alias("p"), (acc["n"] + 1).alias("n"), x["end"].alias("end"))
+                return F.when(x.isNull(), kept).otherwise(new)
+
+            found = F.coalesce(first(i, SSN, ssn, True), first(i, PHONE, phone, False), first(i, CARD, card, False))
+            return F.when(i < acc["end"], acc).otherwise(bind(found, put))
+
+        start = F.struct(F.lit("").alias("p"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+        done = F.aggregate(F.sequence(F.lit(0), size - 1), start, step)
+        return bind(done, lambda x: F.when(x["n"] > 0, F.struct(x["p"].alias("p"), x["n"].alias("n"))))
+
+    return F.when(m.rlike(r"^\d++(?:[ -]\d++)++$"), bind(F.regexp_extract_all(m, F.lit(r"[ -]?\d+"), F.lit(0)), run))
+
+
+def replaced(m: Column, key: str = KEY) -> Column:
+    """(p, n): what stands in a match's place and how many values that replaces; null if none validates."""
+    return bind(pseudonym(m, key), lambda p: F.when(p.isNotNull(), F.struct(p.alias("p"), F.lit(1).alias("n"))).otherwise(inside(m, key)))
+
+
 def pseudonymised(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
     """docs with its texts pseudonymised, and n_private, the number of values replaced. Column order is kept."""
     text = F.col(text_col).cast("string")
-    some = text.rlike(r"[0-9@]|token|password|passwd|secret|api_?key")
+    some = text.rlike(rf"[0-9@]|{NAMES}")
     found = docs.withColumn("_pii_m", F.when(some, F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))))
-    new = found.withColumn("_pii_p", F.transform("_pii_m", lambda m: pseudonym(m, key)))
+    new = found.withColumn("_pii_p", F.transform("_pii_m", lambda m: replaced(m, key)))
     parts = F.split(text, ANY, -1)
-    put = F.zip_with("_pii_m", "_pii_p", lambda m, p: F.coalesce(p, m))
+    put = F.zip_with("_pii_m", "_pii_p", lambda m, p: F.coalesce(p["p"], m))
     whole_text = F.concat_ws("", F.zip_with(parts, F.concat(put, F.array(F.lit(""))), lambda a, b: F.concat(a, b)))
-    changed = F.size(F.filter("_pii_p", lambda p: p.isNotNull()))
+    changed = F.aggregate("_pii_p", F.lit(0), lambda a, p: a + F.coalesce(p["n"], F.lit(0)))
     return (
         new.withColumn(text_col, F.when(F.size("_pii_m") > 0, whole_text).otherwise(F.col(text_col)))
         .withColumn("n_private", F.when(F.size("_pii_m") > 0, changed).otherwise(0).cast("long"))

@@ -345,6 +345,31 @@ def test_what_does_not_validate_stays(spark):
     assert pseudo(spark, None)["text"] is None
 
 
+def test_values_beside_other_numbers(spark):
+    card, phones = "4111 1111 1111 1111", ("212-555-0134", "212-555-0199")
+    alone = {v: pseudo(spark, v)["text"] for v in (card, *phones, "2024-01-15", "192.168.1.7", "123-45-6789")}
+    assert all(v != new for v, new in alone.items())
+    for line, values in (
+        (f"{card} 12/27", [card]), (f"{card} 123", [card]), (f"in 1998 {card}", [card]), (" ".join(phones), phones),
+        (" ".join(phones * 3), phones * 3), (f"{phones[0]} {card} 077", [phones[0], card]), (f"{card} 192.168.1.7", [card, "192.168.1.7"]),
+        (f"{card} 2024-01-15", [card, "2024-01-15"]), (f"{card} 123-45-6789", [card, "123-45-6789"]), (f"{card} 12abc", [card]),
+    ):
+        want = line
+        for v in set(values):
+            want = want.replace(v, alone[v])
+        got = pseudo(spark, line)
+        assert (got["text"], got["n_private"]) == (want, len(values)), line
+    assert pseudo(spark, "4111 1111 1111 1112 12/27")["n_private"] == 0
+    long = " ".join(["7"] * 3000) + " x " + "1" * 20000
+    assert pseudo(spark, long)["text"] == long or len(pseudo(spark, long)["text"]) == len(long)
+
+
+def test_names_in_any_case(spark):
+    for line in ("Password: Qx7bTn41zz", "API_KEY=Qx7bTn41zz", "SECRET = 'Qx7bTn41zz'", "Token=abcdefghij"):
+        got = pseudo(spark, line)
+        assert got["n_private"] == 1 and got["text"] != line and got["text"].split()[0][:5] == line.split()[0][:5]
+
+
 def test_feistel_against_a_loop_and_is_a_permutation(spark):
     df = spark.createDataFrame([(a, b) for a in range(7) for b in range(5)], "a int, b int")
     new = pii.feistel(F.array("a", "b"), pii.ints(7, 5), "k", F.lit("t"))

@@ -29,8 +29,8 @@ from rollumen.llm.components import connected_components
 
 LIMIT, WORDS, BLOCK, CHUNK = 4, 4, 4096, 1 << 16
 PARTS = (2, 3, 4, 5)
-#: Near-duplicates: members of a bucket that is first compared with one of its members, and how many times.
-CROWD, TURNS = 16, 3
+#: Near-duplicates: buckets of over CROWD members are first compared with PIVOTS of their members.
+CROWD, PIVOTS = 16, 3
 #: Shingles that come last in the prefix filter's order: at most so many, by counts over one of SOME documents.
 COMMON, SOME = 200_000, 16
 
@@ -361,9 +361,31 @@ def shared_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(np.array([held[0]]), np.array([held[1]]), np.array([held[2]]))
 
 
-def alike(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts share `least` of their `size`-word shingles."""
-    pairs = cut(pairs)
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, bits): how many shingles, and for each of 512 hash values, as eight longs, whether an odd number of
+    them has it. Two texts' bits differ in no more places than their sets of shingles do."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(text, size) for text in text_bytes(b.column(1))]
+            odd = [np.packbits(np.bincount((s & np.uint64(511)).astype(np.intp), minlength=512) & 1).view("<i8") for s in sets]
+            many = pa.array([len(s) for s in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), many, pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "n", "bits"])
+
+    kept = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    got = kept.mapInArrow(scan, "doc_id long, n int, bits array<long>")
+    return got.select("doc_id", "n", *[F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(8)])
+
+
+def alike(pairs: DataFrame, docs: DataFrame, signs: DataFrame, size: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts share `least` of their `size`-word shingles. Sets of which the sketches
+    (signs) show that they differ by too much aren't made."""
+    one, two = (signs.select([F.col(c).alias(f"{x}_{c}") for c in signs.columns]) for x in "ab")
+    both = pairs.join(one, F.col("a") == F.col("a_doc_id")).join(two, F.col("b") == F.col("b_doc_id"))
+    apart = sum((F.bit_count(F.col(f"a_b{k}").bitwiseXOR(F.col(f"b_b{k}"))) for k in range(8)), F.lit(0))
+    # |A ^ B| <= (|A| + |B|) * (1 - least) / (1 + least) if the Jaccard coefficient is at least that
+    near = apart <= (F.col("a_n") + F.col("b_n")) * ((1 - least) / (1 + least)) + 1e-6
+    pairs = cut(both.filter(near).select("a", "b"))
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = cut(shingle_sets(docs.join(ends, "doc_id", "left_semi"), size))
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(
@@ -382,31 +404,19 @@ def labelled(ids: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def all_links(filed: DataFrame, links: DataFrame, ids: DataFrame, verify) -> DataFrame:
-    """links (a, b), true ones, and as many more as make their components those of every pair of rows of filed
-    (key, doc_id) with a key in common that verify() keeps. Pairs inside a component need no comparison. In buckets of
-    over CROWD members that hold several components, one member is compared with the others, in up to TURNS turns;
-    then every pair left between components is."""
-
-    def mixed() -> DataFrame:
-        named = filed.join(cut(labelled(ids, links)), "doc_id")
-        several = named.groupBy("key").agg(
-            F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.count(F.lit(1)).alias("n"),
-            F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "component_id")).alias("pivot"),
-        )
-        return cut(named.join(several.filter("low <> high").select("key", "n", "pivot"), "key"))
-
+    """Links (a, b) whose components are those of all pairs that verify() keeps, of the links given and of the rows of
+    filed (key, doc_id) with a key in common. First the links, and in buckets of over CROWD members the pairs of PIVOTS of
+    them with the others; then every pair that is left between components."""
     a, b = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    for turn in range(TURNS):  # noqa: B007
-        rows = mixed()
-        star = rows.filter((F.col("n") > CROWD) & (F.col("pivot.component_id") != F.col("component_id")))
-        more = verify(star.select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b")).select(a, b).distinct())
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-    else:
-        rows = mixed()
+    pivots = [F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id"))["doc_id"] for k in range(PIVOTS)]
+    crowds = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array(*pivots).alias("pivots")).filter(F.col("n") > CROWD)
+    star = filed.join(crowds, "key").select(F.explode("pivots").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
+    links = verify(links.unionByName(star).select(a, b).distinct())
+    named = filed.join(cut(labelled(ids, links)), "doc_id")
+    mixed = named.groupBy("key").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).filter("low <> high")
+    rows = cut(named.join(mixed.select("key"), "key").select("key", "doc_id", "component_id"))
     one, two = (rows.select("key", F.col("doc_id").alias(x), F.col("component_id").alias(f"c{x}")) for x in "ab")
-    rest = one.join(two, (one["key"] == two["key"]) & (F.col("ca") < F.col("cb")))
+    rest = one.join(two, "key").filter("ca < cb")
     return links.unionByName(verify(rest.select(a, b).distinct()))
 
 
@@ -423,9 +433,10 @@ def near_duplicates(docs: DataFrame, limit: int = 7, words: int = 2, size: int =
     )
     same = own.join(fps, "fp").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
+    filed, signs = cut(prefixes(docs, size, least)), cut(sketches(docs, size))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        return alike(pairs, docs, size, least)
+        return alike(pairs, docs, signs, size, least)
 
-    filed = cut(prefixes(docs, size, least))
-    found = all_links(filed, verify(far.select("a", "b").unionByName(same)), own.select("doc_id"), verify)
+    found = all_links(filed, far.select("a", "b").unionByName(same), own.select("doc_id"), verify)
     return labelled(own.select("doc_id"), found)

@@ -33,6 +33,8 @@ PARTS = (2, 3, 4, 5)
 CROWD, PIVOTS = 16, 3
 #: Shingles that come last in the prefix filter's order: at most so many, by counts over one of SOME documents.
 COMMON, SOME = 200_000, 16
+#: Longs in a sketch: those of texts of up to some 4,000 unlike shingles tell them apart.
+SKETCH = 32
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -362,19 +364,19 @@ def shared_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, bits): how many shingles, and for each of 512 hash values, as eight longs, whether an odd number of
+    """(doc_id, n, bits): how many shingles, and for each of 64 * SKETCH hash values, as longs, whether an odd number of
     them has it. Two texts' bits differ in no more places than their sets of shingles do."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(text, size) for text in text_bytes(b.column(1))]
-            odd = [np.packbits(np.bincount((s & np.uint64(511)).astype(np.intp), minlength=512) & 1).view("<i8") for s in sets]
+            odd = [np.packbits(np.bincount((s % np.uint64(64 * SKETCH)).astype(np.intp), minlength=64 * SKETCH) & 1).view("<i8") for s in sets]
             many = pa.array([len(s) for s in sets], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), many, pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "n", "bits"])
 
     kept = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     got = kept.mapInArrow(scan, "doc_id long, n int, bits array<long>")
-    return got.select("doc_id", "n", *[F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(8)])
+    return got.select("doc_id", "n", *[F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(SKETCH)])
 
 
 def alike(pairs: DataFrame, docs: DataFrame, signs: DataFrame, size: int, least: float) -> DataFrame:
@@ -382,10 +384,11 @@ def alike(pairs: DataFrame, docs: DataFrame, signs: DataFrame, size: int, least:
     (signs) show that they differ by too much aren't made."""
     one, two = (signs.select([F.col(c).alias(f"{x}_{c}") for c in signs.columns]) for x in "ab")
     both = pairs.join(one, F.col("a") == F.col("a_doc_id")).join(two, F.col("b") == F.col("b_doc_id"))
-    apart = sum((F.bit_count(F.col(f"a_b{k}").bitwiseXOR(F.col(f"b_b{k}"))) for k in range(8)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"a_b{k}").bitwiseXOR(F.col(f"b_b{k}"))) for k in range(SKETCH)), F.lit(0))
     # |A ^ B| <= (|A| + |B|) * (1 - least) / (1 + least) if the Jaccard coefficient is at least that
     near = apart <= (F.col("a_n") + F.col("b_n")) * ((1 - least) / (1 + least)) + 1e-6
-    pairs = cut(both.filter(near).select("a", "b"))
+    sized = F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n") - 1e-6
+    pairs = cut(both.filter(sized & near).select("a", "b"))
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = cut(shingle_sets(docs.join(ends, "doc_id", "left_semi"), size))
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(

@@ -4,14 +4,13 @@ Texts are bytes (A-Z in lower case) and an end mark, byte 255, which UTF-8 never
 Huffman code of the training bytes, so the product of the bits' probabilities is a distribution over texts. Five
 predictors count the bits seen in hashed contexts: the last one, two, three and four bytes, and the current word's
 bytes so far, each with the node of the code. Their log-odds are combined by weights from a set that a gate picks by how
-much the longer contexts have been seen. A task counts its texts block by block, and then goes through its latest blocks
-again: it predicts a part of a block's bits, with the bits' own counts taken out, and moves the weights before it goes on
+much the longer contexts have been seen. A task goes through its texts block by block: it counts a block, and then
+predicts a part of a block's bits, with the bits' own counts taken out, and moves the weights before it goes on
 to the next part. An adaptive map refines each probability, by the depth of the node and the gate, from what followed
 such predictions. Tasks' counters and maps are summed, and their weights averaged by what they saw; scoring uses the sums
 over all tasks.
 
-Two scans learn (tokens and bytes; contexts, weights and maps) and one scores. All cover every training text; weights
-and maps, a few thousand numbers, come from up to RECENT blocks of each task. What goes to the driver and out again has a fixed size: SLOTS counters, the maps, and HEAVY frequent tokens; other tokens are
+Two scans learn (tokens and bytes; contexts, weights and maps) and one scores. All cover every training text. What goes to the driver and out again has a fixed size: SLOTS counters, the maps, and HEAVY frequent tokens; other tokens are
 looked up by a join. Equal contexts of a block are computed once. A token is named by its 64-bit XXH64.
 
 Nulls: a null text is the empty one (an end alone); a null id hashes as the empty text. Repeated rows count as often
@@ -21,7 +20,7 @@ as they come. An empty table gives no rows, and without training texts the score
 from __future__ import annotations
 
 import heapq
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ from rollumen.llm.common import Generations, crc32_text, cut, text_bytes
 END, BEFORE, PIECE, BLOCK = 255, 64, 1 << 20, 3 << 19
 #: log2 of the counters of each predictor; segments of counters that travel together; frequent tokens that are sent.
 BITS = (16, 18, 20, 21, 23)
-SEGMENT, HEAVY, MERGE, RECENT = 16, 200_000, 64, 4
+SEGMENT, HEAVY, MERGE = 16, 200_000, 64
 BASES = np.cumsum([0, *(1 << b for b in BITS)])
 SLOTS = int(BASES[-1])
 PRIOR = 0.04
@@ -370,7 +369,7 @@ class Learner:
         self.flat = np.zeros(2 * SLOTS, np.int32)
         self.w, self.g2 = np.full((GATES, INPUTS), 0.3), np.full((GATES, INPUTS), 1e-4)
         self.seen, self.ones, self.total = np.zeros(GATES), np.zeros(MAP), np.zeros(MAP)
-        self.recent: deque[Contexts] = deque(maxlen=RECENT)
+        self.counted: list[Contexts] = []
 
     def count(self, block: list[tuple[int, bytes, bytes]]) -> None:
         depth, node, bit = self.code
@@ -383,10 +382,12 @@ class Learner:
                 side, at, times = bit[own, d].astype(np.intp), node[own, d], many[which]
                 for k in predictors:
                     np.add.at(self.flat, c.slots(k, which, at) * 2 + side, times)
-        self.recent.append(c)
+        self.counted.append(c)
 
     def learn(self) -> None:
-        for c in self.recent:
+        """From the blocks counted since the last call."""
+        held, self.counted = self.counted, []
+        for c in held:
             for d, which, b, x, gate in bit_rounds(c, self.code, pair_reader(self.flat), True):
                 n = c.n[which].astype(np.int32)
                 step = max(1 << 13, len(which) // 4)
@@ -420,7 +421,7 @@ def learn_contexts(train: DataFrame, code: tuple) -> tuple[np.ndarray, np.ndarra
         for b in batches:
             for block in blocks(text_bytes(b.column(0))):
                 own.count(block)
-        own.learn()
+                own.learn()
         part, pairs = TaskContext.get().partitionId(), own.flat.reshape(-1, 2)
 
         def row(segment: int, data: bytes) -> pa.RecordBatch:

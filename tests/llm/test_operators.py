@@ -93,6 +93,23 @@ def test_mixing_is_a_distribution_and_learns():
     assert model.scores([b"the cat sat"])[0] > model.scores([b"xqz vjk wpf"])[0]
 
 
+def test_mixing_weights_learn_from_every_block(monkeypatch):
+    # as many predictions as bits of the training texts, however many blocks a task has
+    monkeypatch.setattr(context_mixing, "BLOCK", 200)
+    texts = [sentence(random.Random(k), 30).encode() for k in range(12)]
+    histogram = sum(np.bincount(np.frombuffer(x, np.uint8), minlength=256) for x in texts)
+    histogram[255] += len(texts)
+    code = context_mixing.huffman(histogram)
+    learner = context_mixing.Learner(code)
+    own = list(context_mixing.blocks(texts))
+    assert len(own) > 4
+    for block in own:
+        learner.count(block)
+    learner.learn()
+    bits = sum(int(code[0][b]) for x in texts for b in x + b"\xff")
+    assert learner.total.sum() == learner.seen.sum() == bits
+
+
 def test_distinct_against_unique():
     key = np.random.default_rng(0).integers(0, 50, 4000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     first, of, n = context_mixing.distinct(key, True)

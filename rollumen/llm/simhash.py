@@ -270,14 +270,10 @@ def simhash_groups(docs: DataFrame, limit: int = LIMIT, words: int = WORDS) -> D
     own = cut(fingerprints(docs, words))
     fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     links = near_links(fps, limit)
-    ids = fps.select("fp", "rep").filter("rep is not null")
-    named = links.join(ids.select(F.col("fp").alias("fa"), F.col("rep").alias("a")), "fa").join(
-        ids.select(F.col("fp").alias("fb"), F.col("rep").alias("b")), "fb"
-    )
-    comps = connected_components(named.select("a", "b"))
-    classes = fps.join(comps, fps["rep"] == comps["node"], "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
+    comps = connected_components(links.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+    of = fps.join(comps, fps["fp"] == comps["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    named = of.groupBy("root").agg(F.min("rep").alias("component_id"))
+    classes = of.join(named, "root").select("fp", "component_id")
     return own.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

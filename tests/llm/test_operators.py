@@ -507,6 +507,15 @@ def test_planted_fingerprints(spark, monkeypatch, block, limit):
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
 
+def test_links_through_null_ids(spark, monkeypatch):
+    # a chain in steps of four bits, whose middle has no id
+    fps = [(1, 0), (None, 0b1111), (2, 0b11111111)]
+    table = spark.createDataFrame(fps, "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words: table)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.simhash_groups(table).collect()}
+    assert got == {1: 1, None: 1, 2: 1}
+
+
 def test_dynamic_program():
     costs = [[1.0, 5.0, 9.0], [2.0, 3.0, 4.0], [7.0, 8.0, 30.0]]
     for total in (-3, -1, 0, 2):

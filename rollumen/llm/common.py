@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: White space of the contracts, as a Java, RE2 and Python character class.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -25,10 +27,13 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir. Where the session names none, a temporary one stands in if all tasks run in
+    this process's JVM (tests); on a cluster that is an error, as executors don't share such folders."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if named is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="rollumen-")
         sc.setCheckpointDir(named)
     return str(named)
@@ -64,23 +69,39 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
 
 def prefix_sums(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Running sum of `value` before each row, in the order of `keys`, without one task for all rows: sort by
-    range, sum each range, add the sums of earlier ranges (one number for each partition goes to the driver)."""
-    from pyspark.sql import Window
-
+    range, sum each range, add the sums of earlier ranges (one number for each partition goes to the driver). The
+    ranges are read again as they were written, so nothing is dealt a second time."""
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     held = cut(ranged.withColumn("_part", F.spark_partition_id()))
-    sums = {r["_part"]: r["s"] for r in held.groupBy("_part").agg(F.sum(value).alias("s")).collect()}
-    parts = sorted(sums)
-    before = np.concatenate([[0], np.cumsum([sums[p] or 0 for p in parts])]).tolist()
-    starts = spark.createDataFrame([(p, int(b)) for p, b in zip(parts, before)], "_part int, _before long")
-    w = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        held.join(F.broadcast(starts), "_part")
-        .withColumn(out, F.col("_before") + F.sum(value).over(w) - F.col(value))
-        .drop("_part", "_before")
-    )
+    sums = {r["_part"]: r["s"] or 0 for r in held.groupBy("_part").agg(F.sum(value).alias("s")).collect()}
+    before, total = {}, 0
+    for part in sorted(sums):
+        before[part] = total
+        total += sums[part]
+
+    names = [*held.columns[:-1], out]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: dict[int, int] = {}
+        for b in batches:
+            part = b.column(b.num_columns - 1).to_numpy()
+            edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else []
+            for x, y in zip(edges, edges[1:]):
+                own = b.slice(int(x), int(y - x))
+                v = own.column(value).fill_null(0).to_numpy()
+                first = done.get(int(part[x]), before[int(part[x])])
+                run = np.cumsum(v)
+                done[int(part[x])] = first + int(run[-1])
+                yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(first + run - v)], names=names)
+
+    return held.mapInArrow(scan, StructType([*held.schema.fields[:-1], StructField(out, LongType())]))
+
+
+def small(df: DataFrame, bound: int = 20_000) -> DataFrame:
+    """df to be joined as a broadcast if it has at most `bound` rows (counted), else as it is."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
 @contextmanager
@@ -107,10 +128,11 @@ class Generations(dict):
 
     def __missing__(self, key):
         got = self.old.get(key)
-        if got is None:
-            got = self.compute(key)
+        return self.put(key, self.compute(key) if got is None else got)
+
+    def put(self, key, value):
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
-        self[key] = got
-        return got
+        self[key] = value
+        return value

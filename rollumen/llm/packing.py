@@ -17,10 +17,7 @@ are packed as often as they come. An empty table gives no pieces. Other columns
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
-from itertools import accumulate, chain, compress
-from operator import add, not_
 
 import numpy as np
 import pyarrow as pa
@@ -28,98 +25,68 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollumen.llm.common import no_collection, prefix_sums, stored
+from rollumen.llm import symbols
+from rollumen.llm.common import Generations, prefix_sums, small, stored
 
-LENGTH, QUANTUM, END, KEPT, TOGETHER = 4096, 512, 2, 150_000, 2 << 20
-#: White space for Python's split() that the tokenizer's pattern doesn't count as such.
-CONTROLS = "\x1c\x1d\x1e\x1f"
-
-#: Marks that the tokenizer parts from letters before them.
-MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+LENGTH, QUANTUM, END, KEPT, TOGETHER = 4096, 512, 2, 100_000, 2 << 20
 
 _LOADED: dict[str, Words] = {}
 
 
 class Words:
-    """Ids of words, as little-endian unsigned integers of 16 bits if the vocabulary allows, else of 32; kept in two generations of up to KEPT words each; results
-    don't depend on it."""
+    """Ids of whole texts by a tokenizer file, as little-endian unsigned integers of 16 bits if the vocabulary allows, else
+    of 32. Words of other characters than symbols.Coder knows go to the tokenizer itself, and are kept in two
+    generations of up to KEPT words each; results don't depend on what is kept."""
 
     def __init__(self, path: str) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import WhitespaceSplit
-
-        self.own, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        # lower-case ASCII letters pass the normaliser and the pattern unchanged, so they can go without
-        self.bare.normalizer, self.bare.pre_tokenizer = None, WhitespaceSplit()
-        self.kind, self.code = ("<u2", "H") if self.own.get_vocab_size() <= 1 << 16 else ("<u4", "I")
-        self.kept: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self.letters_before: dict[str, bytes] = {}
-        self.closes = np.zeros(self.own.get_vocab_size(), bool)
-        for token, i in self.own.get_vocab().items():
-            self.closes[i] = token.endswith("</w>")
-
-    def plain(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for k in range(0, len(texts), 5000):
-            out += [array(self.code, e.ids).tobytes() for e in self.own.encode_batch_fast(texts[k : k + 5000], add_special_tokens=False)]
-        return out
 
-    def alphabetic(self, words: list[str], own) -> list[bytes]:
-        """Words of letters alone: the last id of each closes a word, so that many can be encoded as one text."""
+        self.own = Tokenizer.from_file(path)
+        self.kind = "<u2" if self.own.get_vocab_size() < (1 << 16) - 2 else "<u4"
+        self.coder = symbols.Coder.of_file(path)
+        self.kept = Generations(KEPT, lambda word: self.plain([word])[0])
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
         out = []
-        for k in range(0, len(words), 1000):
-            part = words[k : k + 1000]
-            ids = np.array(own.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(part):
-                data, ends = ids.tobytes(), (ends * ids.itemsize).tolist()
-                out += [data[a:b] for a, b in zip([0, *ends], ends)]
-            else:
-                out += self.plain(part)
+        for k in range(0, len(texts), 5000):
+            out += [np.array(e.ids, self.kind) for e in self.own.encode_batch_fast(texts[k : k + 5000], add_special_tokens=False)]
         return out
 
-    def learn(self, new: list[str]) -> None:
-        """Adds words. A word of letters and closing marks is its letters (in lower case if ASCII) and its marks."""
-        cores = [w.rstrip(MARKS) for w in new]
-        plain = list(map(str.isalpha, cores))
-        whole = list(compress(new, map(not_, plain)))
-        words, cores = list(compress(new, plain)), list(compress(cores, plain))
-        tails = [w[len(c) :] for w, c in zip(words, cores)]
-        cores = [c.lower() if c.isascii() else c for c in cores]
-        wanted = set(cores)
-        if len(self.letters) > KEPT:  # what is wanted now must not go with the older generation
-            self.letters, self.letters_before = {}, self.letters
-        wanted.difference_update(self.letters)
-        old = wanted.intersection(self.letters_before)
-        self.letters.update(zip(old, map(self.letters_before.__getitem__, old)))
-        for own, missing in ((self.bare, [w for w in wanted - old if w.isascii()]), (self.own, [w for w in wanted - old if not w.isascii()])):
-            self.letters.update(zip(missing, self.alphabetic(missing, own)))
-        ids = list(map(self.letters.__getitem__, cores))
-        ends = {t: x for t in set(tails) for x in self.plain([t])}
-        self.kept.update(zip(words, map(add, ids, map(ends.__getitem__, tails))))
-        self.kept.update(zip(whole, self.plain(whole)))
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Whole texts. The tokenizer drops white space and never joins what it parts."""
-        split = [[t] if any(c in t for c in CONTROLS) else t.split() for t in texts]
-        flat = list(chain.from_iterable(split))
-        if len(self.kept) > KEPT:
-            self.kept, self.before = {}, self.kept
-        got = list(map(self.kept.get, flat))
-        if missing := [i for i, x in enumerate(got) if x is None]:
-            new = {flat[i] for i in missing}
-            known = new.intersection(self.before)
-            self.kept.update((w, self.before[w]) for w in known)
-            self.learn(list(new - known))
-            for i in missing:
-                got[i] = self.kept[flat[i]]
-        ends = list(accumulate(map(len, split), initial=0))
-        return [b"".join(got[a:b]) for a, b in zip(ends, ends[1:])]
+    def words(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of each word; those not held yet are encoded together."""
+        new = [w for w in set(words) if w not in self.kept and w not in self.kept.old]
+        if len(new) > KEPT // 4:  # more than the store can take in at once
+            found = dict(zip(new, self.plain(new)))
+            return [found[w] if w in found else self.kept[w] for w in words]
+        for w, ids in zip(new, self.plain(new)):
+            self.kept.put(w, ids)
+        return [self.kept[w] for w in words]
+
+    def encode_all(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, `end` after each, and where each text begins (and the last one ends)."""
+        if self.coder is None:
+            own = [np.append(x, np.array(end, self.kind)) for x in self.plain(texts)]
+            return np.concatenate(own), np.cumsum([0, *map(len, own)])
+        parts, owner = symbols.parts(texts, TOGETHER // 2)
+        ids, stops, at, odd = self.coder.encode(parts)
+        ids = ids.astype(self.kind)
+        sizes = np.ones(len(ids), np.int64)
+        if odd:
+            known = self.words(odd)
+            sizes[at] = list(map(len, known))
+        last = np.append(owner[1:] != owner[:-1], True)
+        ids[stops[last]] = end
+        sizes[stops[~last]] = 0
+        out = np.repeat(ids, sizes)
+        ends = np.cumsum(sizes)
+        if odd:
+            mark = np.zeros(len(ids), bool)
+            mark[at] = True
+            out[np.repeat(mark, sizes)] = np.concatenate(known)
+        return out, np.append(0, ends[stops[last]])
 
 
 def tokenizer(path: str) -> Words:
@@ -144,13 +111,12 @@ def tokenised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
-        stop = np.array([end], own.kind).tobytes()
         for b in batches:
             for part in lots(b, 3):
-                with no_collection():
-                    got = [x + stop for x in own.encode_all(part.column(3).to_pylist())]
-                n = pa.array([len(x) // len(stop) for x in got], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), n, pa.array(got, pa.binary())], names=["row", "doc_id", "source", "n", "ids"])
+                ids, edges = own.encode_all(part.column(3).to_pylist(), end)
+                at = pa.py_buffer((edges * ids.itemsize).astype(np.int64))
+                data = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, at, pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(np.diff(edges)), data], names=["row", "doc_id", "source", "n", "ids"])
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -172,10 +138,11 @@ def schedule(counts: DataFrame, length: int = LENGTH, quantum: int = QUANTUM, mi
     # queues in the order of source: where each begins
     queues = prefix_sums(totals.withColumn("share", share), ["source"], "total", "base")
     placed = prefix_sums(counts.select("row", "doc_id", "source", "n"), ["source", "doc_id", "row"], "n", "at")
-    same = placed["source"].eqNullSafe(queues["source"])
+    queues = small(queues.select(F.col("source").alias("_queue"), "total", "share", "base"))
+    same = placed["source"].eqNullSafe(F.col("_queue"))
     cut = (
         placed.join(queues, same)
-        .select("row", placed["source"].alias("source"), "n", (F.col("at") - F.col("base")).alias("q"), "total", "share")
+        .select("row", "source", "n", (F.col("at") - F.col("base")).alias("q"), "total", "share")
         .withColumn("k", F.explode(F.sequence(F.floor(F.col("q") / quantum), F.floor((F.col("q") + F.col("n") - 1) / quantum))))
         .withColumn("from", F.greatest("q", F.col("k") * quantum))
         .withColumn("to", F.least(F.col("q") + F.col("n"), (F.col("k") + 1) * quantum))

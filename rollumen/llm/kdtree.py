@@ -1,28 +1,36 @@
 """Exact top-k inner-product search with one KD-tree per shard.
 
-Rows are dealt into shards of about SHARD rows and queries into blocks of BLOCK. A shard's tree splits at the median of
-the widest axis; every node has the tight box of its rows. A box bounds a query's score by the sum over axes of the
-larger of query * low and query * high. The traversal takes the node of the highest bound first and stops when that is
-below the kth score so far. Each block first searches one shard; the kth scores it finds go with the queries to the
-other shards, where they prune from the start. A task holds one shard and one block.
+Space is cut into at most CELLS cells by median splits of a bounded sample (SAMPLE rows; every row is then indexed). A cell's
+rows are dealt by hash into shards of about SHARD rows, so that a cell of many equal vectors is many shards. A shard's
+tree splits at the median of the widest axis; every node has the tight box of its rows. A box bounds a query's score by
+the sum over axes of the larger of query * low and query * high. The traversal takes the node of the highest bound first
+and stops when that is below the kth score so far.
+
+Cells have tight boxes of all their rows, too. In the first round each query goes to the cell of its highest bound; in the
+second one, with the kth score found there, to those other cells whose boxes can hold a better one, where it prunes from
+the start. A task holds one shard, builds its tree once and answers the queries as they stream by. To the driver go the
+sample and one box for each cell.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows without an id or whose vector
 has another length than the query's. Equal scores rank by smaller id. Repeated rows are rows of their own: only a
-query's own row is not its candidate. An empty table gives no rows. Other columns are ignored.
+query's own row is not its candidate. An empty table gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollumen.llm.common import cut
 
-SHARD, BLOCK, LEAF, SCALE = 4096, 4096, 128, 256
+SHARD, LEAF, SCALE = 4096, 128, 256
+SAMPLE, CELLS, TOGETHER = 32_768, 256, 256
 
 
 class Tree:
@@ -54,16 +62,25 @@ class Tree:
         x, ids, own = x[order], ids[order], own[order]
         grow(np.arange(len(x)), 0)
         rows = np.concatenate(laid)
-        self.x, self.ids, self.own = x[rows], ids[rows], own[rows]
-        self.lo, self.hi, self.left, self.right, self.span = np.array(lo), np.array(hi), left, right, span
+        self.ids, self.own, self.left, self.right, self.span = ids[rows], own[rows], left, right, span
+        self.most = max(int(np.abs(x).max()), 1)
+        # rows, lowest and highest components: as whole numbers, and as floating-point ones for sums that stay exact
+        whole = x[rows], np.array(lo), np.array(hi)
+        self.by_kind = {"i": whole, "f": tuple(a.astype(float) for a in whole)}
+
+    def fitting(self, q: np.ndarray) -> np.ndarray:
+        """Whole-number queries, as floating-point ones if all sums stay exact."""
+        return q.astype(float) if len(q) and int(np.abs(q).max()) * self.most * q.shape[1] < 1 << 53 else q
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """The highest score that each query can have in each node."""
-        return np.maximum(q, 0) @ self.hi.T + np.minimum(q, 0) @ self.lo.T
+        _, lo, hi = self.by_kind[q.dtype.kind]
+        return np.maximum(q, 0) @ hi.T + np.minimum(q, 0) @ lo.T
 
     def top(self, q: np.ndarray, bound: np.ndarray, own: int, k: int, floor: float) -> list[tuple[float, int]]:
         """Up to k of (score, id) that aren't below floor, the best first."""
         best: list[tuple[float, int]] = []
+        x = self.by_kind[q.dtype.kind][0]
         frontier = [(-bound[0], 0)]
         while frontier:
             b, node = heappop(frontier)
@@ -75,7 +92,7 @@ class Tree:
                         heappush(frontier, (-bound[child], child))
                 continue
             s, t = self.span[node]
-            score = self.x[s:t] @ q
+            score = x[s:t] @ q
             near = np.flatnonzero((score >= floor) & (self.own[s:t] != own))
             if len(near):
                 best += zip((-score[near]).tolist(), self.ids[s:t][near].tolist())
@@ -86,27 +103,159 @@ class Tree:
         return [(-s, i) for s, i in best]
 
 
-def matrix(column: pd.Series) -> np.ndarray:
-    x = np.array(column.tolist(), np.int64)
-    if len(x) and int(np.abs(x).max()) ** 2 * x.shape[1] < 1 << 53:
-        return x.astype(float)  # sums stay exact
-    return x
+def vectors(column: pa.Array, size: int) -> np.ndarray:
+    return np.array(column.flatten().to_numpy(), np.int64).reshape(-1, size)
+
+
+def median_splits(x: np.ndarray, cells: int) -> list[tuple[int, int, int, float]]:
+    """Nodes (left, right, axis, cut); a negative child is cell -1 - child. Empty: one cell."""
+    nodes: list[tuple[int, int, int, float]] = []
+    made = 0
+
+    def grow(rows: np.ndarray, most: int) -> int:
+        nonlocal made
+        part = x[rows]
+        axis = int((part.max(0) - part.min(0)).argmax()) if len(rows) else 0
+        cut_at = float(np.median(part[:, axis])) if len(rows) else 0.0
+        if len(rows) and cut_at == part[:, axis].min() < part[:, axis].max():  # over half of the rows are the lowest
+            cut_at = float(part[part[:, axis] > cut_at, axis].min())
+        low = part[:, axis] < cut_at if len(rows) else np.zeros(0, bool)
+        if most < 2 or not low.any() or low.all():
+            made += 1
+            return -made
+        at = len(nodes)
+        nodes.append((0, 0, axis, cut_at))
+        nodes[at] = (grow(rows[low], most // 2), grow(rows[~low], most - most // 2), axis, cut_at)
+        return at
+
+    grow(np.arange(len(x)), cells)
+    return nodes
+
+
+def cell_of(nodes: list[tuple[int, int, int, float]], x: np.ndarray) -> np.ndarray:
+    """Each row's cell; an axis that a vector doesn't have counts as below the cut."""
+    out = np.zeros(len(x), np.int32)
+    queue = [(0, np.arange(len(x)))] if nodes else []
+    while queue:
+        k, rows = queue.pop()
+        left, right, axis, cut_at = nodes[k]
+        high = x[rows, axis] >= cut_at if axis < x.shape[1] else np.zeros(len(rows), bool)
+        for child, own in ((left, rows[~high]), (right, rows[high])):
+            if child < 0:
+                out[own] = -1 - child
+            else:
+                queue.append((child, own))
+    return out
+
+
+def celled(held: DataFrame, nodes: list[tuple[int, int, int, float]]) -> DataFrame:
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = b.column(2).value_lengths().to_numpy()
+            cell = np.zeros(len(size), np.int32)
+            for n in np.unique(size):
+                at = np.flatnonzero(size == n)
+                cell[at] = cell_of(nodes, vectors(b.column(2).take(pa.array(at)), int(n)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(size, pa.int32()), pa.array(cell)], names=[*b.schema.names, "size", "cell"])
+
+    return held.mapInArrow(scan, "own long, vec_id long, v array<long>, size int, cell int")
+
+
+def boxes_of(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By length of vectors: cells, rows, lowest and highest components (tight)."""
+    schema = "size int, cell int, n long, lo array<long>, hi array<long>"
 
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], list] = {}
+        for b in batches:
+            size, cell = b.column(3).to_numpy(), b.column(4).to_numpy()
+            for n, c in set(zip(size.tolist(), cell.tolist())):
+                x = vectors(b.column(2).filter(pa.array((size == n) & (cell == c))), n)
+                m, lo, hi = seen.get((n, c), (0, x[0], x[0]))
+                seen[n, c] = [m + len(x), np.minimum(lo, x.min(0)), np.maximum(hi, x.max(0))]
+        cols = [[n for n, _ in seen], [c for _, c in seen], *zip(*seen.values())] if seen else [[]] * 5
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["size", "cell", "n", "lo", "hi"])
 
-def search_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int, leaf: int = LEAF) -> pd.DataFrame:
-    out = []
-    for size, qs in queries.groupby(queries["v"].map(len)):
-        part = rows[rows["v"].map(len) == size]
-        if not len(part) or not size:
-            continue
-        tree = Tree(matrix(part["v"]), part["vec_id"].to_numpy(), part["own"].to_numpy(), leaf)
-        q = matrix(qs["v"])
-        for a in range(0, len(q), 256):
-            bound = tree.bounds(q[a : a + 256])
-            for j, (i, own, floor) in enumerate(zip(qs["vec_id"][a : a + 256], qs["own"][a : a + 256], qs["floor"][a : a + 256])):
-                got = tree.top(q[a + j], bound[j], own, k, -np.inf if pd.isna(floor) else floor)
-                out += [(own, i, c, int(s)) for s, c in got]
-    return pd.DataFrame(out, columns=["own", "query_id", "vec_id", "score"]).astype("int64")
+    def merge(f: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = np.min(f["lo"].tolist(), 0), np.max(f["hi"].tolist(), 0)
+        return pd.DataFrame({"size": f["size"][:1], "cell": f["cell"][:1], "n": [int(f["n"].sum())], "lo": [lo], "hi": [hi]})
+
+    got = rows.filter("size > 0").mapInArrow(scan, schema).groupBy("size", "cell").applyInPandas(merge, schema).toPandas().sort_values(["size", "cell"])
+    return {int(n): (f["cell"].to_numpy(), f["n"].to_numpy(), np.array(f["lo"].tolist(), float), np.array(f["hi"].tolist(), float)) for n, f in got.groupby("size")}
+
+
+def sent(queries: DataFrame, boxes: dict, shard: int, home: bool) -> DataFrame:
+    """Queries (own, vec_id, v, size, cell, floor), once for each shard that they have to search: at home those of the cell
+    of the highest bound; then those of all other cells with a bound not below the floor."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, which, cell, part = b.column(3).to_numpy(), [], [], []
+            for n in np.unique(size).tolist():
+                cells, rows, lo, hi = boxes[n]
+                at = np.flatnonzero(size == n)
+                q = vectors(b.column(2).take(pa.array(at)), n).astype(float)
+                bound = np.maximum(q, 0) @ hi.T + np.minimum(q, 0) @ lo.T
+                best = bound.argmax(1)
+                if home:
+                    chosen = np.zeros(bound.shape, bool)
+                    chosen[np.arange(len(at)), best] = True
+                else:
+                    floor = b.column(5).take(pa.array(at)).fill_null(-np.inf).to_numpy()
+                    # bounds are sums of large products: a little room for their rounding
+                    room = 1e-12 * (np.abs(q) @ np.maximum(np.abs(lo), np.abs(hi)).T)  # for the rounding of large sums
+                    chosen = bound + room >= floor[:, None]
+                    chosen[np.arange(len(at)), best] = False
+                i, c = np.nonzero(chosen)
+                many = -(-rows[c] // shard)
+                which.append(np.repeat(at[i], many))
+                cell.append(np.repeat(cells[c], many))
+                part.append(np.concatenate([np.zeros(0, np.int64), *(np.arange(m) for m in many)]))
+            which = pa.array(np.concatenate([np.zeros(0, np.int64), *which]).astype(np.int64))
+            own = [b.column(k).take(which) for k in (0, 1, 2, 3, 5)]
+            placed = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int32)) for x in (cell, part)]
+            yield pa.RecordBatch.from_arrays([*own[:4], *placed, own[4]], names=["own", "vec_id", "v", "size", "cell", "part", "floor"])
+
+    return queries.mapInArrow(scan, "own long, vec_id long, v array<long>, size int, cell int, part int, floor double")
+
+
+def search(k: int, leaf: int):
+    """For rows (size, cell, part, asks, own, vec_id, v, floor) sorted by the first four: a shard's rows, then its queries."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held, tree = None, [], None
+
+        def answered(b: pa.RecordBatch, n: int) -> pa.RecordBatch:
+            out: list[tuple[int, int, int, int]] = []
+            q = tree.fitting(vectors(b.column(6), n))
+            floors = b.column(7).fill_null(-np.inf).to_numpy()
+            for a in range(0, len(q), TOGETHER):
+                bound = tree.bounds(q[a : a + TOGETHER])
+                for j, (i, own, floor) in enumerate(zip(b.column(5)[a : a + TOGETHER].to_pylist(), b.column(4)[a : a + TOGETHER].to_pylist(), floors[a : a + TOGETHER])):
+                    out += [(own, i, c, int(s)) for s, c in tree.top(q[a + j], bound[j], own, k, floor)]
+            cols = list(zip(*out)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["own", "query_id", "vec_id", "score"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(c).cast(pa.int32()).to_numpy() for c in range(4)], 1)
+            edges = np.append(np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))), len(keys))
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                own, n = b.slice(x, y - x), int(keys[x, 0])
+                if tuple(keys[x, :3]) != name:
+                    name, held, tree = tuple(keys[x, :3]), [], None
+                if not keys[x, 3]:
+                    held.append(own)
+                elif held:
+                    if tree is None:
+                        v = np.concatenate([vectors(h.column(6), n) for h in held])
+                        ids, rows = (np.concatenate([h.column(c).to_numpy() for h in held]) for c in (5, 4))
+                        tree = Tree(v, ids, rows, leaf)
+                    yield answered(own, n)
+
+    return scan
 
 
 def whole_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -120,32 +269,33 @@ def whole_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
     return own.filter(fine).select("own", "vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
 
 
-def top_k(rows: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE, shard: int = SHARD, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
+def top_k(rows: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE, shard: int = SHARD, leaf: int = LEAF, cells: int = CELLS) -> DataFrame:
     """query_id, rank, vec_id, score: for rows whose id is divisible by `every`, the k best other rows."""
     held = cut(whole_vectors(rows, scale))
-    sizes = held.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
-    shards, blocks = -(-sizes[0] // shard) or 1, -(-sizes[1] // block) or 1
-    hashed = F.pmod(F.xxhash64("own"), F.lit(shards)).cast("int")
-    base = held.withColumn("shard", hashed).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = held.filter(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("own"), F.lit(blocks)).cast("int"))
-    home = F.col("block") % shards
-    schema = "own long, query_id long, vec_id long, score long"
-
-    def look(left: DataFrame, right: DataFrame) -> DataFrame:
-        def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            return search_block(a, b.rename(columns=lambda c: c.removeprefix("q_")), k, leaf)
-
-        # other names and numbers than the rows', as both come from one table
-        left = left.select("shard", "block", "own", "vec_id", "v")
-        right = right.toDF(*[f"q_{c}" for c in right.columns]).withColumnsRenamed({"q_shard": "shard", "q_block": "block"})
-        return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(one, schema)
-
-    first = cut(look(base.filter(F.col("shard") == home), asked.withColumn("shard", home).withColumn("floor", F.lit(None).cast("double"))))
-    floors = first.groupBy("own").agg(F.min("score").cast("double").alias("low"), F.count(F.lit(1)).alias("n"))
-    told = asked.join(floors, "own", "left").withColumn("floor", F.when(F.col("n") == k, F.col("low"))).drop("low", "n")
-    rest = told.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(F.col("shard") != home)
-    both = first.unionByName(look(base.filter(F.col("shard") != home), rest))
+    total = held.count()
+    some = held.filter(F.pmod(F.xxhash64("own"), F.lit(max(total, 1))) < SAMPLE).limit(2 * SAMPLE).select("v").toPandas()["v"]
+    size = max(map(len, some), default=0)
+    x = np.array([v for v in some if len(v) == size] or np.zeros((0, 1)), float)
+    placed = cut(celled(held, median_splits(x, min(cells, -(-total // shard))) if size else []))
+    boxes = boxes_of(placed)
+    many = F.create_map(*[F.lit(v) for n, (c, m, _, _) in boxes.items() for i, j in zip(c, m) for v in (f"{n} {i}", int(-(-j // shard)))]) if boxes else F.create_map(F.lit(""), F.lit(1))
+    name = F.concat_ws(" ", "size", "cell")
+    base = placed.filter("size > 0").select(
+        "size", "cell", F.pmod(F.xxhash64("own"), F.element_at(many, name)).cast("int").alias("part"), F.lit(0).alias("asks"), "own", "vec_id", "v", F.lit(None).cast("double").alias("floor")
+    )
+    asked = placed.filter((F.col("size") > 0) & (F.col("vec_id") % every == 0))
+    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["size", "cell", "part"]
+
+    def look(queries: DataFrame) -> DataFrame:
+        both = base.unionByName(queries.withColumn("asks", F.lit(1)))
+        dealt = both.repartition(n_parts, *keys).sortWithinPartitions(*keys, "asks").select(*keys, "asks", "own", "vec_id", "v", "floor")
+        return dealt.mapInArrow(search(k, leaf), "own long, query_id long, vec_id long, score long")
+
     w = Window.partitionBy("own", "query_id").orderBy(F.desc("score"), "vec_id")
+    first = cut(look(sent(asked.withColumn("floor", F.lit(None).cast("double")), boxes, shard, True)))
+    floors = first.withColumn("r", F.row_number().over(w)).filter(F.col("r") == k).select("own", F.col("score").cast("double").alias("floor"))
+    both = first.unionByName(look(sent(asked.join(floors, "own", "left").select(*asked.columns, "floor"), boxes, shard, False)))
     return both.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

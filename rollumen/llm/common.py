@@ -53,6 +53,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(column: str):
+    """A column by its exact name, whatever characters that has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, base: str) -> str:
+    """A column name like `base` that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    return next(x for x in (base, *(f"{base}{k}" for k in range(len(have) + 1))) if x.lower() not in have)
+
+
 def crc32_text(col: str = "doc_id"):
     """crc32 of the column as text; a null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
@@ -104,6 +115,19 @@ def small(df: DataFrame, bound: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
+def most_frequent(df: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of the largest counts `n`, at most `most` of them: those from the lowest power of two that leaves so few.
+    One number for each power goes to the driver, so what is collected of the result has a fixed bound."""
+    level = F.floor(F.log2(F.col(n).cast("double"))).cast("int")
+    rows, least = 0, 62
+    for r in df.filter(F.col(n) > 0).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("level")).collect():
+        rows += r["rows"]
+        if rows > most:
+            break
+        least = r["level"]
+    return df.filter(F.col(n) >= 2**least)
+
+
 @contextmanager
 def no_collection() -> Iterator[None]:
     """Without the collector of cycles: it would walk stores of millions of words, and none of them is in a cycle."""
@@ -120,19 +144,23 @@ def no_collection() -> Iterator[None]:
 
 class Generations(dict):
     """A store of up to 2 * size entries: when the young generation is full it becomes the old one, and what is asked for
-    again moves back. Results never depend on what is held. compute(key) makes a value."""
+    again moves back. Results never depend on what is held. compute(key) makes a value; keys longer than `longest` are not
+    held, which bounds the bytes of the store."""
 
-    def __init__(self, size: int, compute) -> None:
+    def __init__(self, size: int, compute, longest: int = 64) -> None:
         super().__init__()
-        self.size, self.compute, self.old = size, compute, {}
+        self.size, self.compute, self.longest, self.old = size, compute, longest, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.compute(key)
         got = self.old.get(key)
         return self.put(key, self.compute(key) if got is None else got)
 
     def put(self, key, value):
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
         return value

@@ -5,8 +5,9 @@ run and digest so that a round never has fewer tasks than the session deals, and
 identifier and its count. A text is named by SHA-256, length and XXH64 together, so a match of the digest alone is
 not taken for equality. A group that holds a third of all rows is one row of each run before the first exchange.
 
-Nulls: a null text is the empty text; a null doc_id never beats another one, and a group of null ids only keeps
-them all. Repeated rows (same id, same text) are all kept. An empty table gives no rows. Other columns are ignored.
+Nulls: a null text is the empty text; a null doc_id never beats another one. One row of each group is kept: of
+repeated rows (same id, same text) and of null ids only one of them, the first of the input as it was read. Texts of any length
+are digested whole. An empty table gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollumen.llm.common import SPACES, cut
+from rollumen.llm.common import SPACES, cut, named, unused
 
-FAN_IN = 4
+#: Runs that meet in a round; groups of over one in CROWD of all rows (CROWD of them at most) are looked up as a broadcast.
+FAN_IN, CROWD = 4, 1000
 
 NAME = ["digest", "size", "check"]
 
@@ -38,53 +40,51 @@ def merge_runs(runs: DataFrame, n_runs: int, fan_in: int = FAN_IN) -> DataFrame:
     return merged.drop("run")
 
 
+def digests_of(rows: DataFrame, id_col: str, text_col: str, row_col: str) -> DataFrame:
+    """doc_id (a struct that orders rows: null ids last, then by id and row), digest, size, check, run."""
+    norm = normalised(named(text_col).cast("string"))
+    order = F.struct(named(id_col).isNull().alias("none"), named(id_col).alias("id"), named(row_col).alias("row"))
+    own = rows.select(order.alias("doc_id"), norm.alias("norm"))
+    return cut(own.select("doc_id", F.sha2("norm", 256).alias("digest"), F.length("norm").alias("size"), F.xxhash64("norm").alias("check"), F.spark_partition_id().alias("run")))
+
+
+def merged_runs(digests: DataFrame, fan_in: int) -> tuple[DataFrame, int]:
+    """One run of all digests, and the number of rows."""
+    last = digests.agg(F.max("run").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    return merge_runs(digests, 0 if last["n"] is None else last["n"] + 1, fan_in), last["rows"]
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    norm = normalised(F.col(text_col))
-    digests = cut(
-        docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).select(
-            "doc_id",
-            F.sha2("norm", 256).alias("digest"),
-            F.length("norm").alias("size"),
-            F.xxhash64("norm").alias("check"),
-            F.spark_partition_id().alias("run"),
-        )
-    )
-    last = digests.agg(F.max("run").alias("n")).first()["n"]
-    merged = merge_runs(digests, 0 if last is None else last + 1, fan_in)
-    return digests.join(merged, NAME).select(
-        "doc_id",
-        "keep_id",
+    row = unused(docs, "row")
+    digests = digests_of(docs.withColumn(row, F.monotonically_increasing_id()), id_col, text_col, row)
+    merged, total = merged_runs(digests, fan_in)
+    merged = cut(merged)
+    hot = F.broadcast(merged.filter(F.col("group_size") > max(1, total // CROWD)))
+    cold = merged.filter(F.col("group_size") <= max(1, total // CROWD))
+    of = digests.join(hot, NAME).unionByName(digests.join(hot.select(NAME), NAME, "left_anti").join(cold, NAME))
+    return of.select(
+        F.col("doc_id.id").alias("doc_id"),
+        F.col("keep_id.id").alias("keep_id"),
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("doc_id.row") == F.col("keep_id.row")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
-    """The rows of docs that stay: of equal texts one row, with the smallest id (null ids last, then the first row)."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    norm = normalised(F.col(text_col))
-    digests = cut(
-        rows.select(
-            F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("doc_id"),
-            F.sha2(norm, 256).alias("digest"),
-            F.length(norm).alias("size"),
-            F.xxhash64(norm).alias("check"),
-            F.spark_partition_id().alias("run"),
-        )
-    )
-    last = digests.agg(F.max("run").alias("n")).first()["n"]
-    merged = merge_runs(digests, 0 if last is None else last + 1, fan_in)
-    return rows.join(merged.select(F.col("keep_id.row").alias("_row")), "_row", "left_semi").select(docs.columns)
+    """The rows of docs that stay, one for each group of equal texts. Columns of any names are kept as they are."""
+    row = unused(docs, "row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    merged, _ = merged_runs(digests_of(rows, id_col, text_col, row), fan_in)
+    return rows.join(merged.select(F.col("keep_id.row").alias(row)), row, "left_semi").select([named(c) for c in docs.columns])
 
 
 ORACLE = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
-), g AS (
-  SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY text_sha256
 )
-SELECT n.doc_id, g.keep_id, g.group_size, (n.doc_id IS NOT DISTINCT FROM g.keep_id) AS kept, n.text_sha256
-FROM n JOIN g ON n.text_sha256 = g.text_sha256
+SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+  row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
+FROM n
 """

@@ -58,12 +58,11 @@ class Words:
     def words(self, words: list[str]) -> list[np.ndarray]:
         """The ids of each word; those not held yet are encoded together."""
         new = [w for w in set(words) if w not in self.kept and w not in self.kept.old]
-        if len(new) > KEPT // 4:  # more than the store can take in at once
-            found = dict(zip(new, self.plain(new)))
-            return [found[w] if w in found else self.kept[w] for w in words]
-        for w, ids in zip(new, self.plain(new)):
+        found = dict(zip(new, self.plain(new)))
+        out = [found[w] if w in found else self.kept[w] for w in words]
+        for w, ids in found.items():
             self.kept.put(w, ids)
-        return [self.kept[w] for w in words]
+        return out
 
     def encode_all(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, `end` after each, and where each text begins (and the last one ends)."""

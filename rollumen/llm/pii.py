@@ -9,8 +9,10 @@ and different values different ones. Marks and spacing stay; a phone number has
 Check digits are computed anew, so pseudonyms are valid too. A run of numbers that doesn't
 validate as a whole is searched for values made of some of them. What doesn't validate stays as it is.
 
-Nulls: a null text stays null, with no values found. Repeated rows get equal results; an empty table gives none.
-Columns of other names are kept by pseudonymised(); names that start with _pii are its own.
+The key is a secret of the caller: whoever has it can turn pseudonyms back.
+
+Nulls: a null text stays null, with no values found; null ids play no part. Texts of any length are read whole. Equal texts
+and repeated rows get equal results; an empty table gives none. Columns of any other names are kept as they are.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollumen.llm.common import named as column
+from rollumen.llm.common import unused
+
 ROUNDS = 8
-KEY = "rollumen"
 
 #: The forms of each kind. Java's syntax; possessive where a run could be rescanned.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})"
@@ -140,10 +144,18 @@ def phone(m: Column, key: str) -> Column:
 
 
 def ssn(m: Column, key: str) -> Column:
-    d = digits_of(m)
+    """The valid numbers alone are permuted: areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999, these as
+    99 times 101."""
+    part = lambda a, n: F.substring(m, a, n).cast("int")
     ok = ~m.rlike(r"^(?:000|666|9)|-00-|-0000$")
-    radix = F.transform(d, lambda x, i: F.when(i == 0, 9).otherwise(10).cast("int"))
-    return F.when(ok, refill(m, as_text(feistel(d, radix, key, F.lit("ssn")))))
+    area, serial = part(1, 3), part(8, 4) - 1
+    values = F.array(area - F.when(area > 666, 2).otherwise(1), part(5, 2) - 1, (serial / 101).cast("int"), serial % 101)
+
+    def put(v: Column) -> Column:
+        new = F.get(v, F.lit(0)) + 1
+        return F.format_string("%03d-%02d-%04d", new + F.when(new > 665, 1).otherwise(0), F.get(v, F.lit(1)) + 1, F.get(v, F.lit(2)) * 101 + F.get(v, F.lit(3)) + 1)
+
+    return F.when(ok, bind(feistel(values, ints(898, 99, 99, 101), key, F.lit("ssn")), put))
 
 
 def ip(m: Column, key: str) -> Column:
@@ -218,7 +230,7 @@ KINDS = (
 )
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """A match's pseudonym; null if no kind of value validates."""
     return F.coalesce(*[F.when(m.rlike(whole(form)), make(m, key)) for _, form, make in KINDS])
 
@@ -256,23 +268,33 @@ def inside(m: Column, key: str) -> Column:
     return F.when(m.rlike(r"^\d++(?:[ -]\d++)++$"), bind(F.regexp_extract_all(m, F.lit(r"[ -]?\d+"), F.lit(0)), run))
 
 
-def replaced(m: Column, key: str = KEY) -> Column:
+def replaced(m: Column, key: str) -> Column:
     """(p, n): what stands in a match's place and how many values that replaces; null if none validates."""
     return bind(pseudonym(m, key), lambda p: F.when(p.isNotNull(), F.struct(p.alias("p"), F.lit(1).alias("n"))).otherwise(inside(m, key)))
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
-    """docs with its texts pseudonymised, and n_private, the number of values replaced. Column order is kept."""
-    text = F.col(text_col).cast("string")
+def private_text(text: Column, key: str) -> Column:
+    """(text, n): a text with pseudonyms in it, and how many values they replace."""
     some = text.rlike(rf"[0-9@]|{NAMES}")
-    found = docs.withColumn("_pii_m", F.when(some, F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))))
-    new = found.withColumn("_pii_p", F.transform("_pii_m", lambda m: replaced(m, key)))
-    parts = F.split(text, ANY, -1)
-    put = F.zip_with("_pii_m", "_pii_p", lambda m, p: F.coalesce(p["p"], m))
-    whole_text = F.concat_ws("", F.zip_with(parts, F.concat(put, F.array(F.lit(""))), lambda a, b: F.concat(a, b)))
-    changed = F.aggregate("_pii_p", F.lit(0), lambda a, p: a + F.coalesce(p["n"], F.lit(0)))
-    return (
-        new.withColumn(text_col, F.when(F.size("_pii_m") > 0, whole_text).otherwise(F.col(text_col)))
-        .withColumn("n_private", F.when(F.size("_pii_m") > 0, changed).otherwise(0).cast("long"))
-        .drop("_pii_m", "_pii_p")
-    )
+
+    def put(found: Column) -> Column:
+        def filled(new: Column) -> Column:
+            parts = F.split(text, ANY, -1)
+            between = F.zip_with(found, new, lambda m, p: F.coalesce(p["p"], m))
+            whole_text = F.concat_ws("", F.zip_with(parts, F.concat(between, F.array(F.lit(""))), lambda a, b: F.concat(a, b)))
+            n = F.aggregate(new, F.lit(0), lambda a, p: a + F.coalesce(p["n"], F.lit(0)))
+            return F.when(F.size(found) > 0, F.struct(whole_text.alias("text"), n.cast("long").alias("n")))
+
+        return bind(F.transform(found, lambda m: replaced(m, key)), filled)
+
+    as_it_is = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
+    return F.coalesce(F.when(some, bind(F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)), put)), as_it_is)
+
+
+def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count: str | None = "n_private") -> DataFrame:
+    """docs with its texts pseudonymised, and in the column `count` (if not None; it must be a new one) the number of
+    values replaced. Column order is kept."""
+    own = unused(docs, "private")
+    new = docs.withColumn(own, private_text(column(text_col).cast("string"), key))
+    kept = [F.col(f"{own}.text").alias(c) if c == text_col else column(c) for c in docs.columns]
+    return new.select(*kept, *([] if count is None else [F.col(f"{own}.n").alias(count)]))

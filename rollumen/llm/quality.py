@@ -6,8 +6,10 @@ shape (runs of capitals, letters, digits and marks), its last marks, and whether
 length doesn't matter and junk in a part of it counts in proportion. Grades are the distinct integer ratings of the
 fitting sample, in order; two ratings give one threshold.
 
-Nulls: a null text is the empty one, with x = 0 and the intercepts alone. Without ratings, or with one grade only,
-every document gets that grade (0 without any) and is kept. Repeated rows get equal results; an empty table gives none.
+Nulls: a null text is the empty one, with x = 0 and the intercepts alone; a null id is graded like any other. Without
+ratings, or with one grade only, every document gets that grade (0 without any) and is kept. Texts of any length are read
+whole; equal texts and repeated rows get equal results; an empty table gives none. Other columns, whatever their names, are
+ignored by grade() and kept as they are by selected().
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rollumen.llm.common import crc32_text
 from rollumen.llm.sampling import fit_sample
@@ -68,7 +71,7 @@ class Ordinal:
         """rows, at, value: the sample's vectors, cell by cell. y: positions in grades."""
         k, n = len(self.theta), len(y)
         above = y[:, None] > np.arange(k)
-        # rare grades count as much as half of their share short of balance, so that a few bad rows are learnt
+        # thresholds begin at the log-odds of the grades' shares, the fit without any features
         first = np.log(np.clip(1 - above.mean(0), 1e-3, 1 - 1e-3) / np.clip(above.mean(0), 1e-3, 1))
         raw = np.append(first[:1], np.log(np.maximum(np.diff(first), 1e-2)))
         gw, graw = np.full(DIMENSIONS, 1e-8), np.full(k, 1e-8)
@@ -140,28 +143,50 @@ def hash_of(text: str) -> int:
     return xxh64_intdigest(text) >> 1
 
 
-def grade(docs: DataFrame, model: Ordinal, least: int | None = None, cutoff: float = 0.5, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (doc_id), then expected_grade, tail_prob (P(grade >= least); least: the top grade), kept."""
-    keep = keep or ["doc_id"]
-    types = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    least = least if least is not None else (model.grades or [0])[-1]
+class Grader:
+    """Expected grades and tail probabilities, P(grade >= least), of texts; least: the top grade if None."""
+
+    def __init__(self, model: Ordinal, least: int | None) -> None:
+        self.model, self.score, self.step = model, WordScores(model.w), float(model.w[REPEATED])
+        self.grades = np.array(model.grades or [0], float)
+        self.k = int(np.searchsorted(self.grades, self.grades[-1] if least is None else least))
+
+    def grade(self, texts: Iterable) -> tuple[np.ndarray, np.ndarray]:
+        eta = []
+        for t in texts:
+            words = (t.as_py() or "").split()
+            eta.append((sum(map(self.score.__getitem__, words)) + self.step * repeats(words)) / len(words) if words else 0.0)
+        tails = self.model.tails(np.array(eta, float))
+        tail = np.ones(len(eta)) if self.k == 0 else tails[:, self.k - 1] if self.k <= tails.shape[1] else np.zeros(len(eta))
+        return self.grades[0] + tails @ np.diff(self.grades), tail
+
+
+def grade(docs: DataFrame, model: Ordinal, least: int | None = None, cutoff: float = 0.5) -> DataFrame:
+    """doc_id, expected_grade, tail_prob, kept."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score, step = WordScores(model.w), float(model.w[REPEATED])
-        grades = np.array(model.grades or [0], float)
-        k = int(np.searchsorted(grades, least))
+        own = Grader(model, least)
         for b in batches:
-            eta = np.zeros(b.num_rows)
-            for i, t in enumerate(b.column(b.num_columns - 1)):
-                if words := (t.as_py() or "").split():
-                    eta[i] = (sum(map(score.__getitem__, words)) + step * repeats(words)) / len(words)
-            tails = model.tails(eta)
-            mean = grades[0] + tails @ np.diff(grades)
-            tail = np.ones(len(eta)) if k == 0 else tails[:, k - 1] if k <= tails.shape[1] else np.zeros(len(eta))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(mean), pa.array(tail)], names=[*keep, "expected_grade", "tail_prob"])
-
-    own = docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(scan, f"{types}, expected_grade double, tail_prob double")
-    return own.withColumn("kept", F.col("tail_prob") >= cutoff)
+            mean, tail = own.grade(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(mean), pa.array(tail)], names=["doc_id", "expected_grade", "tail_prob"])
+
+    plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    schema = StructType([plain.schema["doc_id"], StructField("expected_grade", DoubleType()), StructField("tail_prob", DoubleType())])
+    return plain.mapInArrow(scan, schema).withColumn("kept", F.col("tail_prob") >= cutoff)
+
+
+def selected(docs: DataFrame, model: Ordinal, least: int | None = None, cutoff: float = 0.5) -> DataFrame:
+    """The rows of docs whose tail probability is at least the cutoff, with the columns of docs."""
+    fields = [StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(docs.schema)]  # any names, even clashing ones
+    at = docs.columns.index("text")
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Grader(model, least)
+        for b in batches:
+            yield b.filter(pa.array(own.grade(b.column(at))[1] >= cutoff))
+
+    kept = docs.toDF(*[f.name for f in fields]).mapInArrow(scan, StructType(fields))
+    return kept.toDF(*docs.columns)
 
 
 def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:

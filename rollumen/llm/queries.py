@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 
 from rollumen.llm import exact_dedup as exact
@@ -13,6 +15,9 @@ from rollumen.llm.simhash import simhash_groups
 from rollumen.llm.suffix_dedup import suffix_dedup
 
 
+_SECRET = secrets.token_hex(32)
+
+
 def tokenizer_file(name: str) -> str:
     """Where a public tokenizer's file is; another place can be given to the operators themselves."""
     import public_tokenizers
@@ -51,8 +56,15 @@ def op7_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's spark.rollumen.pseudonyms.key; where it is unset, a secret of this process, so that equal values
+    have equal pseudonyms in all its queries and nobody can turn them back."""
+    return spark.conf.get("spark.rollumen.pseudonyms.key", None) or _SECRET
+
+
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(documents(spark, sf_dir)).select("doc_id", "n_private", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pii.pseudonymised(docs, pseudonym_key(spark)).select("doc_id", "n_private", "text")
 
 
 def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 Features: densities of a fixed and of a learned lexicon, plain and obfuscated; how close lexicon words stand to
 second-person words; rates of capitals, of punctuation and of obfuscated words; length. The lexicon's learned part are
-words that are far more frequent in toxic documents of the fitting sample. Trees are fitted to logistic loss on two
-thirds of the sample; the rest sets a monotone map from margins to probabilities.
+words that are far more frequent in toxic documents of the fitting rows. Two thirds of the sample, by a hash of the text, are
+the fitting rows: of the learned lexicon, and of the trees, by logistic loss. The rest, which neither has seen, sets a
+monotone map from margins to probabilities.
 
-Nulls: a null text is the empty one and gets a score like any other. With no usable labels, or labels of one kind, the
-score is their mean (0 without any). Repeated rows get equal scores. An empty table gives no rows.
+Nulls: a null text is the empty one and gets a score like any other; so does a null id. With no usable labels, or labels of
+one kind, the score is their mean (0 without any). Texts of any length are read whole. Equal texts and repeated rows get equal
+scores. An empty table gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rollumen.llm.common import crc32_text
 from rollumen.llm.sampling import fit_sample
@@ -201,12 +204,12 @@ def feature_table(texts: DataFrame, learned: dict[str, float], keep: list[str])
 
 
 class Model:
-    def __init__(self, learned: dict[str, float], x: np.ndarray, y: np.ndarray) -> None:
+    def __init__(self, learned: dict[str, float], x: np.ndarray, y: np.ndarray, fitting: np.ndarray) -> None:
+        """fitting: which rows the lexicon was learnt from and the trees are fitted on; the others calibrate."""
         self.learned, self.flat, self.trees = learned, float(y.mean()) if len(y) else 0.0, None
-        turn = np.arange(len(y)) % 3
-        if len(y) >= 30 and 0 < y[turn > 0].mean() < 1:
-            self.trees = Boosted().fit(x[turn > 0], y[turn > 0])
-            self.at, self.p = isotonic(self.trees.margin(x[turn == 0]), y[turn == 0])
+        if len(y) >= 30 and fitting.any() and not fitting.all() and 0 < y[fitting].mean() < 1:
+            self.trees = Boosted().fit(x[fitting], y[fitting])
+            self.at, self.p = isotonic(self.trees.margin(x[~fitting]), y[~fitting])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.trees is None:
@@ -218,15 +221,15 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, held_out: int |
     from rollumen.llm.common import cut
 
     sample = cut(fit_sample(docs, labels, "toxic", bound, held_out).withColumn("y", (F.col("y") > 0).cast("int")))
-    learned = learn_lexicon(sample)
+    fitting = F.pmod(F.xxhash64("text"), F.lit(3)) > 0
+    learned = learn_lexicon(sample.filter(fitting))
     got = feature_table(sample.withColumn("h", F.xxhash64("text")), learned, ["h", "y"]).toPandas().sort_values(["h", "y"])
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
-    return Model(learned, x, got["y"].to_numpy(float))
+    return Model(learned, x, got["y"].to_numpy(float), got["h"].to_numpy() % 3 > 0)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes(model.learned)
@@ -234,5 +237,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([features(t.as_py() or "", codes) for t in b.column(1)]).reshape(b.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scan, f"doc_id {kind}, score double")
+    plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    own = plain.mapInArrow(scan, StructType([plain.schema["doc_id"], StructField("score", DoubleType())]))
     return own.select("doc_id", (crc32_text() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

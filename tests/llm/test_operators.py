@@ -281,14 +281,17 @@ def test_exact_dedup(docs, rows, fan_in):
     for i, t, *_ in rows:
         ids = groups[collapse(t)]
         keep = min((x for x in ids if x is not None), default=None)
-        want[i, keep, len(ids), i == keep, hashlib.sha256(collapse(t).encode()).hexdigest()] += 1
-    assert want == Counter(tuple(r) for r in exact_dedup.exact_dedup(docs, fan_in=fan_in).collect())
+        want[i, keep, len(ids), hashlib.sha256(collapse(t).encode()).hexdigest()] += 1
+    got = exact_dedup.exact_dedup(docs, fan_in=fan_in).collect()
+    assert want == Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got)
+    stay = [r for r in got if r["kept"]]  # one row of each group, repeated rows and null ids too
+    assert len(stay) == len(groups) == len({r["text_sha256"] for r in stay}) and all(r["doc_id"] == r["keep_id"] for r in stay)
     kept = exact_dedup.distinct_documents(docs)
     assert kept.columns == docs.columns and Counter(collapse(r["text"]) for r in kept.collect()) == Counter(groups.keys())
 
 
 def test_native_plans(docs):
-    for df in (exact_dedup.exact_dedup(docs), pii.pseudonymised(docs)):
+    for df in (exact_dedup.exact_dedup(docs), pii.pseudonymised(docs, "k")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
 
@@ -296,8 +299,8 @@ def test_native_plans(docs):
 # 7 -------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("shard, block, leaf", [(4096, 4096, 128), (40, 3, 8)])
-def test_top_k(spark, shard, block, leaf):
+@pytest.mark.parametrize("shard, cells, leaf", [(4096, 256, 128), (10, 16, 8), (10, 1, 8)])
+def test_top_k(spark, shard, cells, leaf):
     r = np.random.default_rng(2)
     v = [[float(x) for x in r.normal(size=4).round(1)] for _ in range(150)]
     rows = [(i, x, 0) for i, x in enumerate(v)] + [(200, v[0], 0), (250, v[0], 1), (250, v[0], 1)]
@@ -309,8 +312,10 @@ def test_top_k(spark, shard, block, leaf):
         if i % 50 == 0:
             best = sorted((-int(q[n] @ q[m]), rows[m][0]) for m in range(len(rows)) if m != n)[:5]
             want.update((i, k + 1, j, -s) for k, (s, j) in enumerate(best))
-    assert want == Counter(tuple(r) for r in kdtree.top_k(df, shard=shard, block=block, leaf=leaf).collect())
+    assert want == Counter(tuple(r) for r in kdtree.top_k(df, shard=shard, cells=cells, leaf=leaf).collect())
     assert kdtree.top_k(df.limit(0)).count() == 0
+    big = spark.createDataFrame([(0, [4.0e9, 1.0]), (50, [4.0e9, 1.0 + 2**-8]), (51, [4.0e9, 1.0]), (52, [1.0])], "vec_id long, embedding array<double>")
+    assert [(r["query_id"], r["vec_id"]) for r in kdtree.top_k(big).orderBy("query_id", "rank").collect()] == [(0, 50), (0, 51), (50, 0), (50, 51)]
     few = spark.createDataFrame([(0, [1.0, 2.0]), (50, [0.5, 1.0])], "vec_id long, embedding array<float>")
     assert sorted((r["query_id"], r["vec_id"]) for r in kdtree.top_k(few).collect()) == [(0, 50), (50, 0)]
 
@@ -333,7 +338,7 @@ def luhn_ok(s):
 
 
 def pseudo(spark, s):
-    return pii.pseudonymised(spark.createDataFrame([(1, s)], "doc_id long, text string")).first()
+    return pii.pseudonymised(spark.createDataFrame([(1, s)], "doc_id long, text string"), "k").first()
 
 
 def test_pseudonyms_of_each_kind(spark):
@@ -395,11 +400,32 @@ def test_feistel_against_a_loop_and_is_a_permutation(spark):
     assert all(x == tuple(loop_feistel(v, (7, 5), "k", "t")) for v, x in got.items())
 
 
+def test_pseudonyms_are_valid_and_of_a_permutation(spark):
+    r = random.Random(9)
+    serial = lambda n: sorted(r.sample(range(10**n), 4000))
+    ssn = sorted({f"{a:03d}-{b:02d}-{c:04d}" for a, b, c in ((r.choice([1, 665, 667, 899, r.randrange(1, 900)]), r.randrange(1, 100), r.randrange(1, 10000)) for _ in range(20000)) if a != 666})
+    cards = [x + next(str(c) for c in range(10) if luhn_ok(x + str(c))) for x in (f"4{n:014d}" for n in serial(14))]
+    days = [str(np.datetime64("1800-01-01") + n) for n in range(0, 146097, 41)]
+    phones = [f"{a}-{b}-{n:04d}" for a, b, n in zip(range(200, 1000), range(999, 199, -1), serial(4))]
+    ips = [f"{n >> 24}.{n >> 16 & 255}.{n >> 8 & 255}.{n & 255}" for n in (r.randrange(1 << 32) for _ in range(4000))]
+    for values, form in (
+        (ssn, r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}"), (cards, r"4\d{15}"), (days, r"\d{4}-\d\d-\d\d"), (phones, r"[2-9]\d\d-[2-9]\d\d-\d{4}"), (sorted(set(ips)), r"(?:\d{1,3}\.){3}\d{1,3}"),
+    ):
+        got = [x["text"] for x in pii.pseudonymised(spark.createDataFrame([(0, v) for v in values], "doc_id long, text string"), "k").collect()]
+        assert len(set(got)) == len(values) and all(re.fullmatch(form, x) for x in got)
+        if values is cards:
+            assert all(map(luhn_ok, got))
+        if values is days:
+            assert all(np.datetime64("1800-01-01") <= np.datetime64(x) <= np.datetime64("2199-12-31") for x in got)
+    one, other = (pii.pseudonymised(spark.createDataFrame([(0, ssn[0])], "doc_id long, text string"), k).first()["text"] for k in ("k", "l"))
+    assert one != other
+
+
 def test_private_rows(docs, rows, none):
-    got = pii.pseudonymised(docs)
+    got = pii.pseudonymised(docs, "k")
     assert got.columns == [*docs.columns, "n_private"]
     assert Counter(t for _, t, *_ in rows) == Counter(r["text"] for r in got.collect())  # none has private data
-    assert pii.pseudonymised(none).count() == 0
+    assert pii.pseudonymised(none, "k").count() == 0
 
 
 # 9 -------------------------------------------------------------------------------------------------------------------

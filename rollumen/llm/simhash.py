@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollumen.llm.common import cut, text_bytes
+from rollumen.llm.common import cut, most_frequent, stored, text_bytes
 from rollumen.llm.components import connected_components
 
 LIMIT, WORDS, BLOCK, CHUNK = 4, 4, 4096, 1 << 16
@@ -33,8 +33,14 @@ PARTS = (2, 3, 4, 5)
 CROWD, PIVOTS = 16, 3
 #: Shingles that come last in the prefix filter's order: at most so many, by counts over one of SOME documents.
 COMMON, SOME = 200_000, 16
-#: Longs in a sketch: those of texts of up to some 4,000 unlike shingles tell them apart.
+#: Longs in the shortest sketch.
 SKETCH = 32
+#: Rows of a block where sketches are compared in place; partners of a set that one task compares it with; bits of the table of
+#: ids whose shingles are wanted.
+NEAR_BLOCK, PARTNERS, SLOT_BITS = 1024, 512, 26
+#: Rounds of pivots, at most; pairs left for each row of a crowded key at which the rounds end, and the share of them that a
+#: round has to take away for another one to follow; keys of a document that are listed.
+TURNS, FEW, WORTH, LISTED = 5, 4, 0.2, 256
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -279,62 +285,112 @@ def simhash_groups(docs: DataFrame, limit: int = LIMIT, words: int = WORDS) -> D
     )
 
 
-def shingles(text: bytes, size: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles of `size` words, unsigned."""
-    from xxhash import xxh64_intdigest
+class Codes(dict):
+    """The XXH64 of words; forgotten when there are too many."""
 
-    w = text.lower().split()
-    own = {xxh64_intdigest(b" ".join(w[k : k + size])) for k in range(max(1, len(w) - size + 1))}
-    return np.fromiter(own, "<u8", len(own))
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
 
+        if len(self) >= 200_000:
+            self.clear()
+        got = self[word] = xxh64_intdigest(word)
+        return got
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, s): the distinct hashes of a text's shingles of `size` words, as array<long>."""
 
-    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [shingles(text, size).view("<i8") for text in text_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "s"])
+def shingle_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each shingle of `size` words, given the words' codes; fewer words are one shingle, none too."""
+    n = min(size, len(codes))
+    h = np.full(max(1, len(codes) - size + 1), n, np.uint64)
+    for k in range(n):
+        h = (h ^ codes[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(29)
 
-    kept = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return kept.mapInArrow(scan, "doc_id long, s array<long>")
+
+def codes_of(text: bytes, known: Codes) -> np.ndarray:
+    words = text.lower().split()
+    return np.fromiter(map(known.__getitem__, words), "<u8", len(words))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(h), CHUNK):
+        counts += np.unpackbits(h[k : k + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
 def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and counts of shingles that are frequent in one of SOME documents. They only put shingles in
     order: whatever the order, a prefix filter finds the same pairs, and it proposes fewer others with common ones last."""
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SOME)) == 0)
-    counts = shingle_sets(some, size).select(F.explode("s").alias("key")).groupBy("key").count().filter("count > 2")
-    got = counts.orderBy(F.desc("count"), "key").limit(COMMON).toArrow()
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Codes()
+        for b in batches:
+            sets = [np.unique(shingle_hashes(codes_of(t, known), size)) for t in text_bytes(b.column(0))]
+            key, n = np.unique(np.concatenate([np.zeros(0, "<u8"), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view("<i8")), pa.array(n)], names=["key", "count"])
+
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SOME)) == 0).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    counts = some.mapInArrow(scan, "key long, count long").groupBy("key").agg(F.sum("count").alias("count")).filter("count > 2")
+    got = most_frequent(cut(counts), "count", COMMON).toArrow()
     key = got.column("key").to_numpy().astype("<i8").view("<u8")
     at = np.argsort(key)
     return key[at], got.column("count").to_numpy()[at]
 
 
-def prefixes(docs: DataFrame, size: int, least: float) -> DataFrame:
-    """(key, doc_id): each text under the first n - ceil(least * n) + 1 of its n shingles, in one order for all texts.
-    Two texts with `least` of their shingles in common have one of these in common."""
+def sketch(s: np.ndarray) -> np.ndarray:
+    """For each of a power of two of hash values, as bits of longs, whether an odd number of the shingles has it. Two texts' bits
+    differ in no more places than their sets do. There are more values than shingles, so long texts are told apart too."""
+    values = 64 * SKETCH << max(0, (len(s) // (48 * SKETCH)).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(values - 1)).astype(np.intp), minlength=values) & 1, bitorder="little").view("<u8")
+
+
+def folded(bits: np.ndarray, longs: int) -> np.ndarray:
+    """A sketch of fewer values: those that agree modulo the fewer are one."""
+    return bits if len(bits) == longs else np.bitwise_xor.reduce(bits.reshape(-1, longs))
+
+
+def profiles(docs: DataFrame, words: int, size: int, least: float) -> DataFrame:
+    """One row per document from one pass over its text: doc_id, fp (the SimHash of its shingles of `words` words), and of
+    its different shingles of `size` words: n, how many; bits, for each of 64 * SKETCH hash values, as longs, whether an odd
+    number of them has it (two texts' bits differ in no more places than their sets do); keys, the first
+    n - ceil(least * n) + 1 in one order for all texts (two texts with `least` in common have one of these in common)."""
     common = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = common.value
-        for b in batches:
-            keys, many = [np.zeros(0, "<u8")], []
-            for text in text_bytes(b.column(1)):
-                s = np.sort(shingles(text, size))
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    s = s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
-                s = s[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]
-                keys.append(s)
-                many.append(len(s))
-            ids = np.repeat(b.column(0).to_numpy(), many)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view("<i8")), pa.array(ids, pa.int64())], names=["key", "doc_id"])
+        frequent, counts = common.value
+        known = Codes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                fps, many, odd, keys = [], [], [], []
+                for text in text_bytes(b.column(1)):
+                    codes = codes_of(text, known)
+                    fps.append(majority(shingle_hashes(codes, words)) if len(codes) else 0)
+                    s = np.unique(shingle_hashes(codes, size))
+                    many.append(len(s))
+                    odd.append(sketch(s).view("<i8"))
+                    if len(frequent):
+                        place = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+                        s = s[np.argsort(np.where(frequent[place] == s, counts[place], 0), kind="stable")]
+                    keys.append(s[: len(s) - math.ceil(least * len(s) - 1e-9) + 1].view("<i8"))
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(np.array(fps, "<u8").view("<i8")), pa.array(many, pa.int32()), pa.array(odd, longs), pa.array(keys, longs)],
+                    names=["doc_id", "fp", "n", "bits", "keys"],
+                )
 
     kept = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    filed = kept.mapInArrow(scan, "key long, doc_id long")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return filed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(shared_keys, "key long, doc_id long")
+    return kept.mapInArrow(scan, "doc_id long, fp long, n int, bits array<long>, keys array<long>")
+
+
+def filed_under(prof: DataFrame) -> DataFrame:
+    """(key, doc_id) for the keys that another document has too."""
+    n = int(prof.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filed = prof.select(F.explode("keys").alias("key"), "doc_id").repartition(n, "key").sortWithinPartitions("key")
+    return filed.mapInArrow(shared_keys, "key long, doc_id long")
 
 
 def shared_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,39 +415,141 @@ def shared_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(np.array([held[0]]), np.array([held[1]]), np.array([held[2]]))
 
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, bits): how many shingles, and for each of 64 * SKETCH hash values, as longs, whether an odd number of
-    them has it. Two texts' bits differ in no more places than their sets of shingles do."""
+def may_share(n_a, n_b, apart, least: float):
+    """Whether sets of n_a and n_b members, `apart` places of their sketches differing, can share `least` of all:
+    |A ^ B| <= (|A| + |B|) * (1 - least) / (1 + least), and the smaller is `least` of the larger."""
+    return (apart <= (n_a + n_b) * ((1 - least) / (1 + least)) + 1e-6), (n_a >= least * n_b - 1e-6), (n_b >= least * n_a - 1e-6)
+
+
+def member_bits(ids: DataFrame) -> np.ndarray:
+    """The slots of ids, as a table of 2**SLOT_BITS bits whatever their number: 8 MB at most go to the driver."""
+    slot = slot_of("doc_id") + 1  # the functions count from 1
+    made = ids.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m"))
+    table = np.zeros((1 << SLOT_BITS) // 8, np.uint8)
+    for r in made.toLocalIterator():
+        table[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
+    return table
+
+
+def slot_of(col: str):
+    return F.pmod(F.xxhash64(col), F.lit(1 << SLOT_BITS))
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, s): the different hashes of a text's shingles, as array<long>, for the ids and few others: no text moves."""
+    table = docs.sparkSession.sparkContext.broadcast(member_bits(ids))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Codes()
         for b in batches:
-            sets = [shingles(text, size) for text in text_bytes(b.column(1))]
-            odd = [np.packbits(np.bincount((s % np.uint64(64 * SKETCH)).astype(np.intp), minlength=64 * SKETCH) & 1).view("<i8") for s in sets]
-            many = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), many, pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "n", "bits"])
+            slot = b.column(1).to_numpy()
+            some = pa.array((table.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).cast(pa.bool_())
+            own = b.filter(some)
+            out = [np.unique(shingle_hashes(codes_of(text, known), size)).view("<i8") for text in text_bytes(own.column(2))]
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "s"])
 
-    kept = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    got = kept.mapInArrow(scan, "doc_id long, n int, bits array<long>")
-    return got.select("doc_id", "n", *[F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(SKETCH)])
+    kept = docs.select("doc_id", slot_of("doc_id").alias("slot"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return kept.mapInArrow(scan, "doc_id long, s array<long>")
 
 
-def alike(pairs: DataFrame, docs: DataFrame, signs: DataFrame, size: int, least: float) -> DataFrame:
+def compared(least: float):
+    """For rows (a, part, b, s) sorted by a, part and b, the first of each (a, part) being a's own set (b is null):
+    the pairs (a, b) that share `least` of their sets. One set is held at a time."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, np.int64)
+        for batch in batches:
+            a, b = [], []
+            sets = batch.column(3)
+            for k, (x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                s = sets[k].values.to_numpy()
+                if y is None:
+                    own = s
+                    continue
+                shared = len(np.intersect1d(own, s, assume_unique=True))
+                if shared >= least * (len(own) + len(s) - shared) - 1e-9:
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return scan
+
+
+def alike(pairs: DataFrame, docs: DataFrame, prof: DataFrame, size: int, least: float) -> DataFrame:
     """Those of the pairs (a, b) whose texts share `least` of their `size`-word shingles. Sets of which the sketches
-    (signs) show that they differ by too much aren't made."""
-    one, two = (signs.select([F.col(c).alias(f"{x}_{c}") for c in signs.columns]) for x in "ab")
-    both = pairs.join(one, F.col("a") == F.col("a_doc_id")).join(two, F.col("b") == F.col("b_doc_id"))
-    apart = sum((F.bit_count(F.col(f"a_b{k}").bitwiseXOR(F.col(f"b_b{k}"))) for k in range(SKETCH)), F.lit(0))
-    # |A ^ B| <= (|A| + |B|) * (1 - least) / (1 + least) if the Jaccard coefficient is at least that
-    near = apart <= (F.col("a_n") + F.col("b_n")) * ((1 - least) / (1 + least)) + 1e-6
-    sized = F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n") - 1e-6
-    pairs = cut(both.filter(sized & near).select("a", "b"))
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(shingle_sets(docs.join(ends, "doc_id", "left_semi"), size))
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b"
-    )
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return cut(both.filter(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+    show that they differ by too much aren't made. A set goes to its pairs' tasks once for each partner it isn't the hub of."""
+    one, two = (prof.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
+    sized = (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-6)
+    both = pairs.join(one, "a").join(two.select("b", "nb", "bitsb"), "b").filter(sized).select("a", "b", "na", "nb", "bitsa", "bitsb")
+    pairs = cut(both.mapInArrow(possible(least), "a long, b long"))
+    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    sets = cut(shingle_sets(docs, ends, size))
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("k"))
+    part = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part")
+    own = hubs.join(sets, hubs["a"] == sets["doc_id"]).select("a", part, F.lit(None).cast("long").alias("b"), "s")
+    placed = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("part"), "b")
+    others = placed.join(sets, placed["b"] == sets["doc_id"]).select("a", "part", "b", "s")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = own.unionByName(others).repartition(n, "a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    return cut(dealt.mapInArrow(compared(least), "a long, b long"))
+
+
+def possible(least: float):
+    """Of rows (a, b, n of both, sketches of both): the pairs that can share `least`."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for m, n, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
+                x, y = x.values.to_numpy().view("<u8"), y.values.to_numpy().view("<u8")
+                longs = min(len(x), len(y))
+                keep.append(all(may_share(m, n, int(np.bitwise_count(folded(x, longs) ^ folded(y, longs)).sum()), least)))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return scan
+
+
+def block_pairs(least: float):
+    """For rows (block, doc_id, component, n, bits, key, keys) sorted by block: the pairs (a, b) of one block and different
+    components that their sketches leave possible; a pair with several keys in common in the first of them only, unless one
+    has too many keys to list. A block has at most twice NEAR_BLOCK rows."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            ids, comp, n, bits, key = (np.concatenate(c) for c in zip(*(h[:5] for h in held)))
+            keys = [k for h in held for k in h[5]]
+            found: list[tuple[int, int]] = []
+            for i in range(len(ids) - 1):
+                apart = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(1, dtype=np.int64)
+                x, y, z = may_share(n[i], n[i + 1 :], apart, least)
+                near = np.flatnonzero(x & y & z & (comp[i + 1 :] != comp[i])) + i + 1
+                for j in near.tolist():
+                    one, two = keys[i], keys[j]
+                    if ids[i] != ids[j] and (not len(one) or not len(two) or np.intersect1d(one, two, assume_unique=True)[0] == key[i]):
+                        found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            a, b = zip(*set(found)) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array([int(x) for x in a], pa.int64()), pa.array([int(x) for x in b], pa.int64())], names=["a", "b"])
+
+        last = None
+        for batch in batches:
+            key, ids, comp, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            if not len(key):
+                continue
+            own, lists = batch.column(5).to_numpy(), batch.column(6)
+            bits = np.stack([folded(x.values.to_numpy().view("<u8"), SKETCH) for x in batch.column(4)])
+            edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if held and key[x] != last:
+                    yield out()
+                    held = []
+                last = key[x]
+                held.append([ids[x:y], comp[x:y], n[x:y].astype(np.int64), bits[x:y], own[x:y], [k.values.to_numpy() for k in lists[x:y]]])
+        if held:
+            yield out()
+
+    return scan
 
 
 def labelled(ids: DataFrame, links: DataFrame) -> DataFrame:
@@ -402,21 +560,60 @@ def labelled(ids: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def all_links(filed: DataFrame, links: DataFrame, ids: DataFrame, verify) -> DataFrame:
+def apart_pairs(rows: DataFrame, prof: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of rows (key, doc_id, component) with one key and different components. In keys of up to CROWD rows
+    all such pairs; in others those that the sketches leave possible, by comparing blocks of BLOCK rows in place."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    few = rows.join(sizes.filter(F.col("m") <= CROWD).select("key"), "key")
+    one, two = (few.select("key", F.col("doc_id").alias(x), F.col("component_id").alias(f"c{x}")) for x in "ab")
+    pairs = one.join(two, "key").filter("a < b and ca <> cb").select("a", "b")
+    k = F.ceil(F.col("m") / NEAR_BLOCK).cast("int")
+    many = rows.join(sizes.filter(F.col("m") > CROWD).select("key", k.alias("k")), "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+    placed = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
+        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "doc_id", "component_id", "key"
+    )
+    # the keys of a document, to tell in which of them a pair is made; none if they are too many
+    lists = many.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.sort_array(F.collect_list("key")).alias("keys"))
+    lists = lists.select("doc_id", F.when(F.col("c") <= LISTED, F.col("keys")).otherwise(F.array().cast("array<long>")).alias("keys"))
+    signs = prof.select("doc_id", "n", "bits").join(lists, "doc_id")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.join(signs, "doc_id").select("block", "doc_id", "component_id", "n", "bits", "key", "keys").repartition(n, "block").sortWithinPartitions("block")
+    return pairs.unionByName(dealt.mapInArrow(block_pairs(least), "a long, b long")).distinct()
+
+
+def stars(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b), in every key of over CROWD rows (key, doc_id, component_id), of PIVOTS << turn of its documents with all
+    others of another component. A document's hash is the same in all keys, so a group has few pivots in all its keys."""
+    who = F.struct("doc_id", "component_id")
+    pivots = [F.min(F.struct(F.xxhash64("doc_id", F.lit(turn), F.lit(k)).alias("h"), who.alias("w")))["w"] for k in range(PIVOTS << turn)]
+    crowds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.array_distinct(F.array(*pivots)).alias("pivots")).filter(F.col("m") > CROWD)
+    pairs = rows.join(crowds, "key").select("doc_id", "component_id", F.explode("pivots").alias("p")).filter("component_id <> p.component_id")
+    return pairs.select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).distinct()
+
+
+def all_links(filed: DataFrame, links: DataFrame, prof: DataFrame, least: float, verify) -> DataFrame:
     """Links (a, b) whose components are those of all pairs that verify() keeps, of the links given and of the rows of
-    filed (key, doc_id) with a key in common. First the links, and in buckets of over CROWD members the pairs of PIVOTS of
-    them with the others; then every pair that is left between components."""
-    a, b = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    pivots = [F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id"))["doc_id"] for k in range(PIVOTS)]
-    crowds = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array(*pivots).alias("pivots")).filter(F.col("n") > CROWD)
-    star = filed.join(crowds, "key").select(F.explode("pivots").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
-    links = verify(links.unionByName(star).select(a, b).distinct())
-    named = filed.join(cut(labelled(ids, links)), "doc_id")
-    mixed = named.groupBy("key").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).filter("low <> high")
-    rows = cut(named.join(mixed.select("key"), "key").select("key", "doc_id", "component_id"))
-    one, two = (rows.select("key", F.col("doc_id").alias(x), F.col("component_id").alias(f"c{x}")) for x in "ab")
-    rest = one.join(two, "key").filter("ca < cb")
-    return links.unionByName(verify(rest.select(a, b).distinct()))
+    filed (key, doc_id) with a key in common. First the links, and in crowded keys the pairs of some pivots with the others.
+    While the pairs that are left between components of crowded keys are many more than rows, and get fewer, twice as many
+    pivots follow, so that a large group whose members are barely alike is one component before its pairs are made; then every pair that is
+    still apart."""
+    plain = filed.withColumn("component_id", F.col("doc_id"))
+    first = stars(plain, 0).unionByName(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    links, before = verify(first.distinct()), None
+    for turn in range(1, TURNS + 1):
+        named = filed.join(cut(labelled(prof.select("doc_id"), links)), "doc_id")
+        parts = named.groupBy("key", "component_id").agg(F.count(F.lit(1)).alias("c"))
+        sizes = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own")).filter("parts > 1")
+        rows = cut(named.join(sizes.select("key", "m", "own"), "key").select("key", "doc_id", "component_id", "m", "own"))
+        # each row carries its key's share of the pairs between components
+        apart = F.when(F.col("m") > CROWD, (F.col("m") * F.col("m") - F.col("own")) / F.col("m") / 2).otherwise(0.0)
+        left = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(apart).alias("pairs")).first()
+        rows = rows.select("key", "doc_id", "component_id")
+        now = left["pairs"] or 0.0
+        if turn == TURNS or now <= FEW * max(left["rows"], 1) or before is not None and now > (1 - WORTH) * before:
+            return links.unionByName(verify(apart_pairs(rows, prof, least)))
+        links, before = links.unionByName(verify(stars(rows, turn))), now
+    return links
 
 
 def near_duplicates(docs: DataFrame, limit: int = 7, words: int = 2, size: int = 5, least: float = 0.8) -> DataFrame:
@@ -424,18 +621,17 @@ def near_duplicates(docs: DataFrame, limit: int = 7, words: int = 2, size: int =
     propose links, and only those stay whose texts share `least` of their `size`-word shingles (Jaccard). They save
     comparisons in dense groups; a prefix filter then proposes all pairs that can share so much, and those are compared
     that are still apart. So every pair with `least` in common is in one component."""
-    own = cut(fingerprints(docs, words))
+    prof = stored(profiles(docs, words, size, least), "profiles")
+    own = prof.select("doc_id", "fp")
     fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    links = near_links(fps, limit)
+    links = near_links(fps.select("fp"), limit)
     far = links.join(fps.select(F.col("fp").alias("fa"), F.col("rep").alias("a")), "fa").join(
         fps.select(F.col("fp").alias("fb"), F.col("rep").alias("b")), "fb"
     )
     same = own.join(fps, "fp").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    filed, signs = cut(prefixes(docs, size, least)), cut(sketches(docs, size))
-
     def verify(pairs: DataFrame) -> DataFrame:
-        return alike(pairs, docs, signs, size, least)
+        return alike(pairs, docs, prof, size, least)
 
-    found = all_links(filed, far.select("a", "b").unionByName(same), own.select("doc_id"), verify)
+    found = all_links(cut(filed_under(prof)), far.select("a", "b").unionByName(same), prof, least, verify)
     return labelled(own.select("doc_id"), found)

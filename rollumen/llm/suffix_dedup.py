@@ -8,21 +8,24 @@ hash before any text moves. Texts that are equal are one text, and segments that
 The segments of a task are then inserted together, one symbol of each in a round, from the last column to the first.
 A round takes the order of the suffixes that start in the column after it, sorts it stably by the new symbols (which are
 the transform's column), and carries the lengths of common prefixes of neighbours over: 1 + the least length between
-two suffixes of one symbol, 0 at a change of symbol. Columns come from one sequential file and the repeats found in each
-round go to another, so a task holds an order, the lengths and one column. Only suffixes of one column are merged: by the
-alignment no others can be equal for WIDTH bytes, and a full merge of all rounds would rewrite the file in each.
+two suffixes of one symbol, 0 at a change of symbol. The segments come from a table in the shared folder, sorted by key, in
+lots of about TOGETHER; a task holds one lot's columns, an order, the lengths and the repeats. Only suffixes of one
+column are merged: by the alignment no others can be equal for WIDTH bytes, and a full merge of all rounds would rewrite
+the whole transform in each.
 
-Groups of over CROWD different segments are first cut into blocks of FINE windows, dealt by the bytes that all windows
-of a block share, and blocks that are equal are one again.
+An anchor of over CROWD different segments is no group for one task: its windows are named by 128-bit hashes and counted.
 
-Nulls: a null text is the empty one, without repeats. A null id stays null. Rows of equal text have equal results; from
-WIDTH bytes up all of such a text is removed. An empty table gives no rows.
+Beside the 400 bytes, passages of over 50 words are told: windows of WORDS words that another text has too are found by the
+same anchors, over words, and by the windows' names. They are only counted (n_passage_words); nothing is removed for them.
+
+Nulls: a null text is the empty one, without repeats. A null id stays null. Texts of any length are read whole. Rows of
+equal text (ties and repeated rows, too) have equal results; from WIDTH bytes up all of such a text is removed. An empty
+table gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,7 +35,9 @@ from pyspark.sql import functions as F
 
 from rollumen.llm.common import cut, stored, text_bytes
 
-WIDTH, GRAM, CROWD, FINE, TOGETHER = 400, 32, 20_000, 16, 50_000
+WIDTH, GRAM, CROWD, TOGETHER = 400, 32, 20_000, 50_000
+#: Words of a passage, and of its anchors.
+WORDS, WORD_GRAM = 51, 8
 SPAN_BITS = 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: list[np.ndarray] = []
@@ -108,27 +113,84 @@ def segments_of(texts: list[bytes], width: int, gram: int) -> list[np.ndarray]:
     return list(np.concatenate(out, 1)) if out else [np.zeros(0, np.int64)] * 5
 
 
+class Codes(dict):
+    """The XXH64 of words; forgotten when there are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= 200_000:
+            self.clear()
+        got = self[word] = xxh64_intdigest(word)
+        return got
+
+
+def word_codes(text: bytes, known: Codes) -> np.ndarray:
+    words = text.split()
+    return np.fromiter(map(known.__getitem__, words), "<u8", len(words))
+
+
+def named_windows(codes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit name of each run of `size` codes."""
+    h = np.zeros(max(0, len(codes) - size + 1), np.uint64)
+    for k in range(size if len(h) else 0):
+        h = (h ^ codes[k : k + len(h)]) * MIX
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def word_segments(codes: np.ndarray, words: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first window and number of windows of each run of windows of `words` words with one anchor."""
+    if len(codes) < words:
+        return (np.zeros(0, np.int64),) * 3
+    h = named_windows(codes, gram)
+    place = np.uint64((1 << SPAN_BITS) - 1)
+    out = []
+    for a in range(0, len(codes) - words + 1, 1 << (SPAN_BITS - 1)):
+        own = h[a : a + (1 << (SPAN_BITS - 1)) + words - gram]
+        m = (own & ~place) | np.arange(len(own), dtype=np.uint64)
+        have, need = 1, words - gram + 1
+        while have * 2 <= need:
+            m = np.minimum(m[:-have], m[have:])
+            have *= 2
+        if need > have:
+            m = np.minimum(m[: len(m) - (need - have)], m[need - have :])
+        p = (m & place).astype(np.int64)
+        first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+        out.append((own[p[first]].view(np.int64), first + a, np.diff(np.append(first, len(p)))))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def scan_texts(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """doc_id, uid (the text's name), n_bytes, sha, and its segments: seg array<struct<h, a, n, d>>."""
+    """doc_id, uid (the text's name), n_bytes, sha, n_words, its segments of windows of bytes: seg
+    array<struct<h, a, n, d>>, and of windows of words: wseg array<struct<h, a, n>>."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Codes()
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 b = whole.slice(k, 1000)
                 texts = list(text_bytes(b.column(1)))
+                codes = [word_codes(t, known) for t in texts]
+                runs = [word_segments(c, WORDS, WORD_GRAM) for c in codes]
+                ends = pa.array(np.cumsum([0, *(len(h) for h, _, _ in runs)]), pa.int32())
+                cells = [np.concatenate([np.zeros(0, np.int64), *c]).astype(t) for c, t in zip(zip(*runs), (np.int64, np.int32, np.int32))]
+                wseg = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(c) for c in cells], names=["h", "a", "n"]))
+                n_words = pa.array([len(c) for c in codes], pa.int64())
                 sha = [hashlib.sha256(t).hexdigest() for t in texts]
                 owner, *cells = segments_of(texts, width, gram)
                 order = np.argsort(owner, kind="stable")
                 offsets = pa.array(np.searchsorted(owner[order], np.arange(len(texts) + 1)), pa.int32())
                 seg = pa.StructArray.from_arrays([pa.array(c[order].astype(t)) for c, t in zip(cells, (np.int64, np.int64, np.int32, np.int32))], names=["h", "a", "n", "d"])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([s[:32] for s in sha]), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha), pa.ListArray.from_arrays(offsets, seg)],
-                    names=["doc_id", "uid", "n_bytes", "sha", "seg"],
+                    [b.column(0), pa.array([s[:32] for s in sha]), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha), n_words, pa.ListArray.from_arrays(offsets, seg), wseg],
+                    names=["doc_id", "uid", "n_bytes", "sha", "n_words", "seg", "wseg"],
                 )
 
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(scan, f"doc_id {kind}, uid string, n_bytes long, sha string, seg array<struct<h: long, a: long, n: int, d: int>>")
+    segments = "seg array<struct<h: long, a: long, n: int, d: int>>, wseg array<struct<h: long, a: int, n: int>>"
+    return rows.mapInArrow(scan, f"doc_id {kind}, uid string, n_bytes long, sha string, n_words long, {segments}")
 
 
 def cut_segments(with_text: DataFrame, width: int) -> DataFrame:
@@ -153,79 +215,72 @@ def cut_segments(with_text: DataFrame, width: int) -> DataFrame:
     return with_text.select("uid", "text", "seg").mapInArrow(scan, "key long, name binary, uid string, a long, n int, d int, data binary")
 
 
-def fine_blocks(crowded: DataFrame, width: int, fine: int = FINE) -> DataFrame:
-    """Segments (key, name, d, data) cut into blocks of windows: key, name, of (the segment), at (the block's first
-    window there), d, data. Blocks begin at distances from the anchor that are multiples of `fine`, as equal windows do."""
+def counted_windows(crowded: DataFrame, width: int) -> DataFrame:
+    """Different segments (key, name, d, data) -> name, ranges: their windows that another one has at the same distance from the
+    anchor, by counts of the windows' names; a window of many segments is one row of each task before it moves."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest, xxh3_128_digest
+        from xxhash import xxh3_128_digest
 
         for whole in batches:
             for k in range(0, whole.num_rows, 200):
-                rows: list[list] = [[], [], [], [], [], []]
                 b = whole.slice(k, 200)
+                rows: list[list] = [[], [], []]
                 for key, name, d, data in zip(*(b.column(c).to_pylist() for c in range(4))):
-                    n, at = len(data) - width + 1, 0
-                    while at < n:
-                        many = min(n - at, (d - at) % fine + 1)
-                        q = (d - at) // fine
-                        core = data[d - q * fine : d - (q + 1) * fine + 1 + width]  # in all windows of the block
-                        own = data[at : at + many - 1 + width]
-                        new = xxh3_64_intdigest(core, ((key & (2**32 - 1)) << 16) + q)
-                        for cell, v in zip(rows, (new - (1 << 63), xxh3_128_digest(own, d - at), name, at, d - at, own)):
+                    for at in range(len(data) - width + 1):
+                        for cell, v in zip(rows, (xxh3_128_digest(data[at : at + width], (key & (2**32 - 1)) << 16 | d - at + width), name, at)):
                             cell.append(v)
-                        at += many
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=["key", "name", "of", "at", "d", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.binary(), pa.binary(), pa.int32()))], names=["window", "name", "at"])
 
-    return crowded.select("key", "name", "d", "data").mapInArrow(scan, "key long, name binary, of binary, at int, d int, data binary")
+    windows = crowded.select("key", "name", "d", "data").mapInArrow(scan, "window binary, name binary, at int")
+    common = cut(windows.groupBy("window").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("window"))
+    return windows.join(common, "window").select("name", F.array(F.col("at"), F.col("at") + 1).alias("ranges"))
 
 
 def repeats(segments: list[tuple[int, bytes]], width: int) -> np.ndarray:
     """For segments (distance of the anchor, bytes): which windows (columns from the anchor's farthest) equal a window
-    of another segment at the same distance. Rows: columns of windows; a sequential file feeds the rounds."""
+    of another segment at the same distance. Rows: columns of windows."""
     m = len(segments)
     far = max(d for d, _ in segments)
     start = np.array([far - d for d, _ in segments])
     stop = start + np.array([len(x) for _, x in segments])
     wide, windows = int(stop.max()), int((stop - width).max()) + 1
-    with tempfile.TemporaryFile() as columns, tempfile.TemporaryFile() as found:
-        by_column = np.memmap(columns, np.uint8, "w+", shape=(wide, m))
-        for k in range(0, m, 4096):
-            part = np.zeros((min(4096, m - k), wide), np.uint8)
-            for j, (_, x) in enumerate(segments[k : k + 4096]):
-                part[j, start[k + j] : stop[k + j]] = np.frombuffer(x, np.uint8)
-            by_column[:, k : k + 4096] = part.T
-        hits = np.memmap(found, np.bool_, "w+", shape=(windows, m))
-        enter = np.argsort(-stop, kind="stable")
-        ends = -stop[enter]
-        order, common, inside = np.zeros(0, np.int64), np.zeros(0, np.int32), 0
-        for c in range(wide - 1, -1, -1):
-            now = int(np.searchsorted(ends, -c - 1, side="right"))  # those whose last symbol is this one come in
-            if now > inside:
-                order = np.concatenate([order, enter[inside:now]])
-                common = np.concatenate([common, np.zeros(now - inside, np.int32)])
-                inside = now
-            symbol = by_column[c][order].astype(np.int16)
-            symbol[start[order] > c] = 256  # those that have begun go out
-            new = np.argsort(symbol, kind="stable")
-            sorted_symbol = symbol[new]
-            new = new[: np.searchsorted(sorted_symbol, 256)]
-            sorted_symbol = sorted_symbol[: len(new)]
-            fresh = np.zeros(len(new), np.int32)
-            if len(new) > 1:
-                same = np.flatnonzero(sorted_symbol[1:] == sorted_symbol[:-1]) + 1
-                a, b = new[same - 1] + 1, new[same]  # the least of common[a..b]
-                near = a == b
-                fresh[same[near]] = common[b[near]] + 1
-                pairs = np.stack([a[~near], b[~near] + 1], 1).ravel()
-                if len(pairs):
-                    fresh[same[~near]] = np.minimum.reduceat(np.append(common, 0), pairs)[::2] + 1
-            order, common = order[new], np.minimum(fresh, width)
-            if c < windows:
-                full = common >= width
-                hits[c, order] = full | np.append(full[1:], False)
-        return np.array(hits)
+    by_column = np.empty((wide, m), np.uint8)
+    for k in range(0, m, 4096):
+        part = np.zeros((min(4096, m - k), wide), np.uint8)
+        for j, (_, x) in enumerate(segments[k : k + 4096]):
+            part[j, start[k + j] : stop[k + j]] = np.frombuffer(x, np.uint8)
+        by_column[:, k : k + 4096] = part.T
+    hits = np.zeros((windows, m), bool)
+    enter = np.argsort(-stop, kind="stable")
+    ends = -stop[enter]
+    order, common, inside = np.zeros(0, np.int64), np.zeros(0, np.int32), 0
+    for c in range(wide - 1, -1, -1):
+        now = int(np.searchsorted(ends, -c - 1, side="right"))  # those whose last symbol is this one come in
+        if now > inside:
+            order = np.concatenate([order, enter[inside:now]])
+            common = np.concatenate([common, np.zeros(now - inside, np.int32)])
+            inside = now
+        symbol = by_column[c][order].astype(np.int16)
+        symbol[start[order] > c] = 256  # those that have begun go out
+        new = np.argsort(symbol, kind="stable")
+        sorted_symbol = symbol[new]
+        new = new[: np.searchsorted(sorted_symbol, 256)]
+        sorted_symbol = sorted_symbol[: len(new)]
+        fresh = np.zeros(len(new), np.int32)
+        if len(new) > 1:
+            same = np.flatnonzero(sorted_symbol[1:] == sorted_symbol[:-1]) + 1
+            a, b = new[same - 1] + 1, new[same]  # the least of common[a..b]
+            near = a == b
+            fresh[same[near]] = common[b[near]] + 1
+            pairs = np.stack([a[~near], b[~near] + 1], 1).ravel()
+            if len(pairs):
+                fresh[same[~near]] = np.minimum.reduceat(np.append(common, 0), pairs)[::2] + 1
+        order, common = order[new], np.minimum(fresh, width)
+        if c < windows:
+            full = common >= width
+            hits[c, order] = full | np.append(full[1:], False)
+    return hits
 
 
 def find_repeats(segments: DataFrame, width: int) -> DataFrame:
@@ -271,7 +326,8 @@ def repeated_windows(docs: DataFrame, scanned: DataFrame, width: int = WIDTH) ->
     """(uid, ranges): windows of each text, as array<array<long>> of (first, past the last), that start elsewhere too."""
     texts = scanned.groupBy("uid").agg(F.first("seg").alias("seg"), F.first("n_bytes").alias("n_bytes"))
     rows = texts.filter(F.col("n_bytes") >= width).select("uid", F.explode("seg").alias("s"))
-    often = rows.groupBy(F.col("s.h").alias("h")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
+    # a table of its own: the join then reads two plain exchanges, so that a hot anchor's side can be split
+    often = cut(rows.groupBy(F.col("s.h").alias("h")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"))
     kept = rows.withColumn("h", F.col("s.h")).join(often, "h").groupBy("uid").agg(F.collect_list("s").alias("seg"))
     segments = stored(cut_segments(whole_texts(docs).join(kept, "uid"), width), "segments")
     # how many different segments there are to a key, and how often each occurs, without their bytes
@@ -281,12 +337,7 @@ def repeated_windows(docs: DataFrame, scanned: DataFrame, width: int = WIDTH) ->
     once = ["key", "name"]
     calm = segments.join(keys.filter(F.col("m") <= CROWD), "key", "left_semi").dropDuplicates(once)
     crowded = segments.join(keys.filter(F.col("m") > CROWD), "key", "left_semi").dropDuplicates(once)
-    blocks = stored(fine_blocks(crowded, width), "blocks")
-    block_names = blocks.groupBy(*once).agg(F.count(F.lit(1)).alias("copies"), F.first(F.length("data")).alias("size"))
-    windows_of = F.array(F.lit(0), (F.col("size") - width + 1).cast("int"))
-    block_hits = find_repeats(blocks.dropDuplicates(once), width).unionByName(block_names.filter("copies > 1").select("name", windows_of.alias("ranges")))
-    of_blocks = blocks.select("name", "of", "at").join(block_hits, "name").select(F.col("of").alias("name"), F.transform("ranges", lambda x: x + F.col("at")).alias("ranges"))
-    hits = find_repeats(calm, width).unionByName(copied).unionByName(of_blocks)
+    hits = find_repeats(calm, width).unionByName(copied).unionByName(counted_windows(crowded, width))
     return (
         segments.select("name", "uid", "a")
         .join(hits, "name")
@@ -296,6 +347,76 @@ def repeated_windows(docs: DataFrame, scanned: DataFrame, width: int = WIDTH) ->
     )
 
 
+def passage_words(docs: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(uid, n_passage_words): words of a text that lie in windows of WORDS words which another text has too."""
+    texts = scanned.groupBy("uid").agg(F.first("wseg").alias("wseg"))
+    rows = texts.select("uid", F.explode("wseg").alias("s"))
+    often = cut(rows.groupBy(F.col("s.h").alias("h")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"))
+    kept = rows.withColumn("h", F.col("s.h")).join(often, "h").groupBy("uid").agg(F.collect_list("s").alias("wseg"))
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Codes()
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                b = whole.slice(k, 500)
+                names, uids, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for uid, text, seg in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), b.column(2)):
+                    first, n = seg.values.field("a").to_numpy().astype(np.int64), seg.values.field("n").to_numpy()
+                    at = np.unique(np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum())))
+                    names.append(named_windows(word_codes(text, known), WORDS)[at].view(np.int64))
+                    places.append(at)
+                    uids.append(np.full(len(at), uid, np.int64))
+                name, uid, at = np.concatenate(names), np.concatenate(uids), np.concatenate(places)
+                # a name that two texts of this batch have is known to be shared: it goes on as one row, its places apart from it
+                order = np.lexsort((uid, name))
+                name, uid, at = name[order], uid[order], at[order]
+                new = np.append(True, name[1:] != name[:-1]) if len(name) else np.zeros(0, bool)
+                edges = np.flatnonzero(new)
+                size = np.diff(np.append(edges, len(name)))
+                mixed = uid[edges] != uid[edges + size - 1]
+                shared = np.repeat(mixed, size)
+                kind = np.concatenate([np.where(shared, 2, 0), np.ones(int(mixed.sum()), np.int64)])
+                cells = (np.append(np.where(shared, uid ^ at, name), name[edges[mixed]]), np.append(uid, uid[edges[mixed]]), np.append(at, at[edges[mixed]]), kind)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int64(), pa.int32(), pa.int8()))], names=["name", "uid", "at", "kind"])
+
+    def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows (name, uid, at, kind) sorted by name, kind (falling) and uid: those of kind 2, and those of kind 0 whose
+        name has a row of kind 1 or another uid. What is held is the rows of a name while they are of one uid."""
+        name, uid, mixed = None, None, False
+        held: list[int] = []
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for n, u, a, kind in zip(*(c.to_pylist() for c in b.columns)):
+                if kind == 2:
+                    out.append((u, a))
+                    continue
+                if n != name:
+                    name, uid, mixed, held = n, u, kind == 1, []
+                if kind == 1:
+                    continue
+                if u != uid and not mixed:
+                    mixed = True
+                    out += [(uid, x) for x in held]
+                    held = []
+                if mixed:
+                    out.append((u, a))
+                else:
+                    held.append(a)
+            us, ats = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(ats, pa.int32())], names=["text", "at"])
+
+    id_of = F.xxhash64("uid").alias("text")
+    cutout = whole_texts(docs).join(kept, "uid").select(id_of, "text", "wseg").toDF("uid", "text", "wseg")
+    named = cutout.mapInArrow(scan, "name long, uid long, at int, kind byte")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = named.repartition(n, "name").sortWithinPartitions("name", F.desc("kind"), "uid").mapInArrow(shared, "text long, at int")
+    places = found.groupBy("text").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    # each window adds the words that the one before it doesn't have
+    gaps = F.zip_with("at", F.slice(F.col("at"), 2, F.size("at")), lambda x, y: F.least(F.coalesce(y - x, F.lit(WORDS)), F.lit(WORDS)))
+    words = F.aggregate(gaps, F.lit(0).cast("long"), lambda x, y: x + y)
+    return cut(places.select("text", words.alias("n_passage_words")))
+
+
 def union_spans(ranges: list[list[int]], width: int) -> np.ndarray:
     """Maximal runs (first, past the last) of the bytes that the windows cover."""
     r = np.concatenate([np.array(x, np.int64).reshape(-1, 2) for x in ranges])
@@ -306,9 +427,11 @@ def union_spans(ranges: list[list[int]], width: int) -> np.ndarray:
 
 
 def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, for every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words, for every row."""
     scanned = cut(scan_texts(docs, width, gram))
     copies = scanned.groupBy("uid").agg(F.count(F.lit(1)).alias("copies"))
+    passages = passage_words(docs, scanned)
+    docs.sparkSession.sparkContext._jvm.System.gc()  # the cleaner then drops the files of its shuffles
     windows = repeated_windows(docs, scanned, width)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,14 +455,17 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataF
     done = again.mapInArrow(scan, "uid string, removed long, spans long, rest string")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= width)
     return (
-        scanned.drop("seg")
+        scanned.drop("seg", "wseg")
         .join(copies, "uid")
         .join(done, "uid", "left")
+        .withColumn("text", F.xxhash64("uid"))
+        .join(passages, "text", "left")
         .select(
             "doc_id",
             "n_bytes",
             F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
             F.when(whole, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
             F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("rest", "sha")).alias("kept_sha256"),
+            F.when((F.col("copies") > 1) & (F.col("n_words") >= WORDS), F.col("n_words")).otherwise(F.coalesce("n_passage_words", F.lit(0))).cast("long").alias("n_passage_words"),
         )
     )

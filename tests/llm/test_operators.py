@@ -176,11 +176,26 @@ def brute_repeats(texts, width):
         yield len(t), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()
 
 
+def brute_passages(texts):
+    """Words of each text in runs of 51 words that another row has too."""
+    split = [t.split() for t in texts]
+    where = {}
+    for i, w in enumerate(split):
+        for k in range(len(w) - 50):
+            where.setdefault(tuple(w[k : k + 51]), set()).add(i)
+    for w in split:
+        hit = np.zeros(len(w), bool)
+        for k in range(len(w) - 50):
+            if len(where[tuple(w[k : k + 51])]) > 1:
+                hit[k : k + 51] = True
+        yield int(hit.sum())
+
+
 @pytest.mark.parametrize("crowd", [20_000, 1])
 def test_repeats_against_brute_force(docs, rows, monkeypatch, crowd):
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)  # 1: every group goes through fine blocks
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)  # 1: the windows of every group are counted
     texts = [(t or "").encode() for _, t, *_ in rows]
-    want = Counter((i, *x) for (i, *_), x in zip(rows, brute_repeats(texts, 400)))
+    want = Counter((i, *x, n) for (i, *_), x, n in zip(rows, brute_repeats(texts, 400), brute_passages(texts)))
     assert want == Counter(tuple(r) for r in suffix_dedup.suffix_dedup(docs).collect())
 
 

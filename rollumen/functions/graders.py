@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rollumen.functions import latex, text
+from rollumen.operators.masked import once
 
 Grader = Callable[[Column, Column], Column]
 
@@ -32,6 +33,7 @@ SOURCES = {
     "zoom": ("zoom-bench", "zoom-bench-crop"),
     "qa_em": ("searchR1_nq", "searchR1_triviaqa", "searchR1_popqa", "searchR1_hotpotqa", "searchR1_2wikimultihopqa", "searchR1_musique", "searchR1_bamboogle"),
     "geo3k": ("hiyouga/geometry3k",),
+    "code": ("codecontests", "apps", "codeforces", "taco"),
     "prime": ("numina_aops_forum", "numina_synthetic_math", "numina_amc_aime", "numina_synthetic_amc", "numina_cn_k12", "numina_olympiads"),
 }
 
@@ -175,16 +177,19 @@ def geo3k(solution: Column, gold: Column, format_score: float = 0.1) -> Column:
 def feedback_math(solution: Column, gold: Column, truncated: Column, train: bool = False, tell: bool = False) -> Column:
     """Boxed answer of the last 100 characters, with a sentence of feedback. train: half a point off for a missing box."""
     p = F.coalesce(text.unboxed(text.last_boxed(_tail(solution, 100))), F.lit(""))
-    ok = (p == gold) | F.coalesce(latex.math_equal(p, gold), F.lit(False))
-    bad = p == ""
-    says = (
-        F.when(bad & ~truncated, "The answer has the wrong format: write it as \\boxed{your_answer}.")
-        .when(truncated, "The response was cut off at the maximum length.")
-        .when(~ok & F.lit(tell), F.concat(F.lit("The answer is not correct; it should be "), gold, F.lit(".")))
-        .otherwise("")
-    )
-    score = ok.cast("double") - F.when(F.lit(train) & bad & ~truncated, 0.5).otherwise(0.0)
-    return _result(score, p, acc=ok.cast("double"), incorrect_format=bad.cast("int"), feedback=says)
+
+    def told(x: Column) -> Column:
+        ok, bad = (x["p"] == gold) | x["same"], x["p"] == ""
+        says = (
+            F.when(bad & ~truncated, "The answer has the wrong format: write it as \\boxed{your_answer}.")
+            .when(truncated, "The response was cut off at the maximum length.")
+            .when(~ok & F.lit(tell), F.concat(F.lit("The answer is not correct; it should be "), gold, F.lit(".")))
+            .otherwise("")
+        )
+        score = ok.cast("double") - F.when(F.lit(train) & bad & ~truncated, 0.5).otherwise(0.0)
+        return _result(score, x["p"], acc=ok.cast("double"), incorrect_format=bad.cast("int"), feedback=says)
+
+    return once(F.struct(p.alias("p"), F.coalesce(latex.math_equal(p, gold), F.lit(False)).alias("same")), told)
 
 
 def tool_use(solution: Column, actions: Column, inputs: Column) -> Column:
@@ -206,14 +211,15 @@ def merge_maps(maps: Column) -> Column:
 GRADERS: dict[str, Grader] = {"gsm8k": gsm8k, "math": math, "dapo": dapo, "geo3k": geo3k, "prime": prime}
 
 
-def score_by_source(source: Column, solution: Column, gold: Column, question_type: Column | None = None) -> Column:
-    """The score that a row's source calls for. An unknown source is an error when its row is read."""
+def score_by_source(source: Column, solution: Column, gold: Column, question_type: Column | None = None, statuses: Column | None = None) -> Column:
+    """The score that a row's source calls for; code sources by the recorded statuses of their tests, if given. An unknown
+    source is an error when its row is read."""
     kind = question_type if question_type is not None else F.lit(None).cast("string")
     branches = {
         "gsm8k": gsm8k(solution, gold), "math": math(solution, gold), "dapo": dapo(solution, gold), "geo3k": geo3k(solution, gold),
         "prime": prime(solution, gold), "zoom": zoom(solution, gold, kind), "qa_em": qa_em(solution, F.array(gold)),
     }
-    out = F
+    out = F if statuses is None else F.when(source.isin(*SOURCES["code"]), code_score(statuses, continuous=True))
     for name, result in branches.items():
         hit = source.isin(*SOURCES[name])
         if name == "dapo":

@@ -42,7 +42,7 @@ def normalized(text: str) -> str:
     for a, b in REPLACED:
         text = text.replace(a, b)
     text = text.partition("\\text{ ")[0]
-    text = text.replace("\\%", "").replace("%", "")
+    text = text.replace("\\\\%", "").replace("\\%", "")
     text = text.replace(" .", " 0.").replace("{.", "{0.")
     if not text:
         return text
@@ -80,9 +80,9 @@ def close(a: Fraction, b: Fraction) -> bool:
 
 
 def equal(a: str, b: str) -> bool:
-    """Normalised texts are equal; or numbers, to a relative 1e-4, also times or by 100; or tuples, part by part."""
+    """Normalised texts are equal, whatever their case; or numbers, to a relative 1e-4, also times or by 100; or tuples, part by part."""
     a, b = a.strip(), b.strip()
-    if normalized(a) == normalized(b):
+    if normalized(a).lower() == normalized(b).lower():
         return True
     x, y = number(a), number(b)
     if x is not None and y is not None:

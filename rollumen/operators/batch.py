@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollumen.plans.order import numbered
+
 
 def columns(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """keep and row_id; None keeps all. A missing column is an error."""
@@ -144,8 +146,10 @@ def mini_batches(df: DataFrame, size: int, length: int, epochs: int = 1, seed: i
     if seed is None:
         place = F.col("row_id")
     else:
-        place = F.row_number().over(Window.partitionBy("epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "row_id"), "row_id")) - 1
-    many = many.withColumn("_p", place)
+        dealt = many.withColumn("_h", F.xxhash64(F.lit(seed), "epoch", "row_id"))
+        many = numbered(dealt, ["epoch", "_h", "row_id"], "_n").drop("_h")
+        place = F.col("_n") - F.col("epoch") * length  # every epoch has all rows
+    many = many.withColumn("_p", place).drop("_n")
     return many.withColumn("batch", F.floor(F.col("_p") / size)).withColumn("position", F.col("_p") % size).drop("_p")
 
 
@@ -177,3 +181,54 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     for c in cols:
         same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
     return a.withColumn("_here", F.lit(True)).join(other, "row_id", "full").filter(F.col("_here").isNull() | F.col("_there").isNull() | ~same).select("row_id")
+
+
+def assigned(df: DataFrame, name: str, value) -> DataFrame:
+    """A column of one value for all rows."""
+    return df.withColumn(name, F.lit(value))
+
+
+def assigned_each(df: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """A column of one value for each row, from values (row_id, name)."""
+    return df.join(values.select("row_id", name), "row_id")
+
+
+def lists_of(df: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows of each key as one row of lists, one for each column, all in the same order."""
+    rest = [c for c in df.columns if c not in (key, order)]
+    got = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("_x"))
+    return got.select(key, *[F.col(f"_x.{c}").alias(c) for c in (order, *rest)])
+
+
+def auto_padded(df: DataFrame, divisor: int, length: int, enabled: bool) -> DataFrame:
+    """padded() where the switch is on; else the rows as they are, none of them padding."""
+    return padded(df, divisor, length) if enabled else df.withColumn("is_pad", F.lit(False))
+
+
+def varied_groups(df: DataFrame, group: str, metric: str) -> DataFrame:
+    """Rows of the groups in which the metric takes more than one value."""
+    some = df.groupBy(group).agg(F.min(metric).alias("_a"), F.max(metric).alias("_b")).filter("_a <> _b").select(group)
+    return df.join(some, group, "left_semi")
+
+
+def replica_batches(df: DataFrame, key: str, replicas: int, size: int, length: int, seed: int | None = None, epoch: int = 0) -> DataFrame:
+    """Adds replica, batch and position: rows in the order of key, or of the MD5 of seed, epoch and key, are dealt round by
+    round to the replicas; batches that not every replica can fill are dropped."""
+    own = df if seed is None else df.withColumn("_h", F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.lit(epoch).cast("string"), F.col(key).cast("string"))))
+    out = numbered(own, ([] if seed is None else ["_h"]) + [key], "_n").filter(F.col("_n") < length - length % (replicas * size))
+    place = F.floor(F.col("_n") / replicas)
+    return out.withColumn("replica", F.col("_n") % replicas).withColumn("batch", F.floor(place / size)).withColumn("position", place % size).drop("_n", "_h")
+
+
+def traced(df: DataFrame, step: str, key: str, k: int, seed: int = 0) -> DataFrame:
+    """k rows of each step, by the MD5 of seed and key."""
+    h = F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.col(key).cast("string")))
+    w = Window.partitionBy(step).orderBy("_h", key)
+    return df.withColumn("_h", h).withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_h", "_k")
+
+
+def shared_prefixes(df: DataFrame, group: str, order: str, prefix: str, suffix: str) -> DataFrame:
+    """Adds offset and position: where a row's suffix begins in its group's packed sequence, the shared prefix first, and the
+    position it restarts at, the prefix's length."""
+    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("offset", F.col(prefix) + F.coalesce(F.sum(suffix).over(w), F.lit(0))).withColumn("position", F.col(prefix))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollumen.operators.masked import clip, masked_mean, masked_sum
+from rollumen.plans.order import numbered
 
 AGGREGATIONS = ("token-mean", "seq-mean-token-sum", "seq-mean-token-mean", "seq-mean-token-sum-norm")
 _LOSSES: dict[str, Callable[..., DataFrame]] = {}
@@ -155,17 +156,24 @@ def _covariance(tokens: DataFrame) -> DataFrame:
     return tokens.crossJoin(F.broadcast(means)).withColumn("cov", (_adv() - F.col("_ma")) * (F.col("logp_new") - F.col("_ml"))).drop("_ma", "_ml")
 
 
-def top_tokens(tokens: DataFrame, order: list[Column], share: float) -> DataFrame:
-    """(row_id, t) of the first max(1, int(share * valid)) candidates; the bound is a count, so it is one top-k query."""
-    n = tokens.agg(F.sum("mask")).first()[0] or 0
-    return tokens.orderBy(*order).limit(max(1, int(n * share)) if n else 0).select("row_id", "t")
+def top_tokens(tokens: DataFrame, order: list[Column], share: float, total: DataFrame) -> DataFrame:
+    """(row_id, t) of the first max(1, int(share * n)) of the tokens, n of all their valid ones. They are numbered over ranges,
+    as their number grows with the data."""
+    keys = {f"_o{k}": c for k, c in enumerate(order)}
+    ranked = numbered(tokens.select(*[c.alias(k) for k, c in keys.items()], "row_id", "t"), [*keys, "row_id", "t"], "_k")
+    return ranked.crossJoin(F.broadcast(total)).filter(F.col("_k") < F.greatest(F.floor(F.col("_n") * share), F.lit(1))).select("row_id", "t")
+
+
+def valid_tokens(tokens: DataFrame) -> DataFrame:
+    """One row: _n."""
+    return tokens.agg(F.coalesce(F.sum("mask"), F.lit(0)).alias("_n"))
 
 
 @register("kl_cov")
 def kl_cov(tokens: DataFrame, share: float = 0.0002, coef: float = 1.0, mode: str = "token-mean", width: int | None = None) -> DataFrame:
     """The tokens of the largest covariance (ties: lowest row, then position) pay coef * |difference| on top."""
     df = _covariance(tokens)
-    best = top_tokens(df.filter("mask > 0"), [F.desc(F.round("cov", 9)), F.col("row_id"), F.col("t")], share).withColumn("_top", F.lit(True))
+    best = top_tokens(df.filter("mask > 0"), [-F.round("cov", 9)], share, valid_tokens(tokens)).withColumn("_top", F.lit(True))
     df = df.join(best, ["row_id", "t"], "left")
     loss = -_adv() * F.exp(_diff()) + F.when(F.col("_top"), coef * F.abs(_diff())).otherwise(0.0)
     return _with_metrics(df.withColumn("loss", _weighted(loss, tokens)), mode, width, ppo_kl=F.abs(_diff()))
@@ -174,13 +182,13 @@ def kl_cov(tokens: DataFrame, share: float = 0.0002, coef: float = 1.0, mode: st
 @register("clip_cov")
 def clip_cov(tokens: DataFrame, share: float = 0.0002, lower: float = 1.0, upper: float = 5.0, low: float = 0.2, high: float = 0.2, seed: int = 42, mode: str = "token-mean", width: int | None = None) -> DataFrame:
     """Tokens with a covariance between the bounds that aren't clipped anyway are dropped from the loss, as many as the
-    share allows, in the order of a seeded hash of row and position."""
+    share allows, in the order of the MD5 of seed, row and position."""
     df = _covariance(tokens)
     r = F.exp(_diff())
     l1, l2 = -_adv() * r, -_adv() * clip(r, 1 - low, 1 + high)
     near = df.filter((F.col("mask") > 0) & (F.col("cov") > lower) & (F.col("cov") < upper) & ~(l2 > l1))
-    n = df.agg(F.sum("mask")).first()[0] or 0
-    gone = near.orderBy(F.xxhash64(F.lit(seed), "row_id", "t"), "row_id", "t").limit(max(1, int(n * share))).select("row_id", "t", F.lit(True).alias("_gone"))
+    draw = F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.col("row_id").cast("string"), F.col("t").cast("string")))
+    gone = top_tokens(near, [draw], share, valid_tokens(tokens)).withColumn("_gone", F.lit(True))
     df = df.join(gone, ["row_id", "t"], "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
     loss = F.when(F.col("_gone"), 0.0).otherwise(F.greatest(l1, l2))
     return _with_metrics(df.withColumn("loss", _weighted(loss, tokens)), mode, width, clipfrac=F.col("_gone"), ppo_kl=-_diff())
@@ -218,3 +226,8 @@ def mixed_loss(tokens: DataFrame, distill: str = "distill_loss", flag: str = "di
             + F.coalesce(masked_sum(F.when(~on, F.col("loss"))) / F.nullif(F.sum(F.when(~on, F.col("mask"))).cast("double"), F.lit(0.0)), F.lit(0.0))
         ).alias("loss")
     )
+
+
+def entropy_loss(tokens: DataFrame, entropy: str = "entropy", mode: str = "token-mean", width: int | None = None) -> DataFrame:
+    """One row with `loss`: the tokens' entropies, aggregated as any loss."""
+    return agg_loss(tokens, entropy, mode, width)

@@ -61,14 +61,18 @@ def array_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once: what stands in a lambda is computed again for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def logsumexp(a: Column) -> Column:
     """Of an array of double, shifted by its largest element."""
-    return F.array_max(a) + F.ln(array_sum(F.transform(a, lambda x: F.exp(x - F.array_max(a)))))
+    return once(F.array_max(a), lambda top: top + F.ln(array_sum(F.transform(a, lambda x: F.exp(x - top)))))
 
 
 def entropy_from_logits(logits: Column) -> Column:
-    lse = logsumexp(logits)
-    return lse - array_sum(F.transform(logits, lambda x: F.exp(x - lse) * x))
+    return once(logsumexp(logits), lambda lse: lse - array_sum(F.transform(logits, lambda x: F.exp(x - lse) * x)))
 
 
 def logprob_of(logits: Column, label: Column) -> Column:
@@ -91,8 +95,7 @@ def add_tail(topk_logp: Column) -> Column:
 
 
 def renormalised(topk_logp: Column) -> Column:
-    lse = logsumexp(topk_logp)
-    return F.transform(topk_logp, lambda x: x - lse)
+    return once(logsumexp(topk_logp), lambda lse: F.transform(topk_logp, lambda x: x - lse))
 
 
 def kl_divergence(p_log: Column, q_log: Column) -> Column:

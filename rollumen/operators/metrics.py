@@ -252,3 +252,10 @@ def masked_pair_stats(tokens: DataFrame, a: str, b: str) -> DataFrame:
     on = F.col("mask") > 0
     p, q = F.when(on, F.exp(a)), F.when(on, F.exp(b))
     return tokens.agg(F.max(F.abs(p - q)).alias("max"), F.avg(F.abs(p - q)).alias("mean"), F.stddev_samp(F.abs(p - q)).alias("std"), F.corr(p, q).alias("pearson"))
+
+
+def generation_performance(rows: DataFrame, seconds: str, key: str, *details: str) -> DataFrame:
+    """One row: least, most and mean seconds, and the key and details of the slowest row (ties: the smallest key)."""
+    slowest = F.min_by(F.struct(key, *details), F.struct(-F.col(seconds), F.col(key)))
+    got = rows.agg(F.min(seconds).alias("min"), F.max(seconds).alias("max"), F.avg(seconds).alias("mean"), slowest.alias("_s"))
+    return got.select("min", "max", "mean", *[F.col(f"_s.{c}").alias(f"slowest_{c}") for c in (key, *details)])

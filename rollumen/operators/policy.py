@@ -208,3 +208,64 @@ def bypass(tokens: DataFrame) -> DataFrame:
 def reuse_rollout_logprobs(columns: list[str], epochs: int, mini_batch: int, batch: int) -> bool:
     """True if the rollout's log-probabilities can be the old ones: present, one epoch, one update a batch."""
     return "logp_rollout" in columns and epochs == 1 and mini_batch == batch
+
+
+def rollout_correction(tokens: DataFrame, level: str | None = "token", threshold: float = 2.0, normalise: bool = False, modes: str | list[str] | None = None, spec=None) -> DataFrame:
+    """Weights and rejection together: raw_weight and is_weight (1 without a level), kept_mask (the mask without modes).
+    No valid token at all is an error."""
+    if not tokens.filter("mask > 0").limit(1).count():
+        raise ValueError("no valid token")
+    own = log_ratio(tokens)
+    out = importance_weights(own, level, threshold, normalise) if level else own.withColumn("raw_weight", F.lit(1.0)).withColumn("is_weight", F.lit(1.0))
+    return rejection(out, modes, spec) if modes else out.withColumn("kept_mask", F.col("mask"))
+
+
+def rejection_statistics(tokens: DataFrame, mode: str, spec) -> DataFrame:
+    """One row of metrics of a mode's statistic, from log_ratio and mask: mean, extremes and shares beyond the bounds (of rows
+    for sequence modes, else of tokens), std of the bounded statistic, and the same of the rows' values."""
+    low, high = parse_thresholds([mode], spec)[mode]
+    level, _, kind = mode.rpartition("_")
+    low, high = (math.log(low), math.log(high)) if kind == "k1" else (None, high)
+    x, m = clip("log_ratio", -SAFE, SAFE), F.col("mask")
+    v = {"k1": -x, "k2": 0.5 * x * x, "k3": F.exp(x) - 1 - x}[kind]
+    rows = tokens.withColumn("_v", v).groupBy("row_id").agg(
+        F.sum(F.col("_v") * m).alias("s"), F.sum("mask").alias("n"), F.max(F.when(m > 0, F.col("_v"))).alias("most"), F.min(F.when(m > 0, F.col("_v"))).alias("least"),
+        F.sum(clip("_v", 0.0 if low is None else low, high) * m).alias("c1"), F.sum(clip("_v", 0.0 if low is None else low, high) ** 2 * m).alias("c2"),
+        F.sum((F.col("_v") > high).cast("double") * m).alias("over"), F.sum((F.col("_v") < (low or 0.0)).cast("double") * m).alias("under"),
+    )
+    mean = F.col("s") / (F.col("n") + 1e-8)
+    value = {"token": mean, "seq_mean": mean, "seq_sum": F.col("s"), "seq_max": F.coalesce("most", F.lit(0.0))}[level]
+    rows = rows.withColumn("q", value).withColumn("c", clip("q", 0.0 if low is None else low, high))
+    sequence = level != "token"
+    total, some = F.sum("n") + 1e-8, F.col("n") > 0
+    q = F.when(some, F.col("q"))
+    share = lambda c: F.avg(F.when(some, c.cast("double")))
+    high_rows, low_rows = share(F.col("q") > high), F.lit(0.0) if low is None else share(F.col("q") < low)
+    c1, c2 = ((F.sum(F.col("c") * F.col("n")) / total), (F.sum(F.col("c") ** 2 * F.col("n")) / total)) if sequence else (F.sum("c1") / total, F.sum("c2") / total)
+    return rows.agg(
+        ((F.sum(F.col("q") * F.col("n")) if sequence else F.sum("s")) / total).alias("mean"),
+        (F.max(q) if sequence else F.max("most")).alias("max"),
+        (F.min(q) if sequence else F.min("least")).alias("min"),
+        (high_rows if sequence else F.sum("over") / total).alias("fraction_high"),
+        (low_rows if sequence else F.lit(0.0) if low is None else F.sum("under") / total).alias("fraction_low"),
+        F.when(F.sum("n") > 1, F.sqrt(F.greatest(c2 - c1**2, F.lit(0.0)))).otherwise(0.0).alias("std"),
+        F.avg(q).alias("seq_mean"),
+        F.coalesce(F.stddev_samp(q), F.lit(0.0)).alias("seq_std"),
+        F.max(q).alias("seq_max"),
+        F.min(q).alias("seq_min"),
+        F.max(F.abs(q)).alias("seq_max_deviation"),
+        high_rows.alias("seq_fraction_high"),
+    )
+
+
+def forbidden_positions(tokens: DataFrame, token: str, ids: list[int]) -> DataFrame:
+    """(row_id, positions) of rows with a valid token of the given ids."""
+    hit = tokens.filter((F.col("mask") > 0) & F.col(token).isin(list(ids)))
+    return hit.groupBy("row_id").agg(F.array_sort(F.collect_list("t")).alias("positions"))
+
+
+def without_forbidden(tokens: DataFrame, token: str, ids: list[int]) -> DataFrame:
+    """The tokens; a row that reaches a valid one of the given ids is an error that names it."""
+    where = F.concat(F.lit("forbidden token in row "), F.col("row_id").cast("string"), F.lit(" at "), F.col("t").cast("string"))
+    bad = (F.col("mask") > 0) & F.col(token).isin(list(ids))
+    return tokens.withColumn(token, F.when(bad, F.raise_error(where).cast(tokens.schema[token].dataType)).otherwise(F.col(token)))

@@ -342,10 +342,9 @@ def valid_logprobs(spark, sf_dir):
     return sinks.valid_logprobs(token_lines(spark, sf_dir), "logp_old").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("seeded_sample")
+@query("seeded_sample", "SELECT doc_id, CAST(doc_id AS VARCHAR) AS input FROM documents ORDER BY md5('42-' || CAST(doc_id AS VARCHAR)), input LIMIT 20")
 def seeded_sample(spark, sf_dir):
-    """k rows in the order of a hash that only Spark has; tests check that it repeats."""
-    return sinks.sample_table(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("input")), 20)
+    return sinks.sample_table(table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("input")), 20)
 
 
 @query(
@@ -359,10 +358,10 @@ def reward_placement(spark, sf_dir):
 
 @query(
     "reward_manager_dapo",
-    """SELECT doc_id, round((CASE WHEN doc_id % 7 = 1 THEN 1.0 ELSE 0.0 END) + least(-(doc_id % 10 - (8 - 4)) / 4 * 0.5, 0), 4) + 0.0 AS total FROM documents WHERE doc_id % 10 > 0""",
+    """SELECT doc_id, round(CASE WHEN doc_id % 10 = 0 THEN 0.0 ELSE (CASE WHEN doc_id % 7 = 1 THEN 1.0 ELSE 0.0 END) + least(-(doc_id % 10 - (8 - 4)) / 4 * 0.5, 0) END, 4) + 0.0 AS total FROM documents""",
 )
 def reward_manager_dapo(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 10 > 0)
+    d = table(spark, sf_dir, "documents")
     sol = F.concat(F.lit("#### "), (F.col("doc_id") % 7).cast("string"))
     tok = registry.get_reward_manager("dapo")(F.lit("openai/gsm8k"), sol, F.lit("1"), F.col("doc_id") % 10, 10, 8, 4, 0.5)
     return d.select("doc_id", r4(F.aggregate(tok, F.lit(0.0), lambda a, x: a + x)).alias("total"))

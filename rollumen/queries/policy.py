@@ -404,9 +404,16 @@ def loss_kl_cov(spark, sf_dir):
     return rounded(losses.kl_cov(with_advantage(spark, sf_dir), share=0.01))
 
 
-@query("loss_clip_cov")
+@query(
+    "loss_clip_cov",
+    f"""WITH {_ADV}, mu AS (SELECT sum(adv * mask) / (sum(mask) + 1e-8) AS ma, sum(logp_new * mask) / (sum(mask) + 1e-8) AS ml, sum(mask) AS n FROM a),
+    c AS (SELECT a.*, n, (adv - ma) * (logp_new - ml) AS cov, -adv * r AS l1, -adv * greatest(least(r, 1.2), 0.8) AS l2 FROM a, mu),
+    g AS (SELECT *, mask > 0 AND cov > 0.01 AND cov < 5 AND NOT (l2 > l1) AS near FROM c),
+    k AS (SELECT *, near AND row_number() OVER (PARTITION BY near ORDER BY md5('42-' || CAST(row_id AS VARCHAR) || '-' || CAST(t AS VARCHAR)), row_id, t) <= greatest(1, floor(n * 0.001)) AS gone FROM g)
+    SELECT round(sum(CASE WHEN gone THEN 0 ELSE greatest(l1, l2) END * mask) / sum(mask), 4) + 0.0 AS loss, round(sum(CASE WHEN gone THEN mask ELSE 0 END) / (sum(mask) + 1e-8), 4) + 0.0 AS clipfrac,
+      round(sum(-d * mask) / (sum(mask) + 1e-8), 4) + 0.0 AS ppo_kl FROM k""",
+)
 def loss_clip_cov(spark, sf_dir):
-    """Drops tokens in the order of a hash that only Spark has, so there is no SQL; tests check it against a loop."""
     return rounded(losses.clip_cov(with_advantage(spark, sf_dir), share=0.001, lower=0.01))
 
 

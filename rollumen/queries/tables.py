@@ -355,12 +355,12 @@ batch("reorder", "SELECT (row_id * 7 + 3) % (SELECT count(*) FROM orders) AS row
 batch("inverse", "SELECT row_id AS pos, (row_id * 7 + 3) % (SELECT count(*) FROM orders) AS row_id FROM b")(lambda d: b.inverse(d.select(((F.col("row_id") * 7 + 3) % d.count()).alias("pos"), "row_id")))
 batch("zip", "SELECT row_id, k, s, k % 10 AS m FROM b")(lambda d: b.zipped(d, d.select("row_id", "s", (F.col("k") % 10).alias("m"))).select("row_id", "k", "s", "m"))
 batch("concat", "SELECT row_id, k FROM b UNION ALL SELECT row_id + (SELECT count(*) FROM orders), -k FROM b")(lambda d: b.concatenated([(d.select("row_id", "k"), n := d.count()), (d.select("row_id", (-F.col("k")).alias("k")), n)]))
-batch("mini_batches", "SELECT epoch, row_id, CAST(floor(row_id / 50) AS BIGINT) AS batch, row_id % 50 AS position FROM b, (SELECT unnest([0, 1]) AS epoch) e WHERE row_id < 1500")(
-    lambda d: b.mini_batches(d.filter("row_id < 1500"), 50, 1500, 2).select("epoch", "row_id", "batch", "position")
+batch("mini_batches", "SELECT epoch, row_id, CAST(floor(row_id / 50) AS BIGINT) AS batch, row_id % 50 AS position FROM b, (SELECT unnest([0, 1]) AS epoch) e WHERE row_id < (SELECT count(*) - count(*) % 50 FROM orders)")(
+    lambda d: b.mini_batches(d.filter(F.col("row_id") < (n := d.count() // 50 * 50)), 50, n, 2).select("epoch", "row_id", "batch", "position")
 )
 batch("differences", "SELECT row_id FROM b WHERE k % 9 = 0")(lambda d: b.differences(d, d.withColumn("s", F.when(F.col("k") % 9 == 0, "x").otherwise(F.col("s")))))
-batch("merge", "SELECT row_id, k, NULL::VARCHAR AS t FROM b WHERE k % 50 = 0 UNION ALL SELECT row_id, NULL, s FROM b WHERE k % 50 = 0")(
-    lambda d: b.merged([d.filter("k % 50 = 0").select("row_id", "k"), d.filter("k % 50 = 0").select("row_id", F.col("s").alias("t"))])
+batch("merge", "SELECT row_id, k, NULL::VARCHAR AS t FROM b UNION ALL SELECT row_id, NULL, s FROM b")(
+    lambda d: b.merged([d.select("row_id", "k"), d.select("row_id", F.col("s").alias("t"))])
 )
 
 # joins and windows ---------------------------------------------------------------------------------------------------

@@ -245,12 +245,11 @@ def grade_code(spark, sf_dir):
 
 @query(
     "grade_by_source",
-    f"""WITH {BASE} SELECT doc_id, CASE doc_id % 8 WHEN 2 THEN (doc_id % 7 = doc_id % 5)::INT::DOUBLE WHEN 4 THEN 1.0 ELSE CASE WHEN doc_id % 11 = doc_id % 9 THEN 1.0 ELSE -1.0 END END AS score FROM s WHERE doc_id % 8 IN (2, 4, 5)""",
+    f"""WITH {BASE} SELECT doc_id, CASE doc_id % 8 WHEN 2 THEN (doc_id % 7 = doc_id % 5)::INT::DOUBLE WHEN 4 THEN 1.0 WHEN 5 THEN CASE WHEN doc_id % 11 = doc_id % 9 THEN 1.0 ELSE -1.0 END ELSE 0.0 END AS score FROM s""",
 )
 def by_source(spark, sf_dir):
-    src = F.when(F.col("doc_id") % 8 == 2, "openai/gsm8k").when(F.col("doc_id") % 8 == 4, "searchR1_nq").otherwise("aime2024")
-    rows = solutions(spark, sf_dir).filter((F.col("doc_id") % 8).isin(2, 4, 5))
-    return rows.select("doc_id", g.score_by_source(src, F.col("sol"), F.col("gold")).alias("score"))
+    src = F.when(F.col("doc_id") % 8 == 4, "searchR1_nq").when(F.col("doc_id") % 8 == 5, "aime2024").otherwise("openai/gsm8k")
+    return solutions(spark, sf_dir).select("doc_id", g.score_by_source(src, F.col("sol"), F.col("gold")).alias("score"))
 
 
 @query(

@@ -7,10 +7,11 @@ import importlib.util
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollumen.functions import graders
+from rollumen.operators import policy
 from rollumen.functions.chat import PARSERS  # noqa: F401  the registry of tool-call parsers
 
 RewardManager = Callable[..., Column]
@@ -89,20 +90,33 @@ class Correction:
     rollout_rs: str | None = None
     rs_threshold: str | None = None
     bypass: bool = False
+    loss: str | None = None
 
+    def apply(self, tokens: DataFrame) -> DataFrame:
+        """raw_weight, is_weight and kept_mask, with the rollout's log-probabilities as the old ones in bypass mode."""
+        own = policy.bypass(tokens) if self.bypass else tokens
+        return policy.rollout_correction(own, self.rollout_is, self.is_threshold, self.normalise, self.rollout_rs, self.rs_threshold)
 
-#: Presets by name.
+
+_SUM, _GEO, _K3 = ({"rollout_rs": m, "rs_threshold": t} for m, t in (("seq_sum_k1", "0.5_2.0"), ("seq_mean_k1", "0.999_1.001"), ("seq_mean_k3", "0.01")))
+_CLIP, _PG = ({"bypass": True, "loss": x} for x in ("ppo_clip", "reinforce"))
+#: Presets by name.
 PRESETS = {
+    "decoupled_token_is": Correction("token"),
+    "decoupled_seq_is": Correction("sequence"),
+    "decoupled_seq_is_rs": Correction("sequence", **_SUM),
+    "decoupled_geo_rs": Correction(**_GEO),
+    "bypass_ppo_clip": Correction(**_CLIP),
+    "bypass_ppo_clip_geo_rs": Correction(**_GEO, **_CLIP),
+    "bypass_ppo_clip_k3_rs": Correction(**_K3, **_CLIP),
+    "bypass_pg_is": Correction("sequence", **_PG),
+    "bypass_pg_geo_rs": Correction(**_GEO, **_PG),
+    "decoupled_geo_rs_seq_tis": Correction("sequence", **_GEO),
+    "decoupled_geo_rs_token_tis": Correction("token", **_GEO),
+    "bypass_pg_geo_rs_seq_tis": Correction("sequence", **_GEO, **_PG),
+    "bypass_pg_geo_rs_token_tis": Correction("token", **_GEO, **_PG),
+    "decoupled_k3_rs": Correction(**_K3),
+    "decoupled_k3_rs_seq_tis": Correction("sequence", **_K3),
+    "decoupled_k3_rs_token_tis": Correction("token", **_K3),
     "disabled": Correction(),
-    "token_is": Correction("token"),
-    "sequence_is": Correction("sequence"),
-    "token_is_normalised": Correction("token", normalise=True),
-    "seq_sum_k1": Correction(rollout_rs="seq_sum_k1", rs_threshold="0.5_2.0"),
-    "seq_mean_k1": Correction(rollout_rs="seq_mean_k1", rs_threshold="0.999_1.001"),
-    "seq_mean_k3": Correction(rollout_rs="seq_mean_k3", rs_threshold="0.01"),
-    "seq_max_k2": Correction(rollout_rs="seq_max_k2", rs_threshold="2.5"),
-    "token_is_seq_mean_k1": Correction("token", rollout_rs="seq_mean_k1", rs_threshold="0.999_1.001"),
-    "sequence_is_seq_sum_k1": Correction("sequence", rollout_rs="seq_sum_k1", rs_threshold="0.5_2.0"),
-    "bypass": Correction(bypass=True),
-    "bypass_token_is": Correction("token", bypass=True),
 }

@@ -17,15 +17,23 @@ def responses(samples: DataFrame, key: str = "row_id", order: str = "sample") ->
 
 
 def swap_in(df: DataFrame, path: str) -> None:
-    """Written beside the target and renamed over it, so that readers never see a half-written table."""
+    """Written beside the target, which is put aside and deleted only when the new table is in its place: a half-written
+    table is never seen, and the old one is there until then."""
     spark: SparkSession = df.sparkSession
     part = f"{path}.new"
     df.write.mode("overwrite").parquet(part)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     new, old = jvm.org.apache.hadoop.fs.Path(part), jvm.org.apache.hadoop.fs.Path(path)
-    fs = new.getFileSystem(conf)
-    fs.delete(old, True)
-    fs.rename(new, old)
+    aside, fs = jvm.org.apache.hadoop.fs.Path(f"{path}.old"), new.getFileSystem(conf)
+    fs.delete(aside, True)
+    had = fs.exists(old)
+    if had and not fs.rename(old, aside):
+        raise OSError(f"{path} could not be put aside")
+    if not fs.rename(new, old):
+        if had:
+            fs.rename(aside, old)
+        raise OSError(f"{part} could not be put in place")
+    fs.delete(aside, True)
 
 
 def dump_generations(df: DataFrame, path: str, step: int) -> None:
@@ -53,8 +61,8 @@ def valid_logprobs(tokens: DataFrame, *cols: str) -> DataFrame:
 
 
 def sample_table(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """k rows in the order of a seeded hash of the input: the same for every run and partitioning."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), "input"), "input").limit(k)
+    """k rows in the order of the MD5 of seed and input: the same for every run and partitioning."""
+    return rows.orderBy(F.md5(F.concat_ws("-", F.lit(seed).cast("string"), "input")), "input").limit(k)
 
 
 def flattened(config: Mapping, prefix: str = "") -> dict[str, object]:

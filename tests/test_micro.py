@@ -340,3 +340,38 @@ def test_flat_settings_and_samples(spark):
     rows = spark.range(50).select(F.col("id").cast("string").alias("input"))
     a, b = (sorted(r[0] for r in sinks.sample_table(x, 5).collect()) for x in (rows, rows.repartition(7)))
     assert a == b
+
+
+def test_presets_and_dispatch_of_unknown_sources(spark):
+    from rollumen import registry
+    from rollumen.functions import feedback
+
+    assert len(registry.PRESETS) == 17 and registry.PRESETS["bypass_pg_is"] == registry.Correction("sequence", bypass=True, loss="reinforce")
+    row = spark.range(1)
+    with pytest.raises(Exception, match="no feedback grader"):
+        row.select(feedback.feedback_by_source(F.lit("other"), F.lit("x"), F.lit("y"), F.array(F.lit(1)), F.lit(False))).collect()
+
+
+def test_forbidden_tokens_are_an_error(spark):
+    from rollumen.operators import policy
+
+    rows = spark.createDataFrame([(1, 0, 1, 5), (1, 1, 1, 7), (2, 0, 0, 7)], "row_id long, t int, mask int, token int")
+    assert [tuple(r) for r in policy.forbidden_positions(rows, "token", [7]).collect()] == [(1, [1])]
+    with pytest.raises(Exception, match="forbidden token in row 1 at 1"):
+        policy.without_forbidden(rows, "token", [7]).collect()
+    assert policy.without_forbidden(rows.filter("t = 0"), "token", [7]).count() == 2
+
+
+def test_answers_with_percent_signs_and_case():
+    from rollumen.functions import latex
+
+    assert latex.normalized("50%") == "50%" and latex.normalized("50\\%") == "50"
+    assert latex.equal("A", "a") and not latex.equal("A", "b")
+
+
+def test_seeded_mini_batches_hold_every_row_once(spark):
+    from rollumen.operators import batch as b
+
+    got = b.mini_batches(spark.range(12).select(F.col("id").alias("row_id")), 4, 12, 2, seed=3).collect()
+    assert sorted((r["epoch"], r["row_id"]) for r in got) == [(e, k) for e in range(2) for k in range(12)]
+    assert sorted((r["epoch"], r["batch"], r["position"]) for r in got) == [(e, k // 4, k % 4) for e in range(2) for k in range(12)]

@@ -9,10 +9,10 @@ import numpy as np
 import pytest
 from conftest import SMALL
 
-from rollumen.queries import flow, policy, tables, text
+from rollumen.queries import flow, policy, records, tables, text
 
-QUERIES = {n: f for m in (policy, tables, text, flow) for n, f in m.QUERIES.items()}
-ORACLES = {n: s for m in (policy, tables, text, flow) for n, s in m.ORACLE_SQL.items()}
+QUERIES = {n: f for m in (policy, tables, text, flow, records) for n, f in m.QUERIES.items()}
+ORACLES = {n: s for m in (policy, tables, text, flow, records) for n, s in m.ORACLE_SQL.items()}
 
 
 @pytest.fixture(scope="module")

@@ -14,7 +14,9 @@ Two scans learn (tokens and bytes; contexts, weights and maps) and one scores. A
 looked up by a join. Equal contexts of a block are computed once. A token is named by its 64-bit XXH64.
 
 Nulls: a null text is the empty one (an end alone); a null id hashes as the empty text. Repeated rows count as often
-as they come. An empty table gives no rows, and without training texts the score is that of untrained counters.
+as they come, and equal texts have equal scores. Texts of any length are read whole, in pieces of PIECE bytes. An empty
+table gives no rows, and without training texts the score is that of untrained counters. Other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollumen.llm.common import Generations, crc32_text, cut, text_bytes
+from rollumen.llm.common import Generations, crc32_text, cut, most_frequent, text_bytes
 
 END, BEFORE, PIECE, BLOCK = 255, 64, 1 << 20, 3 << 19
 #: log2 of the counters of each predictor; segments of counters that travel together; frequent tokens that are sent.
@@ -197,29 +199,20 @@ def levels(n: np.ndarray, most: int) -> np.ndarray:
 _LEVEL8, _LEVEL5 = (levels(np.arange(1 << 12), m) for m in (8, 5))
 
 
-def bit_rounds(c: Contexts, code: tuple, read, left_out: bool = False) -> Iterator[tuple]:
-    """For each depth: (which contexts, bits, inputs, gate). read(slots) gives zeros and ones, up to 65,535; left_out
-    takes one of the coded bit out."""
+def bit_rounds(c: Contexts, code: tuple, see) -> Iterator[tuple]:
+    """For each depth: (which contexts, bits, inputs, gate). see(k, slots, bits) gives predictor k's log-odds and, for the
+    two longest contexts, their part of the gate: how much they have been seen."""
     depth, node, bit = code
     deep, low_deep = depth[c.code], depth[c.low_code]
     place = np.zeros(len(c.low_code), np.int32)
-
-    def counted(k: int, which: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Predictor k's log-odds, and how often it has seen the node."""
-        zeros, ones = read(c.slots(k, which, at))
-        if left_out:
-            zeros, ones = np.maximum(zeros - (b == 0), 0), np.maximum(ones - b, 0)
-        return _LOG.take(ones, mode="clip") - _LOG.take(zeros, mode="clip"), np.minimum(ones + zeros, 4095)
-
     for d in range(int(deep.max(initial=0))):
         low = np.flatnonzero(low_deep > d)
         own = c.low_code[low]
         b, at = bit[own, d], node[own, d]
         odds = []
         for k in range(LAST):
-            x, n = counted(k, low, b, at)
+            x, level = see(k, c.slots(k, low, at), b)
             odds.append(x)
-        level = _LEVEL5.take(n, mode="clip")
         place[low] = np.arange(len(low), dtype=np.int32)
         which = np.flatnonzero(deep > d)
         of = place.take(c.low.take(which))
@@ -227,31 +220,49 @@ def bit_rounds(c: Contexts, code: tuple, read, left_out: bool = False) -> Iterat
         x = np.empty((INPUTS, len(which)), np.float32)
         for k in range(LAST):
             odds[k].take(of, out=x[k], mode="clip")
-        x[LAST], n = counted(LAST, which, b, at.take(of))
+        x[LAST], more = see(LAST, c.slots(LAST, which, at.take(of)), b)
         x[-1] = 0.3
-        yield d, which, b, x, level.take(of) + _LEVEL8.take(n, mode="clip") * 5
+        yield d, which, b, x, (level.take(of) + more).astype(np.int32)
+
+
+def part_of_gate(k: int, n: np.ndarray) -> np.ndarray | None:
+    """Of counts up to 4095."""
+    return _LEVEL5.take(n) if k == LAST - 1 else _LEVEL8.take(n) * 5 if k == LAST else None
 
 
-def packed_reader(counters: np.ndarray):
-    """Of SLOTS counters with ones in the upper 16 bits and zeros below."""
+def counted(flat: np.ndarray):
+    """see() over 2 * SLOTS counters, zeros before ones, with one of the coded bit taken out."""
+    pairs = flat.view("<i8")
 
-    def read(slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        v = counters.take(slot, mode="clip")
-        return v & np.uint32(0xFFFF), v >> np.uint32(16)
+    def see(k: int, slot: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        v = pairs.take(slot, mode="clip")
+        ones = np.minimum(v >> 32, 65535)
+        zeros = np.minimum(v & 0xFFFFFFFF, 65535)
+        ones -= b
+        zeros -= 1 - b
+        np.maximum(ones, 0, out=ones)
+        np.maximum(zeros, 0, out=zeros)
+        odds = _LOG.take(ones, mode="clip") - _LOG.take(zeros, mode="clip")
+        return odds, part_of_gate(k, np.minimum(ones + zeros, 4095)) if k >= LAST - 1 else None
 
-    return read
+    return see
 
 
-def pair_reader(flat: np.ndarray):
-    """Of 2 * SLOTS counters, zeros before ones."""
+def tabled(counters: np.ndarray):
+    """see() over SLOTS counters that don't change, with ones in the upper 16 bits: their log-odds and gates are worked out once."""
+    odds, first = np.empty(SLOTS, np.float32), int(BASES[LAST - 1])
+    gates = np.empty(SLOTS - first, np.int8)
+    for a in range(0, SLOTS, 1 << 20):
+        v = counters[a : a + (1 << 20)]
+        odds[a : a + len(v)] = _LOG.take(v >> np.uint32(16)) - _LOG.take(v & np.uint32(0xFFFF))
+    for k in (LAST - 1, LAST):
+        v = counters[BASES[k] : BASES[k + 1]]
+        gates[BASES[k] - first : BASES[k + 1] - first] = part_of_gate(k, np.minimum((v >> np.uint32(16)) + (v & np.uint32(0xFFFF)), 4095))
 
-    def read(slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = slot * 2
-        zeros = np.minimum(flat.take(at, mode="clip"), 65535)
-        at += 1
-        return zeros, np.minimum(flat.take(at, mode="clip"), 65535)
+    def see(k: int, slot: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        return odds.take(slot, mode="clip"), gates.take(slot - first, mode="clip") if k >= LAST - 1 else None
 
-    return read
+    return see
 
 
 def mixed(x: np.ndarray, gate: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -275,7 +286,7 @@ def refine(z: np.ndarray, maps: np.ndarray, d: int, gate: np.ndarray) -> np.ndar
 
 class Model:
     def __init__(self, histogram: np.ndarray, counters: np.ndarray, weights: np.ndarray, maps: np.ndarray) -> None:
-        self.code, self.counters = huffman(histogram), counters
+        self.code, self.see = huffman(histogram), tabled(counters)
         self.weights = weights.astype(np.float32)
         # the logarithm of what the map makes of each log-odds, in steps; of either bit, so that both add up to 1
         z, gates = (np.arange(16 * STEPS) + 0.5) / STEPS - 8, np.arange(GATES)
@@ -287,11 +298,11 @@ class Model:
         """log10 probability of each text; equal texts are scored once."""
         first: dict[bytes, int] = {}
         of = [first.setdefault(t, len(first)) for t in texts]
-        out, read = np.zeros(len(first)), packed_reader(self.counters)
+        out = np.zeros(len(first))
         for block in blocks(first):
             c = Contexts(block, True)
             log = np.zeros(len(c.code))
-            for d, which, b, x, gate in bit_rounds(c, self.code, read):
+            for d, which, b, x, gate in bit_rounds(c, self.code, self.see):
                 z = mixed(x, gate, self.weights)
                 z += 8
                 z *= STEPS
@@ -388,7 +399,7 @@ class Learner:
         """From the blocks counted since the last call."""
         held, self.counted = self.counted, []
         for c in held:
-            for d, which, b, x, gate in bit_rounds(c, self.code, pair_reader(self.flat), True):
+            for d, which, b, x, gate in bit_rounds(c, self.code, counted(self.flat)):
                 n = c.n[which].astype(np.int32)
                 step = max(1 << 13, len(which) // 4)
                 for a in range(0, len(which), step):  # predict, then move the weights
@@ -491,7 +502,7 @@ def mixing_scores(docs: DataFrame) -> DataFrame:
     sums = words.agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).first()
     n, v = (sums["n"] or 0) + n_texts, sums["v"] + (n_texts > 0)
     low = float(np.log10(n + 0.5 * (v + 1)))
-    heavy = {r["key"]: r["n"] for r in words.orderBy(F.desc("n"), "key").limit(HEAVY).collect()}
+    heavy = {r["key"]: r["n"] for r in most_frequent(words, "n", HEAVY).collect()}
     code = huffman(histogram)
     counters, weights, maps = learn_contexts(train, code)
     shared = spark.sparkContext.broadcast(counters)

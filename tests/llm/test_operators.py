@@ -116,6 +116,50 @@ def test_distinct_against_unique():
     assert sorted(key[first]) == sorted(np.unique(key)) and (key[first][of] == key).all() and n.sum() == len(key)
 
 
+def test_scores_against_a_loop():
+    """The model's probability of texts, bit by bit in plain integers and floating-point numbers."""
+    c = context_mixing
+    r = np.random.default_rng(4)
+    texts = [b"", b"a b", "It's the \u00e9nd of the day, the day".encode(), b"xyz 0123 xyz 0123"]
+    histogram = r.integers(0, 50, 256)
+    counters = (r.integers(0, 9, c.SLOTS).astype(np.uint32) << np.uint32(16)) | r.integers(0, 9, c.SLOTS).astype(np.uint32)
+    weights, maps = r.normal(0.3, 0.1, (c.GATES, c.INPUTS)), c.fresh_maps()
+    model = c.Model(histogram, counters, weights, maps)
+    depth, node, bit = c.huffman(histogram)
+    mix, odd, word64, word32 = int(c.MIX), int(c.ODD), 1 << 64, 1 << 32
+
+    def level(n, most):
+        return min(math.ceil(math.log2(max(n, 0.5))) + 1, most - 1)
+
+    def loop(text):
+        total, data = 0.0, text.lower() + bytes([c.END])
+        for i, byte in enumerate(data):
+            last = ([0] * 4 + list(data[:i]))[-4:]
+            x = sum(v << (8 * k) for k, v in enumerate(last))
+            w, m = 0, 1
+            for v in data[max([k + 1 for k in range(i) if not c._WORDLIKE[data[k]]], default=0) : i]:
+                m = m * mix % word64
+                w = (w + (v + 1) * m) % word64
+            bases = [x >> 24] + [(((x >> (8 * (3 - k))) + k) * odd % word64) >> 32 for k in (1, 2, 3)] + [(w * odd % word64) >> 32]
+            for d in range(depth[byte]):
+                at, b, odds, seen = int(node[byte, d]), int(bit[byte, d]), [], []
+                for k, base in enumerate(bases):
+                    h = (base + at * 0x85EBCA6B) % word32
+                    h = (h ^ h >> 15) * 0x9E3779B1 % word32
+                    v = int(counters[base << 8 | at if k == 0 else (h >> (32 - c.BITS[k])) + int(c.BASES[k])])
+                    odds.append(math.log((v >> 16) + c.PRIOR) - math.log((v & 65535) + c.PRIOR))
+                    seen.append((v >> 16) + (v & 65535))
+                gate = level(seen[c.LAST - 1], 5) + 5 * level(seen[c.LAST], 8)
+                z = float(np.dot(weights[gate], [*odds, 0.3]))
+                z = (min(max(int((z + 8) * c.STEPS), 0), 16 * c.STEPS - 1) + 0.5) / c.STEPS - 8
+                p = float(c.refine(np.array([z]), maps, d, np.array([gate]))[0])
+                p = min(max(p, 1e-5), 1 - 1e-5)
+                total += math.log10(p if b else 1 - p)
+        return total
+
+    assert np.allclose(model.scores(texts), [loop(t) for t in texts], rtol=2e-2, atol=2e-2)
+
+
 def test_long_texts_are_coded_in_pieces(monkeypatch):
     text = sentence(random.Random(1), 600).encode()
     assert b"".join(x for _, _, x in context_mixing.pieces([text])) == text + b"\xff"

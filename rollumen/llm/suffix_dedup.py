@@ -26,6 +26,7 @@ table gives no rows. Other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,20 +39,29 @@ from rollumen.llm.common import cut, stored, text_bytes
 WIDTH, GRAM, CROWD, TOGETHER = 400, 32, 20_000, 50_000
 #: Words of a passage, and of its anchors.
 WORDS, WORD_GRAM = 51, 8
-SPAN_BITS = 20
+#: log2 of the places that windows of words are cut at, and of the bytes that are worked on at once.
+SPAN_BITS, ROOM_BITS = 20, 16
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_INWORD = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: list[np.ndarray] = []
 
 
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of MIX and of its inverse, n of each at least."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        back = np.uint64(pow(int(MIX), -1, 1 << 64))
+        _POWERS[:] = [np.cumprod(np.full(max(n, 2 << ROOM_BITS), x, np.uint64), dtype=np.uint64) for x in (MIX, back)]
+    return _POWERS
+
+
 def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of the gram that starts at each place."""
     n = len(buf)
-    if not _POWERS or len(_POWERS[0]) < n:
-        back = np.uint64(pow(int(MIX), -1, 1 << 64))
-        _POWERS[:] = [np.cumprod(np.full(max(n, 1 << SPAN_BITS), x, np.uint64), dtype=np.uint64) for x in (MIX, back)]
+    ahead, back = powers(n)
     run = np.zeros(n + 1, np.uint64)
-    np.cumsum(_POWERS[0][:n] * (buf.astype(np.uint64) + np.uint64(1)), dtype=np.uint64, out=run[1:])
-    h = (run[gram:] - run[:-gram]) * _POWERS[1][: n - gram + 1]
+    np.cumsum(ahead[:n] * (buf + np.uint64(1)), dtype=np.uint64, out=run[1:])
+    h = (run[gram:] - run[:-gram]) * back[: n - gram + 1]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
@@ -73,9 +83,9 @@ def anchors(buf: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndar
 
 
 def spans(texts: list[bytes], width: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Lots of (text, where it starts there, bytes) of up to 2**SPAN_BITS bytes; pieces of a long text overlap so that
+    """Lots of (text, where it starts there, bytes) of up to 2**ROOM_BITS bytes; pieces of a long text overlap so that
     each window lies in one of them."""
-    room, own, size = 1 << SPAN_BITS, [], 0
+    room, own, size = 1 << ROOM_BITS, [], 0
     for k, text in enumerate(texts):
         a = 0
         while len(text) - a >= width:
@@ -113,21 +123,43 @@ def segments_of(texts: list[bytes], width: int, gram: int) -> list[np.ndarray]:
     return list(np.concatenate(out, 1)) if out else [np.zeros(0, np.int64)] * 5
 
 
-class Codes(dict):
-    """The XXH64 of words; forgotten when there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) >= 200_000:
-            self.clear()
-        got = self[word] = xxh64_intdigest(word)
-        return got
+def word_lots(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
+    """Lots of (text, bytes) of about 2**ROOM_BITS bytes; long texts are cut at white space."""
+    room, own, size = 1 << ROOM_BITS, [], 0
+    for k, text in enumerate(texts):
+        a = 0
+        while a < len(text):
+            b = len(text)
+            if b - a > room:
+                space = SPACE.search(text, a + room)
+                b = space.start() if space else b
+            own.append((k, text[a:b]))
+            size += b - a
+            a = b
+            if size >= room:
+                yield own
+                own, size = [], 0
+    if own:
+        yield own
 
 
-def word_codes(text: bytes, known: Codes) -> np.ndarray:
-    words = text.split()
-    return np.fromiter(map(known.__getitem__, words), "<u8", len(words))
+def word_codes(texts: list[bytes]) -> list[np.ndarray]:
+    """For each text a 64-bit code of each of its words."""
+    codes, many = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
+    for lot in word_lots(texts):
+        buf = np.frombuffer(b" ".join([b"", *(x for _, x in lot), b""]), np.uint8)
+        inside = np.diff(np.concatenate([[0], _INWORD[buf], [0]]).astype(np.int8))
+        first, last = np.flatnonzero(inside == 1), np.flatnonzero(inside == -1)
+        ahead, back = powers(len(buf))
+        run = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(ahead[: len(buf)] * (buf + np.uint64(1)), dtype=np.uint64, out=run[1:])
+        h = (run[last] - run[first]) * back[first]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        codes.append(h ^ h >> np.uint64(29))
+        ends = np.cumsum([1 + len(x) for _, x in lot])
+        np.add.at(many, [k for k, _ in lot], np.diff(np.searchsorted(first, ends), prepend=0))
+    return np.split(np.concatenate(codes), np.cumsum(many)[:-1]) if texts else []
 
 
 def named_windows(codes: np.ndarray, size: int) -> np.ndarray:
@@ -167,12 +199,11 @@ def scan_texts(docs: DataFrame, width: int, gram: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Codes()
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 b = whole.slice(k, 1000)
                 texts = list(text_bytes(b.column(1)))
-                codes = [word_codes(t, known) for t in texts]
+                codes = word_codes(texts)
                 runs = [word_segments(c, WORDS, WORD_GRAM) for c in codes]
                 ends = pa.array(np.cumsum([0, *(len(h) for h, _, _ in runs)]), pa.int32())
                 cells = [np.concatenate([np.zeros(0, np.int64), *c]).astype(t) for c, t in zip(zip(*runs), (np.int64, np.int32, np.int32))]
@@ -355,15 +386,15 @@ def passage_words(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     kept = rows.withColumn("h", F.col("s.h")).join(often, "h").groupBy("uid").agg(F.collect_list("s").alias("wseg"))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Codes()
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 b = whole.slice(k, 500)
+                codes = word_codes(list(text_bytes(b.column(1))))
                 names, uids, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for uid, text, seg in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), b.column(2)):
+                for uid, own, seg in zip(b.column(0).to_pylist(), codes, b.column(2)):
                     first, n = seg.values.field("a").to_numpy().astype(np.int64), seg.values.field("n").to_numpy()
                     at = np.unique(np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum())))
-                    names.append(named_windows(word_codes(text, known), WORDS)[at].view(np.int64))
+                    names.append(named_windows(own, WORDS)[at].view(np.int64))
                     places.append(at)
                     uids.append(np.full(len(at), uid, np.int64))
                 name, uid, at = np.concatenate(names), np.concatenate(uids), np.concatenate(places)
@@ -380,36 +411,41 @@ def passage_words(docs: DataFrame, scanned: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int64(), pa.int32(), pa.int8()))], names=["name", "uid", "at", "kind"])
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows (name, uid, at, kind) sorted by name, kind (falling) and uid: those of kind 2, and those of kind 0 whose
-        name has a row of kind 1 or another uid. What is held is the rows of a name while they are of one uid."""
-        name, uid, mixed = None, None, False
-        held: list[int] = []
+        """Of rows (name, uid, at, kind) sorted by name: those of kind 2, and those of kind 0 whose name has a row of kind 1 or
+        another uid. What is carried on is the last name's rows while they are of one uid; then a row of kind 1 stands for them."""
+        left = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int8)]
+
+        def told(cells: list[np.ndarray]) -> np.ndarray:
+            """Whether each row's name is shared."""
+            name, uid, _, kind = cells
+            first = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+            many = np.maximum.reduceat(kind, first) == 1
+            many |= np.minimum.reduceat(uid, first) != np.maximum.reduceat(uid, first)
+            return np.repeat(many, np.diff(np.append(first, len(name))))
+
         for b in batches:
-            out: list[tuple[int, int]] = []
-            for n, u, a, kind in zip(*(c.to_pylist() for c in b.columns)):
-                if kind == 2:
-                    out.append((u, a))
-                    continue
-                if n != name:
-                    name, uid, mixed, held = n, u, kind == 1, []
-                if kind == 1:
-                    continue
-                if u != uid and not mixed:
-                    mixed = True
-                    out += [(uid, x) for x in held]
-                    held = []
-                if mixed:
-                    out.append((u, a))
+            cells = [c.to_numpy() for c in b.columns]
+            known = cells[3] == 2
+            rest = [np.concatenate([x, c[~known]]) for x, c in zip(left, cells)]
+            out = [[cells[1][known], cells[2][known]]]
+            if len(rest[0]):
+                mixed = told(rest)
+                found = mixed & (rest[3] == 0)
+                out.append([rest[1][found], rest[2][found]])
+                last = rest[0] == rest[0][-1]
+                if mixed[-1]:
+                    left = [c[-1:].copy() for c in rest]
+                    left[3][:] = 1
                 else:
-                    held.append(a)
-            us, ats = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(ats, pa.int32())], names=["text", "at"])
+                    left = [c[last] for c in rest]
+            us, ats = (np.concatenate(c) for c in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(us), pa.array(ats)], names=["text", "at"])
 
     id_of = F.xxhash64("uid").alias("text")
     cutout = whole_texts(docs).join(kept, "uid").select(id_of, "text", "wseg").toDF("uid", "text", "wseg")
     named = cutout.mapInArrow(scan, "name long, uid long, at int, kind byte")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = named.repartition(n, "name").sortWithinPartitions("name", F.desc("kind"), "uid").mapInArrow(shared, "text long, at int")
+    found = named.repartition(n, "name").sortWithinPartitions("name").mapInArrow(shared, "text long, at int")
     places = found.groupBy("text").agg(F.sort_array(F.collect_set("at")).alias("at"))
     # each window adds the words that the one before it doesn't have
     gaps = F.zip_with("at", F.slice(F.col("at"), 2, F.size("at")), lambda x, y: F.least(F.coalesce(y - x, F.lit(WORDS)), F.lit(WORDS)))
@@ -428,7 +464,7 @@ def union_spans(ranges: list[list[int]], width: int) -> np.ndarray:
 
 def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words, for every row."""
-    scanned = cut(scan_texts(docs, width, gram))
+    scanned = stored(scan_texts(docs, width, gram), "scanned")
     copies = scanned.groupBy("uid").agg(F.count(F.lit(1)).alias("copies"))
     passages = passage_words(docs, scanned)
     docs.sparkSession.sparkContext._jvm.System.gc()  # the cleaner then drops the files of its shuffles

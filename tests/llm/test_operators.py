@@ -243,6 +243,21 @@ def test_repeats_against_brute_force(docs, rows, monkeypatch, crowd):
     assert want == Counter(tuple(r) for r in suffix_dedup.suffix_dedup(docs).collect())
 
 
+@pytest.mark.parametrize("bits", [10, 16])
+def test_words_and_segments_don_t_depend_on_lots(monkeypatch, bits):
+    r = random.Random(5)
+    texts = [b"", b" \t", b"x" * 3000, b"  a  b\x0bc" * 500, *(" ".join(r.choice("abc") * r.randrange(1, 9) for _ in range(r.randrange(400))).encode() for _ in range(20))]
+    monkeypatch.setattr(suffix_dedup, "ROOM_BITS", bits)
+    codes = suffix_dedup.word_codes(texts)
+    assert [len(c) for c in codes] == [len(t.split()) for t in texts]
+    pairs = {(w, int(c)) for t, own in zip(texts, codes) for w, c in zip(t.split(), own)}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({c for _, c in pairs})
+    seen = Counter()
+    for k, _, first, n, _ in zip(*suffix_dedup.segments_of(texts, 400, 32)):
+        seen.update((k, x) for x in range(first, first + n))
+    assert seen == Counter((k, x) for k, t in enumerate(texts) for x in range(len(t) - 399))
+
+
 def test_columns_against_brute_force():
     r = random.Random(3)
     width = 12

@@ -39,17 +39,32 @@ def shared_dir(spark: SparkSession) -> str:
     return str(named)
 
 
+@contextmanager
+def own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs meanwhile go when it ends, not when the driver's heap is next collected. Only for what is
+    written to the shared folder: nothing reads its shuffles again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: rows go to the shared checkpoint folder, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with own_shuffles(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """As cut(), for wide rows: a compressed Parquet table in the shared folder, read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with own_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -467,7 +467,6 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataF
     scanned = stored(scan_texts(docs, width, gram), "scanned")
     copies = scanned.groupBy("uid").agg(F.count(F.lit(1)).alias("copies"))
     passages = passage_words(docs, scanned)
-    docs.sparkSession.sparkContext._jvm.System.gc()  # the cleaner then drops the files of its shuffles
     windows = repeated_windows(docs, scanned, width)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

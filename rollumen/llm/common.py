@@ -56,7 +56,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: rows go to the shared checkpoint folder, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
     with own_shuffles(df.sparkSession):
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, which is made under the setting
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

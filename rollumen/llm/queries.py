@@ -7,7 +7,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 
 from rollumen.llm import exact_dedup as exact
-from rollumen.llm import kdtree, merkle, packing, pii, quality, toxicity
+from rollumen.llm import divergence, kdtree, merkle, packing, pii, quality, toxicity
 from rollumen.llm.bpe import round_trip
 from rollumen.llm.common import documents, labels
 from rollumen.llm.context_mixing import mixing_scores
@@ -75,6 +75,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_manifest(documents(spark, sf_dir))
 
@@ -90,7 +94,8 @@ QUERIES = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_mixture_packing": op9_mixture_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_source_divergence": op11_source_divergence,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE_SQL = {"op5_exact_dedup": exact.ORACLE, "op7_kdtree_topk": kdtree.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
+ORACLE_SQL = {"op5_exact_dedup": exact.ORACLE, "op7_kdtree_topk": kdtree.ORACLE, "op11_source_divergence": divergence.ORACLE, "op13_merkle_manifest": merkle.ORACLE}

@@ -7,7 +7,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 
 from rollumen.llm import exact_dedup as exact
-from rollumen.llm import divergence, kdtree, merkle, packing, pii, quality, toxicity
+from rollumen.llm import divergence, extraction, kdtree, layouts, merkle, packing, pii, quality, toxicity
 from rollumen.llm.bpe import round_trip
 from rollumen.llm.common import documents, labels
 from rollumen.llm.context_mixing import mixing_scores
@@ -79,6 +79,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"), extraction.fit(layouts.rendered(documents(spark, sf_dir))))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_manifest(documents(spark, sf_dir))
 
@@ -95,6 +99,7 @@ QUERIES = {
     "op9_mixture_packing": op9_mixture_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op12_html_extraction": op12_html_extraction,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 

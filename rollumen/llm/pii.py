@@ -25,8 +25,9 @@ from rollumen.llm.common import unused
 
 ROUNDS = 8
 
-#: The forms of each kind. Java's syntax; possessive where a run could be rescanned.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})"
+#: The forms of each kind. Java's syntax; possessive where a run could be rescanned, and bounded where a group has to give back
+#: (its matcher goes one call deeper for each turn): a domain has 127 labels at most.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,126}(?<=\.[A-Za-z]{2,24})"
 KEYED = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 NAMES = r"(?i:token|password|passwd|secret|api_?key)"
 NAMED = rf"(?<![A-Za-z]){NAMES}\s?[=:]\s?[\"']?[A-Za-z0-9_\-/+.]{{8,}}+"
@@ -57,26 +58,29 @@ def ints(*values) -> Column:
 
 
 def feistel(values: Column, radix: Column, key: str, label: Column) -> Column:
-    """values, each below its radix, permuted. values and radix: arrays of int."""
+    """values, each below its radix, permuted. values and radix: arrays of int. A round has one digest of the half that stands, and a short one
+    for each number of the other, so the work is in proportion to the numbers."""
 
-    def one_round(v: Column, r: Column) -> Column:
-        other = F.concat_ws(",", F.transform(F.filter(v, lambda x, i: i % 2 != r % 2), lambda x: x.cast("string")))
+    def rounds(w: Column) -> Column:
+        def one_round(v: Column, r: Column) -> Column:
+            other = F.concat_ws(",", F.transform(F.filter(v, lambda x, i: i % 2 != r % 2), lambda x: x.cast("string")))
 
-        def shifted(o: Column) -> Column:
-            def shift(x: Column, i: Column) -> Column:
-                drawn = F.sha2(F.concat_ws("|", F.lit(key), label, r.cast("string"), i.cast("string"), o), 256)
-                number = F.conv(F.substring(drawn, 1, 12), 16, 10).cast("long")
-                return F.when(i % 2 == r % 2, F.pmod(x + number, F.get(radix, i).cast("long")).cast("int")).otherwise(x)
+            def shifted(drawn: Column) -> Column:
+                def shift(x: Column, i: Column) -> Column:
+                    number = F.conv(F.substring(F.sha2(F.concat_ws("|", drawn, i.cast("string")), 256), 1, 12), 16, 10).cast("long")
+                    return F.when(i % 2 == r % 2, F.pmod(x + number, F.get(w["radix"], i).cast("long")).cast("int")).otherwise(x)
 
-            return F.transform(v, shift)
+                return F.transform(v, shift)
 
-        return bind(other, shifted)
+            return bind(F.sha2(F.concat_ws("|", F.lit(key), label, r.cast("string"), other), 256), shifted)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), values, one_round)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), w["values"], one_round)
+
+    return bind(F.struct(values.alias("values"), radix.alias("radix")), rounds)
 
 
 def chars(s: Column) -> Column:
-    return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.split(s, "", -1), lambda c: c != "")
 
 
 def digits_of(s: Column) -> Column:
@@ -95,19 +99,23 @@ def refill(form: Column, digits: Column) -> Column:
 
 def letters(s: Column, key: str, label: str) -> Column:
     """A string with digits, lower and upper case letters permuted among their own kind; others stay."""
-    code = lambda c: F.ascii(c)
-    low = lambda c: F.when(c.rlike("[0-9]"), 48).when(c.rlike("[a-z]"), 97).when(c.rlike("[A-Z]"), 65).otherwise(code(c))
-    wide = lambda c: F.when(c.rlike("[0-9]"), 10).when(c.rlike("[a-zA-Z]"), 26).otherwise(1)
-    values = F.transform(chars(s), lambda c: (code(c) - low(c)).cast("int"))
-    radix = F.transform(chars(s), lambda c: wide(c).cast("int"))
-    new = feistel(values, radix, key, F.lit(label))
-    return F.concat_ws("", F.zip_with(chars(s), new, lambda c, x: F.char(low(c) + x)))
+
+    def coded(c: Column) -> Column:
+        low = F.when(c.rlike("[0-9]"), 48).when(c.rlike("[a-z]"), 97).when(c.rlike("[A-Z]"), 65).otherwise(F.ascii(c))
+        wide = F.when(c.rlike("[0-9]"), 10).when(c.rlike("[a-zA-Z]"), 26).otherwise(1)
+        return F.struct(low.alias("low"), wide.alias("wide"), (F.ascii(c) - low).cast("int").alias("x"))
+
+    def put(codes: Column) -> Column:
+        new = feistel(codes["x"], codes["wide"], key, F.lit(label))
+        return F.concat_ws("", F.zip_with(codes, new, lambda c, x: F.char(c["low"] + x)))
+
+    return bind(F.transform(chars(s), coded), put)
 
 
 def hexes(s: Column, key: str, label: str) -> Column:
     """A string of lower-case hexadecimal digits, permuted."""
     values = F.transform(chars(s), lambda c: F.conv(c, 16, 10).cast("int"))
-    new = feistel(values, F.transform(values, lambda x: F.lit(16)), key, F.lit(label))
+    new = feistel(values, F.transform(chars(s), lambda x: F.lit(16)), key, F.lit(label))
     return F.concat_ws("", F.transform(new, lambda x: F.lower(F.hex(x))))
 
 
@@ -243,14 +251,15 @@ def inside(m: Column, key: str) -> Column:
         size = F.size(groups)
         mark = lambda i: F.regexp_extract(F.get(groups, i), "^[ -]?", 0)
 
-        def first(i: Column, form: str, make, alone: bool) -> Column:
+        def first(i: Column, form: str, make, alone: bool, most: int, least: int) -> Column:
             def at(n: Column) -> Column:
                 free = ~((mark(i) == "-") | F.coalesce(mark(i + n) == "-", F.lit(False))) if alone else F.lit(True)
                 own = F.regexp_replace(F.concat_ws("", F.slice(groups, i + 1, n)), "^[ -]", "")
-                return F.struct(bind(own, lambda w: F.when(free & w.rlike(whole(form)), make(w, key))).alias("p"), (i + n).cast("int").alias("end"))
+                fits = lambda w: F.length(w).between(11, 37) & free & w.rlike(whole(form))
+                return F.struct(bind(own, lambda w: F.when(fits(w), make(w, key))).alias("p"), (i + n).cast("int").alias("end"))
 
-            # no value has more than 19 digits, so none has more numbers
-            return F.get(F.filter(F.transform(F.sequence(F.least(size - i, F.lit(19)), F.lit(1), F.lit(-1)), at), lambda x: x["p"].isNotNull()), F.lit(0))
+            tried = F.transform(F.sequence(F.lit(most), F.lit(least), F.lit(-1)), lambda n: F.when(i + n <= size, at(n)))
+            return F.get(F.filter(tried, lambda x: x["p"].isNotNull()), F.lit(0))
 
         def step(acc: Column, i: Column) -> Column:
             def put(x: Column) -> Column:
@@ -258,12 +267,22 @@ def inside(m: Column, key: str) -> Column:
                 new = F.struct(F.concat(acc["p"], mark(i), x["p"]).alias("p"), (acc["n"] + 1).alias("n"), x["end"].alias("end"))
                 return F.when(x.isNull(), kept).otherwise(new)
 
-            found = F.coalesce(first(i, SSN, ssn, True), first(i, PHONE, phone, False), first(i, CARD, card, False))
+            # numbers of each kind: parted by marks they are 3, 3 or 4, and for cards of 13 to 19 digits up to 19
+            found = F.coalesce(first(i, SSN, ssn, True, 3, 3), first(i, PHONE, phone, False, 4, 3), first(i, CARD, card, False, 19, 1))
             return F.when(i < acc["end"], acc).otherwise(bind(found, put))
 
-        start = F.struct(F.lit("").alias("p"), F.lit(0).alias("n"), F.lit(0).alias("end"))
-        done = F.aggregate(F.sequence(F.lit(0), size - 1), start, step)
-        return bind(done, lambda x: F.when(x["n"] > 0, F.struct(x["p"].alias("p"), x["n"].alias("n"))))
+        # a fold copies its string at each step: folds over parts, then their strings, copy far less than one over all
+        wide = F.ceil(F.sqrt(size.cast("double"))).cast("int")
+        empty = F.array().cast("array<string>")
+        start = F.struct(empty.alias("p"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+
+        def part(acc: Column, at: Column) -> Column:
+            mine = F.struct(F.lit("").alias("p"), F.lit(0).alias("n"), acc["end"].alias("end"))
+            done = F.aggregate(F.sequence(at, F.least(at + wide, size) - 1), mine, step)
+            return bind(done, lambda x: F.struct(F.concat(acc["p"], F.array(x["p"])).alias("p"), (acc["n"] + x["n"]).alias("n"), x["end"].alias("end")))
+
+        done = F.aggregate(F.sequence(F.lit(0), size - 1, wide), start, part)
+        return bind(done, lambda x: F.when(x["n"] > 0, F.struct(F.concat_ws("", x["p"]).alias("p"), x["n"].alias("n"))))
 
     return F.when(m.rlike(r"^\d++(?:[ -]\d++)++$"), bind(F.regexp_extract_all(m, F.lit(r"[ -]?\d+"), F.lit(0)), run))
 

@@ -401,7 +401,8 @@ def loop_feistel(values, radix, key, label):
     v = list(values)
     for r in range(1, pii.ROUNDS + 1):
         other = ",".join(str(x) for i, x in enumerate(v) if i % 2 != r % 2)
-        shift = lambda i: int(hashlib.sha256(f"{key}|{label}|{r}|{i}|{other}".encode()).hexdigest()[:12], 16)  # noqa: B023, E731
+        drawn = hashlib.sha256(f"{key}|{label}|{r}|{other}".encode()).hexdigest()
+        shift = lambda i: int(hashlib.sha256(f"{drawn}|{i}".encode()).hexdigest()[:12], 16)  # noqa: B023, E731
         v = [(x + shift(i)) % radix[i] if i % 2 == r % 2 else x for i, x in enumerate(v)]
     return v
 
@@ -460,6 +461,99 @@ def test_values_beside_other_numbers(spark):
     assert pseudo(spark, long)["text"] == long or len(pseudo(spark, long)["text"]) == len(long)
 
 
+def loop_letters(s, label):
+    low = [48 if c.isdigit() else 97 if c.islower() else 65 if c.isupper() else ord(c) for c in s]
+    radix = [10 if c.isdigit() else 26 if c.isalpha() else 1 for c in s]
+    return "".join(chr(a + x) for a, x in zip(low, loop_feistel([ord(c) - a for c, a in zip(s, low)], radix, "k", label)))
+
+
+def loop_hexes(s):
+    return "".join(f"{x:x}" for x in loop_feistel([int(c, 16) for c in s], [16] * len(s), "k", "secret"))
+
+
+def loop_card(s):
+    body = s[0] + "".join(map(str, loop_feistel([int(c) for c in s[1:-1]], [10] * (len(s) - 2), "k", "card")))
+    return body + next(str(c) for c in range(10) if luhn_ok(body + str(c)))
+
+
+def loop_ip(s):
+    return ".".join(map(str, loop_feistel([int(x) for x in s.split(".")], [256] * 4, "k", "ip")))
+
+
+def loop_phone(s):
+    lead = [i in (0, 3) for i in range(10)]
+    own = [int(c) for c in s if c.isdigit()]
+    base = [2 if a and x > 1 else 0 for a, x in zip(lead, own)]
+    new = loop_feistel([x - b for x, b in zip(own, base)], [(8 if x > 1 else 2) if a else 10 for a, x in zip(lead, own)], "k", "phone")
+    d = "".join(str(x + b) for x, b in zip(new, base))
+    return f"{d[:3]}-{d[3:6]}-{d[6:]}"
+
+
+def loop_date(s):
+    first = np.datetime64("1800-01-01")
+    day = int((np.datetime64(s) - first).astype(int))
+    a, b = loop_feistel([day // 773, day % 773], [189, 773], "k", "date")
+    return str(first + (a * 773 + b))
+
+
+def test_planted_values_against_loops(spark):
+    """Whole texts with values between plain words; every value's pseudonym and the text around it are known."""
+    r = random.Random(5)
+    some = lambda letters, a, b: "".join(r.choices(letters, k=r.randint(a, b)))
+    lower, mixed = "abcdefghij", "abcXYZ0189"
+
+    def value():
+        kind = r.randrange(7)
+        if kind == 0:
+            local = some(mixed + "._", 1, 20) + "x"
+            return (f"{local}@mail.{(d := some(lower, 2, 9))}.org", f"{loop_letters(local, 'email')}@mail.{d}.org")
+        if kind == 1:
+            v = some("0123456789abcdef", 12, 40)
+            return f"token={v}", f"token={loop_hexes(v)}"
+        if kind == 2:
+            v = some("Zz9-_", 8, 50) + "Q"
+            return f"password: {v}", f"password: {loop_letters(v, 'secret')}"
+        if kind == 3:
+            v = "4" + some("0123456789", 14, 14)
+            v += next(str(c) for c in range(10) if luhn_ok(v + str(c)))
+            return v, loop_card(v)
+        if kind == 4:
+            v = ".".join(str(r.randrange(256)) for _ in range(4))
+            return v, loop_ip(v)
+        if kind == 5:
+            v = f"{r.randrange(200, 1000)}-{r.randrange(200, 1000)}-{r.randrange(10000):04d}"
+            return v, loop_phone(v)
+        v = str(np.datetime64("1800-01-01") + r.randrange(146_097))
+        return v, loop_date(v)
+
+    rows, want = [], {}
+    for k in range(300):
+        pairs = [value() for _ in range(r.randrange(6))]
+        words = [some(lower, 1, 8) for _ in range(len(pairs) + 1)]
+        join = lambda at: " ".join(x for w, p in zip(words, [*[p[at] for p in pairs], ""]) for x in (w, p)).rstrip()  # noqa: B023, E731
+        rows.append((k, join(0)))
+        want[k] = (join(1), len(pairs))
+    got = pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    assert {x["doc_id"]: (x["text"], x["n_private"]) for x in got} == want
+
+
+@pytest.mark.parametrize(
+    "text,n",
+    [
+        ("a@" + "b." * 100_000 + "com", 0), ("me@x.com." + "b." * 100_000, 1), ("a." * 100_000 + "@x.com", 1), ("token=" + "Ab1" * 33_334, 1), ("secret=" + "0f" * 50_000, 1),
+        ("12345 " * 20_000, 0), ("212-555-0134 " * 8_000, 8_000), ("1" * 100_000, 0), ("4111 1111 1111 1111 7 " * 5_000, 5_000),
+    ],
+)
+def test_long_values(spark, text, n):
+    import time
+
+    pseudo(spark, "token=abcdefgh1")
+    start = time.time()
+    got = pseudo(spark, text)
+    assert got["n_private"] == n and (got["text"] != text) == (n > 0) and len(got["text"]) == len(text)
+    assert time.time() - start < 60
+
+
 def test_names_in_any_case(spark):
     for line in ("Password: Qx7bTn41zz", "API_KEY=Qx7bTn41zz", "SECRET = 'Qx7bTn41zz'", "Token=abcdefghij"):
         got = pseudo(spark, line)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rollumen.functions.symbolic import symbolic_equal
+
 #: What is dropped or replaced first, in order.
 REPLACED = (
     ("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""),
@@ -80,7 +82,8 @@ def close(a: Fraction, b: Fraction) -> bool:
 
 
 def equal(a: str, b: str) -> bool:
-    """Normalised texts are equal, whatever their case; or numbers, to a relative 1e-4, also times or by 100; or tuples, part by part."""
+    """Normalised texts are equal, whatever their case; or numbers, to a relative 1e-4, also times or by 100; or tuples, part by part; or they
+    have the same canonical form."""
     a, b = a.strip(), b.strip()
     if normalized(a).lower() == normalized(b).lower():
         return True
@@ -89,8 +92,9 @@ def equal(a: str, b: str) -> bool:
         return any(close(x, z) for z in (y, y * 100, y / 100))
     if len(a) > 2 and len(b) > 2 and a[0] in "([" and a[0] == b[0] and a[-1] == b[-1]:
         p, q = a[1:-1].split(","), b[1:-1].split(",")
-        return len(p) == len(q) > 1 and all(map(equal, p, q))
-    return False
+        if len(p) == len(q) > 1 and all(map(equal, p, q)):
+            return True
+    return symbolic_equal(a, b)
 
 
 def _pairwise(test):

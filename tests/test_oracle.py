@@ -9,10 +9,11 @@ import numpy as np
 import pytest
 from conftest import SMALL
 
-from rollumen.queries import flow, policy, records, tables, text
+from rollumen.queries import flow, policy, records, sequences, streams, tables, text
 
-QUERIES = {n: f for m in (policy, tables, text, flow, records) for n, f in m.QUERIES.items()}
-ORACLES = {n: s for m in (policy, tables, text, flow, records) for n, s in m.ORACLE_SQL.items()}
+FAMILIES = (policy, tables, text, flow, records, sequences, streams)
+QUERIES = {n: f for m in FAMILIES for n, f in m.QUERIES.items()}
+ORACLES = {n: s for m in FAMILIES for n, s in m.ORACLE_SQL.items()}
 
 
 @pytest.fixture(scope="module")

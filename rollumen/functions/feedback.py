@@ -54,12 +54,15 @@ def test_feedback(error: Column, timed_out: Column, well_formed: Column, tests:
     return F.substring(says, 1, WHOLE)
 
 
-def feedback_by_source(source: Column, solution: Column, gold: Column, statuses: Column, truncated: Column) -> Column:
-    """The feedback score that a row's source calls for; code by recorded statuses. Another source is an error when read."""
+def feedback_by_source(source: Column, solution: Column, gold: Column, statuses: Column, truncated: Column, actions: Column | None = None, inputs: Column | None = None) -> Column:
+    """The feedback score that a row's source calls for; code by recorded statuses, tools by their wanted actions (array<string>) and merged inputs
+    (map<string,string>). Another source is an error when read, as is a source of tools where these aren't given."""
     branches = {
         "code": graders.code_score(statuses), "math": graders.feedback_math(solution, gold, truncated)["score"],
         "gpqa": graders.gpqa(solution, gold)["score"], "mcq": graders.mcq(solution, gold)["score"],
     }
+    if actions is not None and inputs is not None:
+        branches["tool_use"] = graders.tool_use(solution, actions, inputs)["score"]
     out = F
     for name, score in branches.items():
         out = out.when(source.isin(*SOURCES[name]), score)

@@ -211,9 +211,9 @@ def merge_maps(maps: Column) -> Column:
 GRADERS: dict[str, Grader] = {"gsm8k": gsm8k, "math": math, "dapo": dapo, "geo3k": geo3k, "prime": prime}
 
 
-def score_by_source(source: Column, solution: Column, gold: Column, question_type: Column | None = None, statuses: Column | None = None) -> Column:
+def score_by_source(source: Column, solution: Column, gold: Column, question_type: Column | None = None, statuses: Column | None = None, unknown: Column | None = None) -> Column:
     """The score that a row's source calls for; code sources by the recorded statuses of their tests, if given. An unknown
-    source is an error when its row is read."""
+    source is an error when its row is read, or has the score `unknown`, if given."""
     kind = question_type if question_type is not None else F.lit(None).cast("string")
     branches = {
         "gsm8k": gsm8k(solution, gold), "math": math(solution, gold), "dapo": dapo(solution, gold), "geo3k": geo3k(solution, gold),
@@ -225,7 +225,7 @@ def score_by_source(source: Column, solution: Column, gold: Column, question_typ
         if name == "dapo":
             hit = hit | F.startswith(source, F.lit("aime"))
         out = out.when(hit, result["score"])
-    return out.otherwise(F.raise_error(F.concat(F.lit("no grader for source "), source)).cast("double"))
+    return out.otherwise(F.raise_error(F.concat(F.lit("no grader for source "), source)).cast("double") if unknown is None else unknown)
 
 
 #: Status of a recorded test run: passed, failed, service error, runtime error, timeout, compile error.

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollumen.operators import policy
 from rollumen.operators.masked import clip, masked_mean, masked_sum
 from rollumen.plans.order import numbered
 
@@ -201,6 +202,24 @@ def reinforce(tokens: DataFrame, mode: str = "token-mean", width: int | None = N
     return _with_metrics(df, mode, width, ppo_kl=-_diff())
 
 
+@register("bypass_mode")
+def bypass_mode(
+    tokens: DataFrame, loss_type: str = "ppo_clip", level: str | None = None, threshold: float = 2.0, normalise: bool = False, modes: str | list[str] | None = None, spec=None,
+    mode: str = "token-mean", width: int | None = None, **clipping: float,
+) -> DataFrame:
+    """The policy against the rollout itself, whose log-probabilities are logp_old: rejection by their ratio to logp_new takes tokens out of the mask, then
+    `ppo_clip` (the ratio is the weight, so there is no other) or `reinforce` (with importance weights of `level`, if given). Settings are those of
+    policy.rollout_correction()."""
+    if loss_type not in ("ppo_clip", "reinforce"):
+        raise ValueError(f"no bypass loss {loss_type}; there are ppo_clip and reinforce")
+    own = tokens.drop("is_weight", "raw_weight", "kept_mask").withColumn("_old", F.col("logp_old"))
+    against = own.withColumn("logp_rollout", F.col("_old")).withColumn("logp_old", F.col("logp_new"))
+    held = policy.rollout_correction(against, level, threshold, normalise, modes, spec).withColumn("logp_old", F.col("_old")).withColumn("mask", F.col("kept_mask"))
+    if loss_type == "ppo_clip":
+        return vanilla(held.drop("is_weight"), mode=mode, width=width, **clipping)
+    return reinforce(held if level else held.drop("is_weight"), mode=mode, width=width)
+
+
 def value_loss(tokens: DataFrame, pred: str, bound: float = 0.5, mode: str = "token-mean", width: int | None = None) -> DataFrame:
     """Half the larger of the squared errors of a prediction and of one held near the old value. Needs value, returns."""
     p = F.col(pred)

@@ -103,10 +103,14 @@ def grouped(keys: list, sizes: list[float], k: int) -> list[list[int]]:
 METHODS = ("differencing", "differencing_equal", "greedy", "greedy_equal", "grouped", "micro_batches")
 
 
-def partitioned(df: DataFrame, batch: str, order: str, length: str, method: str, k: int = 0, most: int = 0, key: str | None = None) -> DataFrame:
-    """(batch, order, part): the part of each row of each batch. Rows of a batch are taken by order."""
+def partitioned(df: DataFrame, batch: str, order: str, length: str, method: str, k: int = 0, most: int = 0, key: str | None = None, small: str = "error") -> DataFrame:
+    """(batch, order, part): the part of each row of each batch. Rows of a batch are taken by order. A batch of fewer rows (or runs of keys) than k,
+    or for equal parts not a multiple of k, is an error; with small="fit" it gets fewer parts, or parts that aren't equal."""
     if method not in METHODS:
         raise ValueError(f"no partitioning method {method}")
+    if small not in ("error", "fit"):
+        raise ValueError(f"small is error or fit, not {small}")
+    fit = small == "fit"
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
@@ -114,10 +118,15 @@ def partitioned(df: DataFrame, batch: str, order: str, length: str, method: str,
         if method == "micro_batches":
             parts = micro_batches(n, most)
         elif method == "grouped":
-            parts = grouped(rows[key].tolist(), [cost(x) for x in n], min(k, int((rows[key] != rows[key].shift()).sum())))
+            runs = int((rows[key] != rows[key].shift()).sum())
+            parts = grouped(rows[key].tolist(), [cost(x) for x in n], min(k, runs) if fit else k)
         else:
-            own = min(k, len(n))
-            equal = method.endswith("equal") and len(n) % own == 0
+            own = min(k, len(n)) if fit else k
+            if len(n) < own:
+                raise ValueError(f"{len(n)} items for {own} parts")
+            equal = method.endswith("equal") and not (fit and len(n) % own)
+            if equal and len(n) % own:
+                raise ValueError(f"{len(n)} items don't make {own} equal parts")
             parts = (differencing if method.startswith("differencing") else greedy)([cost(x) for x in n], own, equal)
         of = {i: j for j, p in enumerate(parts) for i in p}
         return pd.DataFrame({batch: rows[batch], order: rows[order], "part": [of[i] for i in range(len(n))]})

@@ -222,7 +222,7 @@ def rollout_correction(tokens: DataFrame, level: str | None = "token", threshold
 
 def rejection_statistics(tokens: DataFrame, mode: str, spec) -> DataFrame:
     """One row of metrics of a mode's statistic, from log_ratio and mask: mean, extremes and shares beyond the bounds (of rows
-    for sequence modes, else of tokens), std of the bounded statistic, and the same of the rows' values."""
+    for sequence modes, else of tokens), std of the bounded statistic, and the same of the rows' values; seq_fraction_low is null where a mode has no lower bound."""
     low, high = parse_thresholds([mode], spec)[mode]
     level, _, kind = mode.rpartition("_")
     low, high = (math.log(low), math.log(high)) if kind == "k1" else (None, high)
@@ -255,6 +255,7 @@ def rejection_statistics(tokens: DataFrame, mode: str, spec) -> DataFrame:
         F.min(q).alias("seq_min"),
         F.max(F.abs(q)).alias("seq_max_deviation"),
         high_rows.alias("seq_fraction_high"),
+        (F.lit(None).cast("double") if low is None else low_rows).alias("seq_fraction_low"),
     )
 
 

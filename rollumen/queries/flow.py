@@ -144,7 +144,7 @@ for _method in partition.METHODS:
     @query(f"partition_{_method}")
     def _partition(spark, sf_dir, method=_method):
         """A sequential algorithm inside each batch; tests hold it against invariants and small cases."""
-        return partition.partitioned(batches(spark, sf_dir), "batch", "k", "n", method, 3, 2000, "s")
+        return partition.partitioned(batches(spark, sf_dir), "batch", "k", "n", method, 3, 2000, "s", small="fit")
 
 
 @query(
@@ -153,7 +153,7 @@ for _method in partition.METHODS:
 )
 def partition_cover(spark, sf_dir):
     """Every row is in one part and no part is empty."""
-    parts = partition.partitioned(batches(spark, sf_dir), "batch", "k", "n", "differencing", 3)
+    parts = partition.partitioned(batches(spark, sf_dir), "batch", "k", "n", "differencing", 3, small="fit")
     return parts.groupBy("batch").agg(F.count_distinct("k").alias("n"), F.count_distinct("part").alias("parts"))
 
 

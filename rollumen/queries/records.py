@@ -14,7 +14,7 @@ from rollumen.operators import batch as b
 from rollumen.operators import losses, metrics, partition, policy
 from rollumen.plans.domain import TOK0, table, token_lines
 from rollumen.plans.lineage import checkpoint_root
-from rollumen.queries.policy import _LR, _STAT, _THRESHOLDS, _kept, r4, rounded
+from rollumen.queries.policy import _LR, _STAT, _THRESHOLDS, _VANILLA, _VM, _kept, loss_sql, r4, rounded, with_advantage
 from rollumen.queries.tables import _ROWNUM, batch_rows
 from rollumen.sources import readers, sinks
 
@@ -44,7 +44,14 @@ def rollout_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("row_id").agg(r4(F.sum(F.col("is_weight") * F.col("kept_mask"))).alias("weight"), F.sum("kept_mask").alias("kept"))
 
 
-_SHOWN = {"decoupled_token_is": ("exp(x)", "TRUE"), "decoupled_seq_is_rs": ("exp(sx)", "abs(sx) <= ln(2.0)"), "decoupled_geo_rs_seq_tis": ("exp(sx)", "-sx / (n + 1e-8) >= ln(0.999) AND -sx / (n + 1e-8) <= ln(1.001)"), "decoupled_k3_rs_token_tis": ("exp(x)", "s3 / (n + 1e-8) <= 0.01"), "bypass_pg_geo_rs_seq_tis": ("1.0", "TRUE"), "disabled": (None, "TRUE")}
+_GEO = "-sx / (n + 1e-8) >= ln(0.999) AND -sx / (n + 1e-8) <= ln(1.001)"
+_K3 = "s3 / (n + 1e-8) <= 0.01"
+#: For each preset the weight before its bound (null: none) and what stays; in bypass mode the ratios are 1.
+_SHOWN = {"decoupled_token_is": ("exp(x)", "TRUE"), "decoupled_seq_is_rs": ("exp(sx)", "abs(sx) <= ln(2.0)"), "decoupled_geo_rs_seq_tis": ("exp(sx)", _GEO), "decoupled_k3_rs_token_tis": ("exp(x)", _K3), "bypass_pg_geo_rs_seq_tis": ("1.0", "TRUE"), "disabled": (None, "TRUE"),
+    "decoupled_seq_is": ("exp(sx)", "TRUE"), "decoupled_geo_rs": (None, _GEO), "bypass_ppo_clip": (None, "TRUE"), "bypass_ppo_clip_geo_rs": (None, "TRUE"), "bypass_ppo_clip_k3_rs": (None, "TRUE"),
+    "bypass_pg_is": ("1.0", "TRUE"), "bypass_pg_geo_rs": (None, "TRUE"), "decoupled_geo_rs_token_tis": ("exp(x)", _GEO), "bypass_pg_geo_rs_token_tis": ("1.0", "TRUE"), "decoupled_k3_rs": (None, _K3),
+    "decoupled_k3_rs_seq_tis": ("exp(sx)", _K3),
+}
 
 
 @query(
@@ -80,7 +87,7 @@ def _statistics_sql(mode: str) -> str:
     cells = {
         "mean": f"{'sum(q * n)' if sequence else 'sum(s)'} / {t}", "max": f"max({some})" if sequence else "max(most)", "min": f"min({some})" if sequence else "min(least_v)",
         "fraction_high": over if sequence else f"sum(o) / {t}", "fraction_low": under if sequence or not k1 else f"sum(u) / {t}", "std": f"sqrt(greatest({c} / {t} - ({a} / {t}) * ({a} / {t}), 0))",
-        "seq_mean": f"avg({some})", "seq_std": f"coalesce(stddev_samp({some}), 0)", "seq_max": f"max({some})", "seq_min": f"min({some})", "seq_max_deviation": f"max(abs({some}))", "seq_fraction_high": over,
+        "seq_mean": f"avg({some})", "seq_std": f"coalesce(stddev_samp({some}), 0)", "seq_max": f"max({some})", "seq_min": f"min({some})", "seq_max_deviation": f"max(abs({some}))", "seq_fraction_high": over, "seq_fraction_low": under if k1 else "CAST(NULL AS DOUBLE)",
     }
     return f"WITH {_LR}, {rows} SELECT " + ", ".join(f"round({v}, 4) + 0.0 AS {k}" for k, v in cells.items()) + " FROM r"
 
@@ -91,10 +98,24 @@ def _statistics(mode: str) -> None:
         return rounded(policy.rejection_statistics(policy.log_ratio(token_lines(spark, sf_dir)), mode, _THRESHOLDS[mode]))
 
 
-for _mode in ("token_k1", "token_k2", "seq_sum_k1", "seq_mean_k3", "seq_max_k2"):
+for _mode in policy.MODES:
     _statistics(_mode)
 
 
+_BYPASSED = "SELECT *, d AS x FROM a"
+_KEPT_ROWS = f"SELECT * REPLACE (CASE WHEN {_kept('seq_mean_k1')} THEN mask ELSE 0 END AS mask), least(exp(x) * mask, 2.0) AS w FROM ({_BYPASSED})"
+
+
+@query("loss_bypass_ppo_clip", loss_sql(_VANILLA.replace("FROM a", f"FROM ({_KEPT_ROWS})"), "token-mean", _VM))
+def loss_bypass_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(losses.policy_loss("bypass_mode")(with_advantage(spark, sf_dir), modes="seq_mean_k1", spec="0.8_1.25"))
+
+
+@query("loss_bypass_reinforce", loss_sql(f"SELECT *, -logp_new * adv * w AS loss FROM ({_KEPT_ROWS})", "token-mean", {"ppo_kl": "-d"}))
+def loss_bypass_reinforce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(losses.policy_loss("bypass_mode")(with_advantage(spark, sf_dir), "reinforce", "token", modes="seq_mean_k1", spec="0.8_1.25"))
+
+
 @query("loss_entropy", f"WITH {TOK0} SELECT round(sum(value * mask) / sum(mask), 4) + 0.0 AS loss FROM tok0")
 def loss_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(losses.entropy_loss(token_lines(spark, sf_dir), "value"))
@@ -231,6 +252,28 @@ def feedback_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", fb.feedback_by_source(source, solution, gold, statuses, F.lit(False)).alias("score"))
 
 
+@query(
+    "feedback_tool_use",
+    """SELECT event_id, CASE WHEN event_type = 'click' THEN CASE WHEN user_id % 2 = 0 THEN 1.0 ELSE 0.0 END ELSE CASE WHEN event_id % 3 = user_id % 3 THEN 1.0 ELSE 0.0 END END AS score FROM events""",
+)
+def feedback_tool_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as answers of two sources: clicks use a tool, right for even users; others are sums."""
+    tool, e = F.col("event_type") == "click", table(spark, sf_dir, "events")
+    says = F.concat(F.lit("Action: look\nAction Input: "), "props")
+    solution = F.when(tool, says).otherwise(F.concat(F.lit("\\boxed{"), (F.col("event_id") % 3).cast("string"), F.lit("}")))
+    actions = F.array(F.when(F.col("user_id") % 2 == 0, "look").otherwise("buy"))
+    score = fb.feedback_by_source(F.when(tool, "tooluse").otherwise("math500"), solution, (F.col("user_id") % 3).cast("string"), F.array(F.lit(1)), F.lit(False), actions, F.from_json("props", "map<string,string>"))
+    return e.select("event_id", score.alias("score"))
+
+
+@query("reward_manager_prime_unknown", "SELECT event_id, CASE WHEN event_type = 'click' AND event_id % 3 = 1 THEN 1.0 ELSE 0.0 END AS total FROM events")
+def prime_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only clicks have a source that can be scored; others count 0."""
+    source = F.when(F.col("event_type") == "click", "openai/gsm8k").otherwise(F.col("event_type"))
+    tok = registry.get_reward_manager("prime")(source, F.concat(F.lit("#### "), (F.col("event_id") % 3).cast("string")), F.lit("1"), F.lit(4), 5)
+    return table(spark, sf_dir, "events").select("event_id", F.aggregate(tok, F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
 @query("grade_code_sources", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN round((1 + CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0 END) / 2, 4) ELSE CASE WHEN doc_id % 5 = doc_id % 3 THEN 1.0 ELSE 0.0 END END AS score FROM documents")
 def grade_code_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollumen.functions.graders import score_by_source
@@ -292,78 +335,78 @@ def folder(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark)}/files-{uuid.uuid4().hex}"
 
 
-_NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+_ORDERS = "SELECT o_orderkey, o_orderpriority, o_custkey FROM orders"
 
 
-def nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
 
 
-_FORM = "n_nationkey long, n_name string, n_regionkey long"
+_FORM = "o_orderkey long, o_orderpriority string, o_custkey long"
 
 
-@query("scan_csv", f"SELECT n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM ({_NATION})")
+@query("scan_csv", f"SELECT o_orderkey, o_orderpriority, CAST(o_custkey AS VARCHAR) AS o_custkey FROM ({_ORDERS})")
 def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark)
-    nation(spark, sf_dir).withColumn("n_name", F.concat(F.lit(" "), "n_name", F.lit(" "))).write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return readers.csv_with_header(spark, path, "n_nationkey")
+    orders(spark, sf_dir).withColumn("o_orderpriority", F.concat(F.lit(" "), "o_orderpriority", F.lit(" "))).write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return readers.csv_with_header(spark, path, "o_orderkey")
 
 
-@query("scan_jsonl", f"{_NATION} UNION ALL {_NATION}")
+@query("scan_jsonl", f"{_ORDERS} UNION ALL {_ORDERS}")
 def scan_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark)
-    nation(spark, sf_dir).write.json(f"{path}/a.jsonl")
-    nation(spark, sf_dir).write.parquet(f"{path}/b.parquet")
+    orders(spark, sf_dir).write.json(f"{path}/a.jsonl")
+    orders(spark, sf_dir).write.parquet(f"{path}/b.parquet")
     return readers.scan(spark, [f"{path}/a.jsonl", f"{path}/b.parquet"], _FORM)
 
 
-@query("scan_json_array", _NATION)
+@query("scan_json_array", _ORDERS)
 def scan_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark)
-    sinks.joined_json(nation(spark, sf_dir), F.lit("all")).select("json").write.text(path)
+    sinks.json_array_files(orders(spark, sf_dir).repartition(4), path)
     return readers.json_array(spark, path, _FORM)
 
 
-@query("scan_tolerant", f"SELECT n_nationkey, n_name, n_regionkey, 2 AS n_bad FROM ({_NATION})")
+@query("scan_tolerant", f"SELECT o_orderkey, o_orderpriority, o_custkey, 2 AS n_bad FROM ({_ORDERS})")
 def scan_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark)
-    broken = spark.createDataFrame([('{"n_nationkey": ',), ("not json",), (" ",)], "value string")
-    nation(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).unionByName(broken).write.text(path)
+    broken = spark.createDataFrame([('{"o_orderkey": ',), ("not json",), (" ",)], "value string")
+    orders(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).unionByName(broken).write.text(path)
     good, bad = readers.tolerant_jsonl(spark, path, _FORM)
     return good.crossJoin(F.broadcast(bad.select(F.col("n_bad").cast("int").alias("n_bad"))))
 
 
-@query("cached_replay", f"SELECT n_nationkey, n_name, n_regionkey, 1 AS made FROM ({_NATION})")
+@query("cached_replay", f"SELECT o_orderkey, o_orderpriority, o_custkey, 1 AS made FROM ({_ORDERS})")
 def cached_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, made = folder(spark), []
 
     def make() -> DataFrame:
         made.append(1)
-        return nation(spark, sf_dir)
+        return orders(spark, sf_dir)
 
     readers.cached_replay(spark, path, "n", make)
     return readers.cached_replay(spark, path, "n", make).withColumn("made", F.lit(len(made)))
 
 
-@query("sink_swapped", f"SELECT n_nationkey, n_name, n_regionkey FROM ({_NATION}) WHERE n_nationkey % 2 = 0")
+@query("sink_swapped", f"SELECT o_orderkey, o_orderpriority, o_custkey FROM ({_ORDERS}) WHERE o_orderkey % 2 = 0")
 def sink_swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark)
-    sinks.swap_in(nation(spark, sf_dir), path)
-    sinks.swap_in(spark.read.parquet(path).filter("n_nationkey % 2 = 0"), path)
+    sinks.swap_in(orders(spark, sf_dir), path)
+    sinks.swap_in(spark.read.parquet(path).filter("o_orderkey % 2 = 0"), path)
     return spark.read.parquet(path)
 
 
-@query("sink_generations", f"SELECT n_nationkey, n_name, n_regionkey, step FROM ({_NATION}), (SELECT unnest([1, 2]) AS step) s")
+@query("sink_generations", f"SELECT o_orderkey, o_orderpriority, o_custkey, step FROM ({_ORDERS}), (SELECT unnest([1, 2]) AS step) s")
 def sink_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark)
     for step in (1, 2):
-        sinks.dump_generations(nation(spark, sf_dir), path, step)
+        sinks.dump_generations(orders(spark, sf_dir), path, step)
     return spark.read.schema(f"{_FORM}, step int").json(path)
 
 
-@query("sink_appended", f"{_NATION} UNION ALL {_NATION}")
+@query("sink_appended", f"{_ORDERS} UNION ALL {_ORDERS}")
 def sink_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark)
     for _ in range(2):
-        sinks.append_jsonl(nation(spark, sf_dir), path)
+        sinks.append_jsonl(orders(spark, sf_dir), path)
     return spark.read.schema(_FORM).json(path)

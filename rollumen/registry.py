@@ -58,8 +58,8 @@ def dapo(source: Column, solution: Column, gold: Column, length: Column, width:
 
 @reward_manager("prime")
 def prime(source: Column, solution: Column, gold: Column, length: Column, width: int) -> Column:
-    """What cannot be scored counts 0."""
-    return placed(F.coalesce(graders.score_by_source(source, solution, gold), F.lit(0.0)), length, width)
+    """What cannot be scored counts 0: an unknown source, or a null."""
+    return placed(F.coalesce(graders.score_by_source(source, solution, gold, unknown=F.lit(0.0)), F.lit(0.0)), length, width)
 
 
 @reward_manager("rate_limited")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ def responses(samples: DataFrame, key: str = "row_id", order: str = "sample") ->
 
 def swap_in(df: DataFrame, path: str) -> None:
     """Written beside the target, which is put aside and deleted only when the new table is in its place: a half-written
-    table is never seen, and the old one is there until then."""
+    table is never seen. Between the two renames there is no table at that path; a reader that begins then fails and has to try again."""
     spark: SparkSession = df.sparkSession
     part = f"{path}.new"
     df.write.mode("overwrite").parquet(part)
@@ -79,6 +80,21 @@ def flattened(config: Mapping, prefix: str = "") -> dict[str, object]:
     return out
 
 
+def _bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of JSON objects as the lines of one JSON list."""
+    some = False
+    for b in batches:
+        lines = [f"{',' if some or k else '['}{x}" for k, x in enumerate(b.column(0).to_pylist())]
+        some = some or bool(lines)
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["]" if some else "[]"])], ["value"])
+
+
+def json_array_files(df: DataFrame, path: str) -> None:
+    """Files that are one JSON list each, of a partition's rows as they come; no list is held anywhere. Repartition for smaller files."""
+    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).mapInArrow(_bracketed, "value string").write.text(path)
+
+
 def joined_json(df: DataFrame, key: Column) -> DataFrame:
-    """One JSON array for each key."""
+    """One JSON array for each key, which should have few rows; json_array_files() writes whole tables."""
     return df.groupBy(key.alias("key")).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*df.columns)))).alias("json"))

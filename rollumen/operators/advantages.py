@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollumen.plans.scan import keyed_scan
 from rollumen.operators.masked import masked_whiten
 
 Estimator = Callable[..., DataFrame]
@@ -127,45 +128,30 @@ def reinforce_plus_plus_baseline(tokens: DataFrame) -> DataFrame:
     return masked_whiten(spread, "_raw", "_white").withColumn("advantage", F.col("_white") * F.col("mask")).drop("_raw", "_white")
 
 
-def _by_row(tokens: DataFrame, *cols: str) -> DataFrame:
-    """Each row's tokens as an array of structs, the last token first."""
-    return tokens.groupBy("row_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("t", *cols)))).alias("steps"))
-
-
 @register("gae")
 def gae(tokens: DataFrame, gamma: float = 1.0, lam: float = 0.95, whiten: bool = True) -> DataFrame:
-    """Generalised advantages by a fold from the last token; a masked token carries the next value and advantage on.
+    """Generalised advantages from the last token of a row to the first; a masked token carries the next value and advantage on.
     Adds returns (advantage + value) and advantage (whitened over the batch's valid tokens)."""
-    d = lambda x: F.lit(x).cast("double")
-    start = F.struct(d(0).alias("value"), d(0).alias("last"), F.expr("cast(array() as array<struct<t: int, a: double>>)").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        delta = x["reward"] + gamma * s["value"] - x["value"]
-        a = delta + gamma * lam * s["last"]
-        on = x["mask"] > 0
-        last = F.when(on, a).otherwise(s["last"])
-        return F.struct(
-            F.when(on, x["value"]).otherwise(s["value"]).alias("value"),
-            last.alias("last"),
-            F.concat(s["out"], F.array(F.struct(x["t"].alias("t"), last.alias("a")))).alias("out"),
-        )
-
-    folded = _by_row(tokens, "mask", "reward", "value").select("row_id", F.explode(F.aggregate("steps", start, step, lambda s: s["out"])).alias("x"))
-    flat = tokens.join(folded.select("row_id", F.col("x.t").alias("t"), F.col("x.a").alias("_a")), ["row_id", "t"]).withColumn("returns", F.col("_a") + F.col("value"))
+
+    def step(s: tuple, mask, reward: float, value: float) -> tuple:
+        if not mask > 0:
+            return s, s[1]
+        a = reward + gamma * s[0] - value + gamma * lam * s[1]
+        return (value, a), a
+
+    flat = keyed_scan(tokens, ["row_id"], [F.desc("t")], ["mask", "reward", "value"], lambda: (0.0, 0.0), step, "_a double").withColumn("returns", F.col("_a") + F.col("value"))
     return (masked_whiten(flat, "_a", "advantage") if whiten else flat.withColumn("advantage", F.col("_a"))).drop("_a")
 
 
 @register("reinforce_plus_plus")
 def reinforce_plus_plus(tokens: DataFrame, gamma: float = 1.0, whiten: bool = True) -> DataFrame:
     """Discounted reward to go, cut after a masked token; whitened, times the mask."""
-    start = F.struct(F.lit(0.0).alias("run"), F.expr("cast(array() as array<struct<t: int, r: double>>)").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        r = x["reward"] + gamma * s["run"]
-        return F.struct((r * x["mask"]).alias("run"), F.concat(s["out"], F.array(F.struct(x["t"].alias("t"), r.alias("r")))).alias("out"))
+    def step(run: float, mask, reward: float) -> tuple:
+        r = reward + gamma * run
+        return r * mask, r
 
-    folded = _by_row(tokens, "mask", "reward").select("row_id", F.explode(F.aggregate("steps", start, step, lambda s: s["out"])).alias("x"))
-    flat = tokens.join(folded.select("row_id", F.col("x.t").alias("t"), F.col("x.r").alias("returns")), ["row_id", "t"])
+    flat = keyed_scan(tokens, ["row_id"], [F.desc("t")], ["mask", "reward"], lambda: 0.0, step, "returns double")
     white = masked_whiten(flat, "returns", "_w") if whiten else flat.withColumn("_w", F.col("returns"))
     return white.withColumn("advantage", F.col("_w") * F.col("mask")).drop("_w")
 

@@ -1,15 +1,16 @@
 """Workload-balanced partitioning of batches.
 
 A batch is a group of rows that fits one task (its size is that of a training batch); many batches are balanced side by
-side with applyInPandas. Ties go to the smaller sum, then fewer items, then smaller row numbers."""
+side in one Arrow batch. Ties go to the smaller sum, then fewer items, then smaller row numbers."""
 
 from __future__ import annotations
 
 from heapq import heapify, heappop, heappush
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from rollumen.plans.scan import keyed_lists
+
 Part = tuple[float, int, tuple[int, ...]]
 
 
@@ -112,14 +113,13 @@ def partitioned(df: DataFrame, batch: str, order: str, length: str, method: str,
         raise ValueError(f"small is error or fit, not {small}")
     fit = small == "fit"
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        n = [int(x) for x in rows[length]]
+    def parts_of(lengths: list, keys: list | None = None) -> list[int]:
+        n = [int(x) for x in lengths]
         if method == "micro_batches":
             parts = micro_batches(n, most)
         elif method == "grouped":
-            runs = int((rows[key] != rows[key].shift()).sum())
-            parts = grouped(rows[key].tolist(), [cost(x) for x in n], min(k, runs) if fit else k)
+            runs = sum(x != y for x, y in zip(keys, keys[1:])) + 1
+            parts = grouped(keys, [cost(x) for x in n], min(k, runs) if fit else k)
         else:
             own = min(k, len(n)) if fit else k
             if len(n) < own:
@@ -129,11 +129,9 @@ def partitioned(df: DataFrame, batch: str, order: str, length: str, method: str,
                 raise ValueError(f"{len(n)} items don't make {own} equal parts")
             parts = (differencing if method.startswith("differencing") else greedy)([cost(x) for x in n], own, equal)
         of = {i: j for j, p in enumerate(parts) for i in p}
-        return pd.DataFrame({batch: rows[batch], order: rows[order], "part": [of[i] for i in range(len(n))]})
+        return [of[i] for i in range(len(n))]
 
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (batch, order))
-    keep = [batch, order, length] + ([key] if key else [])
-    return df.select(*keep).groupBy(batch).applyInPandas(one, f"{kinds}, part int")
+    return keyed_lists(df, [batch], [order], [length, *([key] if method == "grouped" else [])], parts_of, "part int")
 
 
 def balance_stats(parts: DataFrame, batch: str, length: str) -> DataFrame:

@@ -139,11 +139,23 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_custkey").alias("batch"), F.col("o_orderkey").alias("k"), (F.floor(F.col("o_totalprice") / 1000) + 1).alias("n"), F.col("o_orderstatus").alias("s"))
 
 
+def _greedy(more: str) -> str:
+    """Sums of three parts, step by step; a batch of fewer rows has fewer parts."""
+    return f"""WITH RECURSIVE o AS (SELECT o_custkey AS batch, o_orderkey AS k, CAST(floor(o_totalprice / 1000) AS BIGINT) + 1 AS n FROM orders),
+    e AS (SELECT batch, k, 24576 * n + n * n AS size, row_number() OVER (PARTITION BY batch ORDER BY k) AS i, count(*) OVER (PARTITION BY batch) AS c, sum(24576 * n + n * n) OVER (PARTITION BY batch) AS total FROM o),
+    f AS (SELECT batch, 0::BIGINT AS k, 0::BIGINT AS i, 0 AS part, 0::HUGEINT AS x, CASE WHEN c > 1 THEN 0 ELSE 10**30 END::HUGEINT AS y, CASE WHEN c > 2 THEN 0 ELSE 10**30 END::HUGEINT AS z FROM e WHERE i = 1 UNION ALL
+      SELECT batch, k, i, p, CASE WHEN p = 0 THEN x + size + more ELSE x END, CASE WHEN p = 1 THEN y + size + more ELSE y END, CASE WHEN p = 2 THEN z + size + more ELSE z END
+      FROM (SELECT e.*, f.x, f.y, f.z, CASE WHEN f.x <= f.y AND f.x <= f.z THEN 0 WHEN f.y <= f.z THEN 1 ELSE 2 END AS p, {more} AS more FROM f JOIN e ON e.batch = f.batch AND e.i = f.i + 1))
+    SELECT batch, k, part FROM f WHERE i > 0"""
+
+
+_PARTITIONS = {"greedy": _greedy("0"), "greedy_equal": _greedy("CASE WHEN c % least(c, 3) = 0 THEN total + 1 ELSE 0 END")}
+
 for _method in partition.METHODS:
 
-    @query(f"partition_{_method}")
+    @query(f"partition_{_method}", _PARTITIONS.get(_method))
     def _partition(spark, sf_dir, method=_method):
-        """A sequential algorithm inside each batch; tests hold it against invariants and small cases."""
+        """A sequential algorithm inside each batch; where SQL can't say it, tests hold it against invariants and small cases."""
         return partition.partitioned(batches(spark, sf_dir), "batch", "k", "n", method, 3, 2000, "s", small="fit")
 
 
@@ -256,17 +268,25 @@ def back_pressure(spark, sf_dir):
     SELECT user_id, k, round(let, 4) + 0.0 AS let_through FROM f""",
 )
 def rate_limiter(spark, sf_dir):
-    ev = F.struct(F.col("event_id").cast("double").alias("at"), (3.0 + F.col("event_id") % 5).alias("cost"))
-    seq = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(ev)).alias("s"))
-    return seq.select("user_id", F.posexplode(queue.token_bucket(F.col("s"), 0.5, 6.0)).alias("k", "v")).select("user_id", (F.col("k") + 1).alias("k"), r4(F.col("v")).alias("let_through"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_id").cast("double").alias("at"), (3.0 + F.col("event_id") % 5).alias("cost"))
+    out = queue.let_through(e, "user_id", "at", "cost", 0.5, 6.0, ["event_id"])
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    return out.select("user_id", k.alias("k"), r4(F.col("let_through")).alias("let_through"))
 
 
-@query("least_loaded_routing")
+@query(
+    "least_loaded_routing",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(event_id AS DOUBLE) AS tm, value AS lasts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+    f AS (SELECT user_id, 0::BIGINT AS k, 0::BIGINT AS event_id, 0 AS server, []::DOUBLE[] AS a, []::DOUBLE[] AS b, []::DOUBLE[] AS c FROM (SELECT DISTINCT user_id FROM events) UNION ALL
+      SELECT user_id, k, event_id, pick, CASE WHEN pick = 0 THEN list_append(a, tm + lasts) ELSE a END, CASE WHEN pick = 1 THEN list_append(b, tm + lasts) ELSE b END, CASE WHEN pick = 2 THEN list_append(c, tm + lasts) ELSE c END
+      FROM (SELECT *, CASE WHEN len(a) <= len(b) AND len(a) <= len(c) THEN 0 WHEN len(b) <= len(c) THEN 1 ELSE 2 END AS pick FROM (SELECT e.*, list_filter(f.a, lambda x: x > e.tm) AS a,
+        list_filter(f.b, lambda x: x > e.tm) AS b, list_filter(f.c, lambda x: x > e.tm) AS c FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)))
+    SELECT user_id, CAST(k - 1 AS INTEGER) AS k, server FROM f WHERE k > 0""",
+)
 def least_loaded(spark, sf_dir):
-    """An ordered fold over requests; tests hold it against a loop."""
-    ev = F.struct(F.col("event_id").cast("double").alias("at"), F.col("value").alias("seconds"))
-    seq = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(ev)).alias("s"))
-    return seq.select("user_id", F.posexplode(queue.least_loaded(F.col("s"), 3)).alias("k", "server"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_id").cast("double").alias("at"), F.col("value").alias("seconds"))
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    return queue.routed(e, "user_id", "at", "seconds", 3, ["event_id"]).select("user_id", k.alias("k"), "server")
 
 
 @query("retry_backoff", "SELECT event_id, least(pow(2.0, event_id % 8), 30.0) AS seconds FROM events")

@@ -6,11 +6,14 @@ over ordered events are native expressions, so that they work on batches and ins
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollumen.plans.scan import keyed_scan
+
 
 def expanded(prompts: DataFrame, n: int) -> DataFrame:
     """Each prompt as n samples; works on batches and streams."""
@@ -71,8 +74,37 @@ def should_pause(queued: Column, capacity: int, staleness: Column, limit: int) -
     return (queued >= capacity) | (staleness >= limit)
 
 
+def let_through(events: DataFrame, key: str, at: str, cost: str, rate: float, burst: float, order: list[str], out: str = "let_through") -> DataFrame:
+    """Adds when each event is let through: a bucket of `burst` for each key, full at its first event, that fills by `rate` a second; an event waits until
+    its cost is there, in turn. at: seconds. Events of a key are taken by at, then by order."""
+
+    def step(s: tuple | None, when: float, price: float) -> tuple:
+        level, now = (burst, when) if s is None else s
+        here = max(when, now)
+        level = min(burst, level + (here - now) * rate)
+        wait = max((price - level) / rate, 0.0)
+        return (level + wait * rate - price, here + wait), here + wait
+
+    return keyed_scan(events, [key], [at, *order], [at, cost], lambda: None, step, f"{out} double")
+
+
+def routed(requests: DataFrame, key: str, at: str, seconds: str, servers: int, order: list[str], out: str = "server") -> DataFrame:
+    """Adds the server that each request goes to: the one with the fewest unfinished, the first of equals. Requests of a key are taken by at, then
+    by order; a server's requests run at once, so it is free of one at its own end."""
+
+    def step(s: list[list[float]], when: float, lasts: float) -> tuple:
+        for ends in s:
+            while ends and ends[0] <= when:
+                heappop(ends)
+        pick = min(range(servers), key=lambda j: (len(s[j]), j))
+        heappush(s[pick], when + lasts)
+        return s, pick
+
+    return keyed_scan(requests, [key], [at, *order], [at, seconds], lambda: [[] for _ in range(servers)], step, f"{out} int")
+
+
 def token_bucket(events: Column, rate: float, burst: float) -> Column:
-    """events: ordered array<struct<at (seconds), cost>> -> array of when each is let through: a bucket of `burst` that
+    """As let_through(), for short arrays (its fold copies what it has so far at each step). events: ordered array<struct<at (seconds), cost>> -> array of when each is let through: a bucket of `burst` that
     fills by `rate` a second; an event waits until its cost is there, in turn."""
     init = F.struct(F.lit(float(burst)).alias("level"), F.lit(0.0).alias("now"), F.lit(True).alias("first"), F.expr("cast(array() as array<double>)").alias("out"))
 
@@ -86,7 +118,7 @@ def token_bucket(events: Column, rate: float, burst: float) -> Column:
 
 
 def least_loaded(durations: Column, servers: int) -> Column:
-    """Ordered array of (at, seconds) -> the server that each goes to: the one with the fewest unfinished, the first of
+    """As routed(), for short arrays. Ordered array of (at, seconds) -> the server that each goes to: the one with the fewest unfinished, the first of
     equals."""
     init = F.struct(F.expr("cast(array() as array<struct<server: int, done: double>>)").alias("open"), F.expr("cast(array() as array<int>)").alias("out"))
 

@@ -150,3 +150,39 @@ def test_another_answer(pair):
     start = time.time()
     assert not symbolic_equal(*pair) and not symbolic_equal(*pair[::-1])
     assert time.time() - start < 10
+
+
+def test_scans_by_key(spark):
+    from rollumen.plans.scan import keyed_lists, keyed_scan
+
+    rows = [(k % 3 or None, k, float(k)) for k in range(300)]
+    df = spark.createDataFrame(rows, "g long, k long, x double").repartition(5)
+    got = keyed_scan(df, ["g"], [F.desc("k")], ["x"], lambda: 0.0, lambda s, x: (s + x, s, s > 100), "before double, big boolean").collect()
+    for r in got:
+        assert r.before == sum(x for g, k, x in rows if g == r.g and k > r.k) and r.big == (r.before > 100)
+    small = keyed_lists(df, ["g"], ["k"], ["x"], lambda xs: [x - xs[0] for x in xs], "d double", lot=7)
+    assert {(r.g, r.k): r.d for r in small.collect()} == {(g, k): x - min(y for h, _, y in rows if h == g) for g, k, x in rows}
+    for empty in (keyed_scan(df.limit(0), ["g"], ["k"], ["x"], lambda: 0, lambda s, x: (s, s), "a int"), keyed_lists(df.limit(0), ["g"], ["k"], ["x"], lambda xs: xs, "d double")):
+        assert empty.count() == 0
+
+
+def test_limiter_and_routing_by_hand(spark):
+    from rollumen.streaming import queue
+
+    events = spark.createDataFrame([("a", 0.0, 4.0, 0), ("a", 1.0, 4.0, 1), ("a", 2.0, 1.0, 2), ("b", 5.0, 9.0, 3)], "u string, at double, cost double, i long")
+    got = {r.i: r.let_through for r in queue.let_through(events, "u", "at", "cost", 1.0, 5.0, ["i"]).collect()}
+    assert got == {0: 0.0, 1: 3.0, 2: 4.0, 3: 9.0}
+    asks = spark.createDataFrame([("a", 0.0, 9.0, 0), ("a", 1.0, 1.0, 1), ("a", 1.5, 9.0, 2), ("a", 2.0, 1.0, 3), ("a", 2.0, 1.0, 4)], "u string, at double, s double, i long")
+    assert {r.i: r.server for r in queue.routed(asks, "u", "at", "s", 2, ["i"]).collect()} == {0: 0, 1: 1, 2: 0, 3: 1, 4: 1}
+
+
+@pytest.mark.parametrize("method,k", [("differencing", 4), ("greedy", 4), ("differencing_equal", 2), ("greedy_equal", 2), ("grouped", 3)])
+def test_batches_that_do_not_divide_are_errors(spark, method, k):
+    from rollumen.operators.partition import partitioned
+
+    df = spark.createDataFrame([(1, i, 5, "s" if i else "t") for i in range(3)], "b int, i int, n int, s string")
+    with pytest.raises(Exception, match="parts"):
+        partitioned(df, "b", "i", "n", method, k, key="s").collect()
+    assert partitioned(df, "b", "i", "n", method, k, key="s", small="fit").count() == 3
+    with pytest.raises(ValueError):
+        partitioned(df, "b", "i", "n", method, k, small="drop")

@@ -71,3 +71,37 @@ def clamped_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, h
     c, d = F.least(x2, width.cast("double")), F.least(y2, height.cast("double"))
     ok = (c > a) & (d > b) & (F.greatest(c - a, d - b) <= 100 * F.least(c - a, d - b))
     return F.when(ok, F.struct(a.alias("x1"), b.alias("y1"), c.alias("x2"), d.alias("y2")))
+
+
+def zoom_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column, least: int = 28) -> Column:
+    """A box to cut from an image: clamped_box(), and where a side is below `least`, grown about its middle until its shorter side is (no further than the
+    image, whose edges it is shifted behind), in whole pixels. Null if nothing is left, the sides differ over a hundredfold, or a side stays too short."""
+    from rollumen.operators.masked import once
+
+    w, h = width.cast("double"), height.cast("double")
+
+    def grown(b: Column) -> Column:
+        wide, tall = b["x2"] - b["x1"], b["y2"] - b["y1"]
+        ratio = least / F.least(wide, tall)
+
+        def placed(s: Column) -> Column:
+            left = F.least(F.greatest((b["x1"] + b["x2"]) / 2 - s["w"] / 2, F.lit(0.0)), w - s["w"])
+            top = F.least(F.greatest((b["y1"] + b["y2"]) / 2 - s["h"] / 2, F.lit(0.0)), h - s["h"])
+            whole = lambda f, x: f(x).cast("double")
+            return F.struct(whole(F.floor, left).alias("x1"), whole(F.floor, top).alias("y1"), whole(F.ceil, left + s["w"]).alias("x2"), whole(F.ceil, top + s["h"]).alias("y2"))
+
+        def within_width(s: Column) -> Column:
+            return F.struct(F.least(s["w"], w).alias("w"), F.when(s["w"] > w, s["h"] * (w / s["w"])).otherwise(s["h"]).alias("h"))
+
+        def within_height(s: Column) -> Column:
+            return F.struct(F.when(s["h"] > h, s["w"] * (h / s["h"])).otherwise(s["w"]).alias("w"), F.least(s["h"], h).alias("h"))
+
+        sides = once(once(F.struct((wide * ratio).alias("w"), (tall * ratio).alias("h")), within_width), within_height)
+        return F.when(F.least(wide, tall) < least, once(sides, placed)).otherwise(b)
+
+    def checked(b: Column) -> Column:
+        wide, tall = b["x2"] - b["x1"], b["y2"] - b["y1"]
+        spans = (F.floor(b["x2"]) - F.floor(b["x1"]) >= least) & (F.floor(b["y2"]) - F.floor(b["y1"]) >= least)
+        return F.when((wide > 0) & (tall > 0) & (F.greatest(wide, tall) <= 100 * F.least(wide, tall)) & spans, b)
+
+    return once(once(clamped_box(x1, y1, x2, y2, width, height), grown), checked)

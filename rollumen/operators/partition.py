@@ -140,3 +140,40 @@ def balance_stats(parts: DataFrame, batch: str, length: str) -> DataFrame:
 
     sums = parts.groupBy(batch, "part").agg(F.sum(length).alias("s"))
     return sums.groupBy(batch).agg(F.min("s").alias("least"), F.max("s").alias("most"), F.avg("s").alias("mean"))
+
+
+def pipeline_order(part: list[int], costs: list[float]) -> list[int]:
+    """A part's rows with the cheapest at both ends."""
+    ranked = sorted(part, key=lambda i: (costs[i], i))
+    return ranked[::2] + ranked[1::2][::-1]
+
+
+def balanced_places(lengths: list[int], ranks: int, minibatch: int | None = None, keys: list | None = None) -> list[int]:
+    """Where each row of a batch goes, so that `ranks` equal stretches of the batch have like work: of the whole batch, of each mini-batch by itself (whose rows stay
+    in it, the rest of an incomplete one is an error), or with rows of one key together (every rank gets as many keys; order within is kept)."""
+    costs = [cost(n) for n in lengths]
+    if keys is not None:
+        distinct = list(dict.fromkeys(keys))
+        if len(distinct) % ranks:
+            raise ValueError(f"{len(distinct)} groups don't make {ranks} equal parts")
+        of = {key: [i for i, k in enumerate(keys) if k == key] for key in distinct}
+        groups = balanced([sum(costs[i] for i in of[key]) for key in distinct], ranks, True)
+        parts = [sorted(i for g in p for i in of[distinct[g]]) for p in groups]
+    else:
+        size = minibatch or len(lengths)
+        if len(lengths) % size:
+            raise ValueError(f"{len(lengths)} rows don't make mini-batches of {size}")
+        parts = [[] for _ in range(ranks)]
+        for at in range(0, len(lengths), size):
+            for part, own in zip(parts, balanced(costs[at : at + size], ranks, True)):
+                part += [at + i for i in own]
+        parts = [pipeline_order(p, costs) for p in parts]
+    places = [0] * len(lengths)
+    for place, i in enumerate(i for p in parts for i in p):
+        places[i] = place
+    return places
+
+
+def balanced_batches(df: DataFrame, batch: str, order: str, length: str, ranks: int, minibatch: int | None = None, key: str | None = None) -> DataFrame:
+    """(batch, order, place) of each row of each batch, by balanced_places()."""
+    return keyed_lists(df, [batch], [order], [length, *([key] if key else [])], lambda n, k=None: balanced_places([int(x) for x in n], ranks, minibatch, k), "place int")

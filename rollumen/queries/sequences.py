@@ -7,9 +7,10 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rollumen.functions import chat, symbolic, token_masks
-from rollumen.operators import advantages, agents, inflight, prefixes, resampling
-from rollumen.plans.domain import ROWS, scores_of, table, trajectories
+from rollumen.functions import arrays, chat, symbolic, token_masks
+from rollumen.operators import advantages, agents, inflight, padding, partition, prefixes, resampling
+from rollumen.plans.domain import ORDER, ROWS, scores_of, table, trajectories
+from rollumen.queries.policy import r4
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -232,3 +233,102 @@ def calls_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n", F.monotonically_increasing_id())
     out = inflight.bounded_map(docs, judged, "answer long", in_flight=8, attempts=3, wait=0.001).withColumn("m", F.monotonically_increasing_id())
     return out.select("doc_id", "answer", "attempts", "error", (F.col("in_flight") <= 8).alias("bounded"), (F.col("n") == F.col("m")).alias("in_order"))
+
+
+# padding -------------------------------------------------------------------------------------------------------------
+
+
+def _padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the part keys of their lines and a mask of those that weren't returned."""
+    line = F.struct(*ORDER, F.col("l_partkey").alias("id"), (F.col("l_returnflag") != "R").cast("int").alias("on"))
+    x = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("row_id")).agg(F.array_sort(F.collect_list(line)).alias("x"))
+    return x.select("row_id", F.col("x.id").alias("ids"), F.col("x.on").alias("mask"))
+
+
+def _joined(c: str):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+
+
+_PADDED = f"p AS (SELECT l_orderkey AS row_id, list(l_partkey ORDER BY {', '.join(ORDER)}) AS ids, list(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END ORDER BY {', '.join(ORDER)}) AS mask FROM lineitem GROUP BY l_orderkey)"
+
+
+@query(
+    "unpadded_rows",
+    f"""WITH {_PADDED} SELECT row_id, array_to_string(list_transform(list_filter(list_zip(ids, mask), lambda z: z[2] > 0), lambda z: z[1]), ',') AS ids, CAST(list_sum(mask) AS BIGINT) AS length,
+    CAST(sum(list_sum(mask)) OVER (ORDER BY row_id) - list_sum(mask) AS BIGINT) AS start FROM p""",
+)
+def unpadded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return padding.unpadded(_padded(spark, sf_dir), "row_id", "mask", "ids").select("row_id", _joined("ids"), "length", "start")
+
+
+@query("repadded_rows", f"WITH {_PADDED} SELECT row_id, array_to_string(list_transform(list_zip(ids, mask), lambda z: z[1] * z[2]), ',') AS ids FROM p")
+def repadded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jagged = padding.unpadded(_padded(spark, sf_dir), "row_id", "mask", "ids")
+    return padding.repadded(jagged, "ids", "mask").select("row_id", _joined("ids"))
+
+
+_LOGITS = """l AS (SELECT vec_id, list_transform(range(4), lambda i: CAST(embedding[CAST(i * 16 + 1 AS INTEGER):CAST(i * 16 + 16 AS INTEGER)] AS DOUBLE[])) AS v, list_transform(range(4), lambda i: (vec_id + 3 * i) % 16) AS ids FROM embeddings),
+    s AS (SELECT vec_id, list_transform(range(3), lambda i: v[CAST(i + 1 AS INTEGER)][CAST(ids[CAST(i + 2 AS INTEGER)] + 1 AS INTEGER)] - ln(list_sum(list_transform(v[CAST(i + 1 AS INTEGER)], lambda x: exp(x))))) AS p FROM l)"""
+
+
+@query("logprobs_of_responses", f"WITH {_LOGITS} SELECT vec_id, round(p[2], 4) + 0.0 AS second, round(p[3], 4) + 0.0 AS third, round(list_sum(p), 4) + 0.0 AS every FROM s")
+def logprobs_of_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four tokens of 16 logits each from a vector: the response's last two, and all that have logits before them."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    steps = F.sequence(F.lit(0), F.lit(3))
+    e = e.select("vec_id", F.transform(steps, lambda i: F.slice("v", i * 16 + 1, F.lit(16))).alias("logits"), F.transform(steps, lambda i: (F.col("vec_id") + 3 * i) % 16).alias("ids"))
+    r = e.select("vec_id", padding.response_logprobs(F.col("logits"), F.col("ids"), 2).alias("r"), padding.next_logprobs(F.col("logits"), F.col("ids")).alias("n"))
+    return r.select("vec_id", r4(F.get("r", F.lit(0))).alias("second"), r4(F.get("r", F.lit(1))).alias("third"), r4(F.aggregate("n", F.lit(0.0), lambda a, x: a + x)).alias("every"))
+
+
+@query(
+    "zoom_boxes",
+    """WITH a AS (SELECT p_partkey, greatest(p_size * 3.0 - 20, 0.0)::DOUBLE AS x1, greatest(p_size * 2.0 - 30, 0.0)::DOUBLE AS y1, least(p_size * 3.0 - 20 + p_partkey % 60, 160.0)::DOUBLE AS x2, least(p_size * 2.0 - 30 + p_partkey % 43, 90.0)::DOUBLE AS y2 FROM part),
+    b AS (SELECT *, x2 - x1 AS w, y2 - y1 AS h FROM a WHERE x2 > x1 AND y2 > y1 AND greatest(x2 - x1, y2 - y1) <= 100 * least(x2 - x1, y2 - y1)),
+    c AS (SELECT *, w * (28.0::DOUBLE / least(w, h)) AS rw, h * (28.0::DOUBLE / least(w, h)) AS rh FROM b), d AS (SELECT *, least(rw, 160.0::DOUBLE) AS sw, CASE WHEN rw > 160 THEN rh * (160.0::DOUBLE / rw) ELSE rh END AS sh FROM c),
+    e AS (SELECT *, CASE WHEN sh > 90 THEN sw * (90.0::DOUBLE / sh) ELSE sw END AS tw, least(sh, 90.0::DOUBLE) AS th FROM d),
+    f AS (SELECT *, least(greatest((x1 + x2) / 2 - tw / 2, 0), 160 - tw) AS l, least(greatest((y1 + y2) / 2 - th / 2, 0), 90 - th) AS t FROM e),
+    g AS (SELECT p_partkey, CASE WHEN least(w, h) < 28 THEN floor(l) ELSE x1 END AS x1, CASE WHEN least(w, h) < 28 THEN floor(t) ELSE y1 END AS y1, CASE WHEN least(w, h) < 28 THEN ceil(l + tw) ELSE x2 END AS x2,
+      CASE WHEN least(w, h) < 28 THEN ceil(t + th) ELSE y2 END AS y2 FROM f)
+    SELECT p_partkey, x1, y1, x2, y2 FROM part LEFT JOIN (SELECT * FROM g WHERE floor(x2) - floor(x1) >= 28 AND floor(y2) - floor(y1) >= 28 AND greatest(x2 - x1, y2 - y1) <= 100 * least(x2 - x1, y2 - y1)) USING (p_partkey)""",
+)
+def zoom_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes from sizes and keys of parts, in an image of 160 by 90."""
+    size, key = F.col("p_size").cast("double"), F.col("p_partkey")
+    x, y = size * 3 - 20, size * 2 - 30
+    box = arrays.zoom_box(x, y, x + key % 60, y + key % 43, F.lit(160), F.lit(90))
+    return table(spark, sf_dir, "part").select("p_partkey", box.alias("b")).select("p_partkey", "b.*")
+
+
+# balance -------------------------------------------------------------------------------------------------------------
+
+_BATCHED = "o AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 48 AS batch, o_orderkey AS k, CAST(floor(o_totalprice / 1000) AS BIGINT) + 1 AS n, o_custkey FROM orders), w AS (SELECT * FROM o WHERE batch IN (SELECT batch FROM o GROUP BY batch HAVING count(*) = 48))"
+
+
+def _batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in whole batches of 48, in the order of their keys."""
+    from rollumen.plans.order import numbered
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.floor(F.col("o_totalprice") / 1000) + 1).alias("n"), "o_custkey")
+    rows = numbered(o, ["k"], "row").withColumn("batch", F.floor(F.col("row") / 48))
+    return rows.join(rows.groupBy("batch").count().filter("count = 48").select("batch"), "batch", "left_semi")
+
+
+def _balance(name: str, sql: str, **options) -> None:
+    @query(name, f"WITH {_BATCHED} {sql}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Properties of each batch's new order, for 4 ranks of 12 rows: every place is taken once, and, where a rank's work is above a rank's share of all, by less than the
+        heaviest row's (the ranks of the first and the second half have rows of their own mini-batches only, if those are kept)."""
+        rows = _batched(spark, sf_dir)
+        placed = partition.balanced_batches(rows, "batch", "k", "n", 4, **options).join(rows.select("k", "n", "row"), "k")
+        cost = 24576 * F.col("n") + F.col("n") * F.col("n")
+        half = F.floor((F.col("row") % 48) / 24)
+        ranks = placed.withColumn("rank", F.floor(F.col("place") / 12)).groupBy("batch", "rank").agg(F.sum(cost).alias("s"), F.max(cost).alias("m"), F.count(F.lit(1)).alias("c"), F.sum(half).alias("late"))
+        kept = F.lit(True) if "minibatch" not in options else F.min(F.col("late") == 6)
+        fair = F.max("s") - F.sum("s") / 4 <= F.max("m")
+        places = placed.groupBy("batch").agg(F.count_distinct("place").alias("places"), F.max("place").alias("last"))
+        return ranks.groupBy("batch").agg(F.min("c").alias("least"), fair.alias("fair"), kept.alias("kept")).join(places, "batch")
+
+
+_balance("batch_balanced", "SELECT batch, 12 AS least, true AS fair, true AS kept, 48 AS places, 47 AS last FROM w GROUP BY batch")
+_balance("batch_balanced_minibatches", "SELECT batch, 12 AS least, true AS fair, true AS kept, 48 AS places, 47 AS last FROM w GROUP BY batch", minibatch=24)

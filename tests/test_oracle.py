@@ -9,9 +9,9 @@ import numpy as np
 import pytest
 from conftest import SMALL
 
-from rollumen.queries import benchmarks, flow, policy, records, sequences, streams, tables, text
+from rollumen.queries import basics, benchmarks, flow, policy, records, sequences, streams, tables, text
 
-FAMILIES = (policy, tables, text, flow, records, sequences, streams, benchmarks)
+FAMILIES = (policy, tables, text, flow, records, sequences, streams, benchmarks, basics)
 QUERIES = {n: f for m in FAMILIES for n, f in m.QUERIES.items()}
 ORACLES = {n: s for m in FAMILIES for n, s in m.ORACLE_SQL.items()}
 

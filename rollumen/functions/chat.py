@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,64 @@ def rendered(messages: Column, generate: bool = False) -> Column:
     return F.concat(F.array_join(F.transform(messages, one), ""), F.lit("<|im_start|>assistant\n" if generate else ""))
 
 
+@dataclass(frozen=True)
+class Template:
+    """How a model family writes a conversation. head has {role}; default: a system message for conversations that begin with none."""
+
+    head: str
+    tail: str
+    begin: str = ""
+    default: str | None = None
+
+    def opened(self, role: str) -> str:
+        return self.head.format(role=role)
+
+    def text(self, messages: list[dict], generate: bool = False) -> str:
+        """One conversation as text, on the driver."""
+        first = [] if self.default is None or (messages and messages[0]["role"] == "system") else [{"role": "system", "content": self.default}]
+        said = "".join(self.opened(m["role"]) + (m["content"] or "") + self.tail for m in [*first, *messages])
+        return self.begin + said + (self.opened("assistant") if generate else "")
+
+    def prompts(self) -> tuple[str, str]:
+        """(what stands before a conversation's first turn, what opens an answer), told apart by conversations of one and of two empty turns."""
+        turn = {"role": "user", "content": ""}
+        one, two, asked = self.text([turn]), self.text([turn] * 2), self.text([turn], True)
+        return one[: len(one) - (len(two) - len(one))], asked[len(one) :]
+
+
+# Formats of model families.
+TEMPLATES = {
+    "chatml": Template("<|im_start|>{role}\n", "<|im_end|>\n"),
+    "chatml_assistant": Template("<|im_start|>{role}\n", "<|im_end|>\n", default="You are a helpful assistant."),
+    "header": Template("<|start_header_id|>{role}<|end_header_id|>\n\n", "<|eot_id|>", begin="<|begin_of_text|>"),
+    "turns": Template("<start_of_turn>{role}\n", "<end_of_turn>\n", begin="<bos>"),
+}
+
+
+def template(name: str | Template) -> Template:
+    """A template by name, or one's own."""
+    if isinstance(name, Template):
+        return name
+    if name not in TEMPLATES:
+        raise ValueError(f"no template {name}; there are {', '.join(sorted(TEMPLATES))}")
+    return TEMPLATES[name]
+
+
+def applied(messages: Column, name: str | Template, generate: bool = False, continued: bool = False) -> Column:
+    """Conversations by a template; continued: turns that go on after others, without what stands before the first one. Null roles and contents are empty."""
+    t = template(name)
+    left, right = t.head.split("{role}")
+    one = lambda m: F.concat(F.lit(left), F.coalesce(m["role"], F.lit("")), F.lit(right), F.coalesce(m["content"], F.lit("")), F.lit(t.tail))
+    said = F.array_join(F.transform(messages, one), "")
+    if not continued:
+        begin = F.lit(t.begin)
+        if t.default is not None:
+            none = F.coalesce(F.get(messages, F.lit(0))["role"] != "system", F.lit(True))
+            begin = F.concat(begin, F.when(none, t.opened("system") + t.default + t.tail).otherwise(""))
+        said = F.concat(begin, said)
+    return F.concat(said, F.lit(t.opened("assistant"))) if generate else said
+
+
 def loss_segments(messages: Column) -> Column:
     """array<struct<text, learn>>: what assistants write is learnt, headers and other roles are not."""
 

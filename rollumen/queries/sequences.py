@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rollumen.functions import arrays, chat, symbolic, token_masks
+from rollumen.functions import arrays, chat, graders, symbolic, token_masks
 from rollumen.operators import advantages, agents, inflight, padding, partition, prefixes, resampling
 from rollumen.plans.domain import ORDER, ROWS, scores_of, table, trajectories
 from rollumen.queries.policy import r4
@@ -332,3 +332,48 @@ def _balance(name: str, sql: str, **options) -> None:
 
 _balance("batch_balanced", "SELECT batch, 12 AS least, true AS fair, true AS kept, 48 AS places, 47 AS last FROM w GROUP BY batch")
 _balance("batch_balanced_minibatches", "SELECT batch, 12 AS least, true AS fair, true AS kept, 48 AS places, 47 AS last FROM w GROUP BY batch", minibatch=24)
+
+
+# marks in answers ----------------------------------------------------------------------------------------------------
+
+_MARKS = (
+    ("a || '\\%'", "c || ''"), ("'(' || a || ',100]'", "'(' || c || ', 100]'"), ("'\\begin{pmatrix}' || a || '\\\\2\\end{pmatrix}'", "'\\begin{pmatrix}' || c || '\\\\2\\end{pmatrix}'"),
+    ("'\\frac{' || a || '}{7}'", "'\\dfrac{' || c || '}{7}'"), ("'x=' || a", "c || ''"), ("'\\sqrt{' || a || '}'", "'\\sqrt{' || c || '}'"),
+)
+
+
+@query(
+    "grade_math_marks",
+    "SELECT doc_id, s AS math, s AS prime, s AS geo3k, s AS feedback FROM (SELECT doc_id, CASE WHEN doc_id // 6 % 3 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS s FROM documents)",
+)
+def grade_math_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per cents, intervals, matrices, fractions, assignments and roots about each document's length, by all graders of mathematics."""
+    number = table(spark, sf_dir, "documents").select("doc_id", F.expr("n_chars % 50 + 1").alias("a"), F.expr("n_chars % 50 + 1 + doc_id div 6 % 3").alias("c"))
+    side = lambda k: F.expr("CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {m[k]}" for i, m in enumerate(_MARKS)).replace("\\", "\\\\") + " END")
+    rows = number.select("doc_id", F.concat(F.lit("<think>so</think> it is \\boxed{"), side(0), F.lit("}")).alias("sol"), side(1).alias("gold"))
+    sol, gold = F.col("sol"), F.col("gold")
+    near = F.when(graders.geo3k(sol, gold)["score"] > 0.5, 1.0).otherwise(0.0)
+    return rows.select(
+        "doc_id", graders.math(sol, gold)["score"].cast("double").alias("math"), graders.prime(sol, gold)["score"].cast("double").alias("prime"), near.alias("geo3k"),
+        graders.feedback_math(sol, gold, F.lit(False))["score"].cast("double").alias("feedback"),
+    )
+
+
+# templates -----------------------------------------------------------------------------------------------------------
+
+
+def _templated(name: str, before: str, head: str, tail: str, generate: str) -> None:
+    said = f"string_agg({head} || coalesce(text, '') || {tail}, '' ORDER BY turn)"
+
+    @query(f"chat_template_{name}", f"SELECT conv_id, sha256({before} || {said} || {generate}) AS whole, sha256({said}) AS continued FROM conversations GROUP BY conv_id")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = chat.conversation(table(spark, sf_dir, "conversations"))
+        m = F.col("messages")
+        return c.select("conv_id", F.sha2(chat.applied(m, name, generate=True), 256).alias("whole"), F.sha2(chat.applied(m, name, continued=True), 256).alias("continued"))
+
+
+_IM = ("'<|im_start|>' || role || chr(10)", "'<|im_end|>' || chr(10)", "'<|im_start|>assistant' || chr(10)")
+_templated("chatml", "''", *_IM)
+_templated("chatml_assistant", "CASE WHEN arg_min(role, turn) = 'system' THEN '' ELSE '<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) END", *_IM)
+_templated("header", "'<|begin_of_text|>'", "'<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10)", "'<|eot_id|>'", "'<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10)")
+_templated("turns", "'<bos>'", "'<start_of_turn>' || role || chr(10)", "'<end_of_turn>' || chr(10)", "'<start_of_turn>assistant' || chr(10)")

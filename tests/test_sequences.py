@@ -186,3 +186,21 @@ def test_batches_that_do_not_divide_are_errors(spark, method, k):
     assert partitioned(df, "b", "i", "n", method, k, key="s", small="fit").count() == 3
     with pytest.raises(ValueError):
         partitioned(df, "b", "i", "n", method, k, small="drop")
+
+
+def test_templates(spark):
+    from rollumen.functions import chat
+
+    assert chat.template("chatml").prompts() == ("", "<|im_start|>assistant\n")
+    assert chat.template("chatml_assistant").prompts() == ("<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n", "<|im_start|>assistant\n")
+    assert chat.template("header").prompts()[0] == "<|begin_of_text|>"
+    own = chat.Template("[{role}] ", "\n", default="be kind")
+    df = spark.createDataFrame([(1, [("user", "a"), ("assistant", None)]), (2, [("system", "s"), (None, "b")]), (3, [])], "id long, m array<struct<role:string,content:string>>")
+    got = {r.id: (r.w, r.c) for r in df.select("id", chat.applied(F.col("m"), own, generate=True).alias("w"), chat.applied(F.col("m"), own, continued=True).alias("c")).collect()}
+    assert got == {1: ("[system] be kind\n[user] a\n[assistant] \n[assistant] ", "[user] a\n[assistant] \n"), 2: ("[system] s\n[] b\n[assistant] ", "[system] s\n[] b\n"), 3: ("[system] be kind\n[assistant] ", "")}
+    for m in ([{"role": "user", "content": "a"}], [{"role": "system", "content": None}], []):
+        row = spark.createDataFrame([([(x["role"], x["content"]) for x in m],)], "m array<struct<role:string,content:string>>")
+        for name in chat.TEMPLATES:
+            assert row.select(chat.applied(F.col("m"), name, generate=True)).first()[0] == chat.template(name).text(m, True)
+    with pytest.raises(ValueError):
+        chat.template("none")

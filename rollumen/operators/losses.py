@@ -228,6 +228,33 @@ def value_loss(tokens: DataFrame, pred: str, bound: float = 0.5, mode: str = "to
     return _with_metrics(tokens.withColumn("loss", 0.5 * F.greatest(e1, e2)), mode, width, clipfrac=e2 > e1)
 
 
+def actor_step(
+    tokens: DataFrame, name: str = "vanilla", mode: str = "token-mean", width: int | None = None, entropy: str | None = None, entropy_coef: float = 0.0,
+    ref: str | None = None, kl_mode: str = "k3", kl_coef: float = 0.0, ranks: int = 1, **options,
+) -> DataFrame:
+    """What an actor's update minimises, in one row: loss = the policy's loss - entropy_coef * entropy + kl_coef * divergence from the reference; with its parts
+    (pg_loss, entropy_loss, kl_loss; null where they aren't asked for) and the policy loss's own metrics. entropy and ref name columns of entropies and of the
+    reference's log-probabilities. Each part is reduced by `mode` and multiplied by `ranks`, as the ranks' gradients are averaged."""
+    reduced = {"mode": mode, "width": width} if name not in ("gspo", "sapo") else {}
+    out = policy_loss(name)(tokens, **reduced, **options).withColumn("pg_loss", F.col("loss") * ranks)
+    none = F.lit(None).cast("double")
+    extra = {"entropy_loss": entropy and F.col(entropy), "kl_loss": ref and policy.kl_penalty(F.col("logp_new"), F.col(ref), kl_mode)}
+    for column, value in extra.items():
+        if value is None:
+            out = out.withColumn(column, none)
+        else:
+            part = agg_loss(tokens.withColumn("_part", value), "_part", mode, width).select((F.col("loss") * ranks).alias(column))
+            out = out.crossJoin(F.broadcast(part))  # one row each
+    total = F.col("pg_loss") - F.coalesce(F.col("entropy_loss"), F.lit(0.0)) * entropy_coef + F.coalesce(F.col("kl_loss"), F.lit(0.0)) * kl_coef
+    return out.withColumn("loss", total)
+
+
+def critic_step(tokens: DataFrame, pred: str, bound: float = 0.5, mode: str = "token-mean", width: int | None = None) -> DataFrame:
+    """What a critic's update minimises, in one row: loss, clipfrac, and vpred_mean over valid tokens."""
+    mean = tokens.agg(masked_mean(pred).alias("vpred_mean"))
+    return value_loss(tokens, pred, bound, mode, width).crossJoin(F.broadcast(mean))  # one row each
+
+
 def sft_loss(tokens: DataFrame, micro_batches: int = 1) -> DataFrame:
     """Token cross-entropy against the next token's mask: the loss at t counts if t + 1 is to be learnt."""
     w = Window.partitionBy("row_id").orderBy("t")

@@ -14,7 +14,7 @@ from rollumen.operators import batch as b
 from rollumen.operators import losses, metrics, partition, policy
 from rollumen.plans.domain import TOK0, table, token_lines
 from rollumen.plans.lineage import checkpoint_root
-from rollumen.queries.policy import _LR, _STAT, _THRESHOLDS, _VANILLA, _VM, _kept, loss_sql, r4, rounded, with_advantage
+from rollumen.queries.policy import _ADV, _LR, _STAT, _THRESHOLDS, _VANILLA, _VM, _kept, loss_sql, r4, rounded, with_advantage
 from rollumen.queries.tables import _ROWNUM, batch_rows
 from rollumen.sources import readers, sinks
 
@@ -116,6 +116,32 @@ def loss_bypass_reinforce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(losses.policy_loss("bypass_mode")(with_advantage(spark, sf_dir), "reinforce", "token", modes="seq_mean_k1", spec="0.8_1.25"))
 
 
+_K = "greatest(least(exp(k) - k - 1, 10), -10)"
+
+
+@query(
+    "actor_step",
+    f"""WITH {_ADV}, l AS ({_VANILLA}), m AS (SELECT *, {_K} AS kl FROM (SELECT *, greatest(least(logp_ref - logp_new, 20), -20) AS k FROM l)),
+    s AS (SELECT sum(loss * mask) / sum(mask) * 2 AS pg, sum(value * mask) / sum(mask) * 2 AS e, sum(kl * mask) / sum(mask) * 2 AS kl, sum(CASE WHEN mask > 0 THEN -d END) / (sum(mask) + 1e-8) AS pk FROM m)
+    SELECT round(pg - 0.01 * e + 0.1 * kl, 4) + 0.0 AS loss, round(pg, 4) + 0.0 AS pg_loss, round(e, 4) + 0.0 AS entropy_loss, round(kl, 4) + 0.0 AS kl_loss, round(pk, 4) + 0.0 AS ppo_kl FROM s""",
+)
+def actor_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On two ranks; the values stand in for entropies."""
+    own = losses.actor_step(with_advantage(spark, sf_dir), entropy="value", entropy_coef=0.01, ref="logp_ref", kl_coef=0.1, ranks=2)
+    return rounded(own.select("loss", "pg_loss", "entropy_loss", "kl_loss", "ppo_kl"))
+
+
+@query(
+    "critic_step",
+    f"""WITH {TOK0}, v AS (SELECT mask, sum_pi_sq AS p, (sum_pi_sq - reward) * (sum_pi_sq - reward) AS a, value, reward FROM tok0),
+    w AS (SELECT *, greatest(least(p, value + 0.2), value - 0.2) AS c FROM v), x AS (SELECT *, (c - reward) * (c - reward) AS b FROM w)
+    SELECT round(sum(0.5 * greatest(a, b) * mask) / sum(mask), 4) + 0.0 AS loss, round(sum(CASE WHEN b > a THEN mask ELSE 0 END) / (sum(mask) + 1e-8), 4) + 0.0 AS clipfrac, round(sum(p * mask) / (sum(mask) + 1e-8), 4) + 0.0 AS vpred_mean FROM x""",
+)
+def critic_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = token_lines(spark, sf_dir).withColumn("returns", F.col("reward"))
+    return rounded(losses.critic_step(lines, "sum_pi_sq", 0.2))
+
+
 @query("loss_entropy", f"WITH {TOK0} SELECT round(sum(value * mask) / sum(mask), 4) + 0.0 AS loss FROM tok0")
 def loss_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(losses.entropy_loss(token_lines(spark, sf_dir), "value"))

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollumen.functions.text import strip
+from rollumen.sources.readers import SPLITS
 
-# What benchmarks append to their questions, their files and the splits they come from.
+# What benchmarks append to their questions, and their files.
 OPTION_SUFFIX = "\nAnswer with the option's letter from the given choices directly."
 WORD_SUFFIX = "\nAnswer the question using a single word or phrase."
 CHOICES = " Select from the following choices.\n"
@@ -27,7 +28,6 @@ FILES = {
     "mme-realworld-cn": "MME_RealWorld_CN.json", "mmstar": "mmstar.json", "pope": "POPE.json", "pope_adv": "POPE_adv.json", "pope_pop": "POPE_pop.json",
     "pope_random": "POPE_random.json", "cv-bench": "cv_bench.json", "mmvp": "mmvp.json",
 }
-SPLITS = {"pope": "test", "pope_adv": "adversarial", "pope_pop": "popular", "pope_random": "random"}
 
 
 def file_of(benchmark: str) -> str:

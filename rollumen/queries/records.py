@@ -333,11 +333,16 @@ _PAIRS = (
 )
 
 
-@query("latex_pairs", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {str(same).upper()})" for k, (_, _, same) in enumerate(_PAIRS)) + ") v(pair, same)")
+@query(
+    "latex_pairs",
+    f"SELECT doc_id, pair, same FROM (SELECT doc_id, doc_id % {len(_PAIRS)} AS pair FROM documents) JOIN (VALUES " + ", ".join(f"({k}, {str(same).upper()})" for k, (_, _, same) in enumerate(_PAIRS)) + ") v(pair, same) USING (pair)",
+)
 def latex_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixed pairs of answers, with what the normalisation must say of them."""
-    rows = spark.createDataFrame([(k, x, y) for k, (x, y, _) in enumerate(_PAIRS)], "pair int, x string, y string")
-    return rows.select("pair", latex.equivalent(F.col("x"), F.col("y")).alias("same"))
+    """Each document with one of the fixed pairs of answers, and what the normalisation must say of them."""
+    pairs = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y, _ in _PAIRS])
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % len(_PAIRS)).alias("pair"))
+    two = docs.withColumn("two", F.get(pairs, F.col("pair").cast("int")))
+    return two.select("doc_id", "pair", latex.equivalent(F.col("two.x"), F.col("two.y")).alias("same"))
 
 
 def _manager(name: str, sql: str, **options) -> None:

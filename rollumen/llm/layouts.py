@@ -16,16 +16,16 @@ from pyspark.sql import functions as F
 
 # Names that pages give to their parts.
 NAMES = {
-    "main": "content main article post entry story article-body post-content entry-content main-content page-content text body-text blog-post single-post storyBody articleContent post-body prose markdown-body",
-    "nav": "nav menu navbar topnav navigation breadcrumb breadcrumbs main-menu sub-menu site-nav primary-nav pagination pager tabs toc skip-link lang-switch dropdown",
-    "header": "header site-header masthead banner top topbar top-bar logo branding hero-header pageHeader page-header",
-    "footer": "footer site-footer page-footer bottom copyright legal colophon foot imprint footer-links credits",
-    "sidebar": "sidebar side aside widget rail right-col left-col sidebar-widget related related-posts recommended recommendations more-stories trending popular most-read teaser read-next also-like author-box",
-    "notice": "cookie cookie-banner cookie-notice notice consent alert alert-info popup modal gdpr announcement privacy-notice overlay paywall message warning toast disclaimer subscribe-banner",
-    "ad": "ad ads advert advertisement adsbygoogle sponsor sponsored promo promotion banner-ad ad-slot ad-container adbox advertising commercial partner-content affiliate",
-    "form": "form search search-form login signup newsletter subscribe contact-form comment-form newsletter-signup searchbox",
-    "comments": "comments comment comment-list comment-body comments-area replies reply discussion disqus respond thread user-comments commentlist reader-comments responses",
-    "share": "share social share-buttons social-links tags tag-list meta post-meta toolbar actions rating follow-us",
+    "main": "content main article post entry story article-body post-content entry-content main-content page-content text body-text blog-post single-post storyBody articleContent post-body prose markdown-body inhalt artikel beitrag contenido articulo contenu texte",
+    "nav": "nav menu navbar topnav navigation breadcrumb breadcrumbs main-menu sub-menu site-nav primary-nav pagination pager tabs toc skip-link lang-switch dropdown menue navigation-bar hauptmenu menu-principal navegacion",
+    "header": "header site-header masthead banner top topbar top-bar logo branding hero-header pageHeader page-header kopfzeile kopf cabecera entete intro-bar",
+    "footer": "footer site-footer page-footer bottom copyright legal colophon foot imprint footer-links credits fusszeile fuss pie pied pied-de-page impressum",
+    "sidebar": "sidebar side aside widget rail right-col left-col sidebar-widget related related-posts recommended recommendations more-stories trending popular most-read teaser read-next also-like author-box seitenleiste barra-lateral barre-laterale relacionados mehr-zum-thema sidebox infobox-right",
+    "notice": "cookie cookie-banner cookie-notice notice consent alert alert-info popup modal gdpr announcement privacy-notice overlay paywall message warning toast disclaimer subscribe-banner hinweis meldung aviso avis banner-cookies einwilligung",
+    "ad": "ad ads advert advertisement adsbygoogle sponsor sponsored promo promotion banner-ad ad-slot ad-container adbox advertising commercial partner-content affiliate werbung anzeige publicidad publicite pub reklame promo-box",
+    "form": "form search search-form login signup newsletter subscribe contact-form comment-form newsletter-signup searchbox anmeldung suche buscador recherche-form kontaktformular",
+    "comments": "comments comment comment-list comment-body comments-area replies reply discussion disqus respond thread user-comments commentlist reader-comments responses kommentare kommentar comentarios commentaires user-comments discussion-thread disqus-thread feedback-list",
+    "share": "share social share-buttons social-links tags tag-list meta post-meta toolbar actions rating follow-us teilen compartir partager social-bar",
 }
 TAGS = {"main": ("article", "main", "section"), "nav": ("nav",), "header": ("header",), "footer": ("footer",), "sidebar": ("aside",), "notice": ("aside", "dialog", "section"), "ad": ("aside", "section"), "form": ("form",), "comments": ("section", "aside"), "share": ("aside", "ul")}
 ROLES = {"nav": "navigation", "header": "banner", "footer": "contentinfo", "sidebar": "complementary", "notice": "alert", "form": "search", "main": "main"}

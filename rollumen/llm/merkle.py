@@ -73,24 +73,25 @@ def fold(leaf: str, path: list[tuple[str, str]]) -> str:
 
 
 class _Block:
-    """The nodes of a block, in order, and whether it is all of its tree's level. Rows go with the leaves' blocks only."""
+    """The nodes of a block, in order, whether blocks follow it, and whether it is all of its tree's level. Rows go with the leaves' blocks only."""
 
-    __slots__ = ("nodes", "last", "rows")
+    __slots__ = ("nodes", "more", "last", "rows")
 
     def __init__(self, pieces) -> None:
         pieces = sorted(pieces, key=lambda p: p[0])
         first = pieces[0][0] < WIDTH
         self.nodes = [x for p in pieces for x in p[1]]
-        self.last = first and not pieces[-1][2]
+        self.more = pieces[-1][2]
+        self.last = first and not self.more
         self.rows = [x for p in pieces for x in p[3]]
 
     def __reduce__(self):
-        return _restored, (self.nodes, self.last, self.rows)
+        return _restored, (self.nodes, self.more, self.last, self.rows)
 
 
-def _restored(nodes, last, rows) -> _Block:
+def _restored(nodes, more, last, rows) -> _Block:
     block = object.__new__(_Block)
-    block.nodes, block.last, block.rows = nodes, last, rows
+    block.nodes, block.more, block.last, block.rows = nodes, more, last, rows
     return block
 
 
@@ -106,7 +107,7 @@ def _gathered(pieces: RDD, parts: int) -> RDD:
 def _raise_block(item):
     """A block's message to its parent: ((tree, parent), (place, [digest], whether more blocks follow, []))."""
     (tree, block), b = item
-    return (tree, block // WIDTH), (block, levels_of(b.nodes, False)[-1], len(b.nodes) == WIDTH, [])
+    return (tree, block // WIDTH), (block, levels_of(b.nodes, False)[-1], b.more, [])
 
 
 def _runs(sums: list[tuple]) -> tuple[dict[int, tuple], int]:

@@ -66,6 +66,8 @@ CASES = {
     "one row": [(7, "s", "en", 3, "a\nb", "l", 1, "z")],
     "one source": rows_of(1000, 1)[:0] + [(k, "s", "en", k, "a\nb" * k, "l", 1, "z") for k in range(800)],
     "many sources": rows_of(900, 290),
+    "full last blocks": [(k, "s" if k < 486 else "t", "en", k, "a\nb", "l", 1, "z") for k in range(486 + 729)],
+    "full last block of sources": [(k, f"s{k}", "en", k, "a\nb", "l", 1, "z") for k in range(486)],
     "nulls and repeats": rows_of(40, 4)
     + [(None, None, None, None, None, "l", 1, "z"), (None, "", "", 0, "", "l", 1, "z"), (5, None, None, None, "\n", "l", 1, "z")]
     + [(6, "hot", "en", 6, "a\nb", "l", 1, "z")] * 30

@@ -6,10 +6,17 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with each key's rows in one partition. By a hash of the keys: a shuffle by the keys themselves is left out where a join has dealt the rows by them, and
+    if that join becomes a broadcast as it runs, its tasks read what lies near, and a key's rows end in several."""
+    return df.repartition(F.xxhash64(*keys))
+
+
 def keyed_scan(df: DataFrame, keys: list[str], order: list[str | Column], given: list[str], start: Callable[[], object], step: Callable[..., tuple], out: str) -> DataFrame:
     """df with the fields of `out` (DDL). For each key rows are taken by `order`: step(state, *values of the columns `given`) gives (state, *fields); the first
     row of a key has the state start(). A key's rows are in one task, which holds an Arrow batch of them and the state."""
@@ -31,7 +38,7 @@ def keyed_scan(df: DataFrame, keys: list[str], order: list[str | Column], given:
                     column.append(x)
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(m, t) for m, t in zip(made, kinds)]], names=names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, StructType([*df.schema.fields, *fields]))
+    return _dealt(df, keys).sortWithinPartitions(*keys, *order).mapInArrow(run, StructType([*df.schema.fields, *fields]))
 
 
 def keyed_lists(df: DataFrame, keys: list[str], order: list[str], given: list[str], make: Callable[..., list], out: str, lot: int = 10_000) -> DataFrame:
@@ -64,7 +71,7 @@ def keyed_lists(df: DataFrame, keys: list[str], order: list[str], given: list[st
         if done:
             yield _batch(done, kinds, fields)
 
-    return df.select(*dict.fromkeys([*kept, *given])).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, StructType(fields))
+    return _dealt(df.select(*dict.fromkeys([*kept, *given])), keys).sortWithinPartitions(*keys, *order).mapInArrow(run, StructType(fields))
 
 
 def _batch(rows: list[tuple], kinds: list, fields: list) -> pa.RecordBatch:

@@ -375,3 +375,24 @@ def test_seeded_mini_batches_hold_every_row_once(spark):
     got = b.mini_batches(spark.range(12).select(F.col("id").alias("row_id")), 4, 12, 2, seed=3).collect()
     assert sorted((r["epoch"], r["row_id"]) for r in got) == [(e, k) for e in range(2) for k in range(12)]
     assert sorted((r["epoch"], r["batch"], r["position"]) for r in got) == [(e, k // 4, k % 4) for e in range(2) for k in range(12)]
+
+
+def test_keys_are_dealt_anew_after_a_join_by_them(spark):
+    """The join can become a broadcast as it runs, and then its tasks hold parts of a key (at 9 million orders they did)."""
+    from rollumen.plans.scan import keyed_lists, keyed_scan
+
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "-1")
+        rows = spark.range(4800).select((F.col("id") % 100).alias("batch"), F.col("id").alias("k"))
+        whole = rows.join(rows.groupBy("batch").count().filter("count = 48").select("batch"), "batch", "left_semi")
+        lists = keyed_lists(whole, ["batch"], ["k"], ["k"], lambda x: [len(x)] * len(x), "n int")
+        scan = keyed_scan(whole, ["batch"], ["k"], ["k"], lambda: 0, lambda s, k: (s + 1, s + 1), "n int")
+        for df in (lists, scan):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.index("Exchange") < plan.index("Join")
+        assert [tuple(r) for r in lists.groupBy("n").count().collect()] == [(48, 4800)]
+        assert scan.filter("n = 48").count() == 100
+    finally:
+        spark.conf.set(name, before)

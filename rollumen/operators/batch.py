@@ -84,11 +84,14 @@ def folded(df: DataFrame, size: int, values: list[str]) -> DataFrame:
     return rows.select("row_id", *[F.col(f"x.{c}").alias(c) for c in values])
 
 
-def chunks(df: DataFrame, k: int, length: int) -> DataFrame:
-    """Adds chunk, k equal parts; an uneven split is an error."""
-    if length % k:
+def chunks(df: DataFrame, k: int, length: int, uneven: str = "error") -> DataFrame:
+    """Adds chunk, k equal parts; an uneven split is an error, or, with uneven="rest", what is over makes further chunks of that size;
+    fewer rows than k are an error then too."""
+    if uneven not in ("error", "rest"):
+        raise ValueError(f"uneven is error or rest, not {uneven}")
+    if length % k and (uneven == "error" or length < k):
         raise ValueError(f"{length} rows don't split into {k} equal chunks")
-    return df.withColumn("chunk", F.floor(F.col("row_id") / (length // k)))
+    return df.withColumn("chunk", F.floor(F.col("row_id") / max(1, length // k)))
 
 
 def split(df: DataFrame, size: int) -> DataFrame:

@@ -47,7 +47,7 @@ def batch_unfolded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("batch_chunks", "SELECT vec_id // (n // 5) AS chunk, count(*) AS n, min(vec_id) AS first, max(vec_id) AS last FROM embeddings, (SELECT count(*) AS n FROM embeddings) GROUP BY 1")
 def batch_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"))
-    return batch.chunks(rows, 5, rows.count()).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"))
+    return batch.chunks(rows, 5, rows.count(), "rest").groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"))
 
 
 @query("batch_first_padded", f"WITH {_ROWNUM} SELECT row_id, k, false AS is_pad FROM b UNION ALL SELECT n + i, (SELECT k FROM b WHERE row_id = 0), true FROM (SELECT count(*) AS n FROM b), range(3) r(i)")

@@ -46,11 +46,9 @@ def counted_batches(stream: DataFrame, key: str, item: str, size: int) -> DataFr
     def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         done, held = state.get if state.exists else (0, "")
         items = [int(x) for x in held.split(",") if x] + sorted(int(x) for f in frames for x in f[item])
-        out = []
-        while len(items) >= size:
-            out.append((k[0], done, ",".join(map(str, items[:size]))))
-            items, done = items[size:], done + 1
-        state.update((done, ",".join(map(str, items))))
+        whole = len(items) // size
+        out = [(k[0], done + i, ",".join(map(str, items[i * size : (i + 1) * size]))) for i in range(whole)]
+        state.update((done + whole, ",".join(map(str, items[whole * size :]))))
         yield pd.DataFrame(out, columns=[key, "batch", "items"])
 
     kind = stream.schema[key].dataType.simpleString()

@@ -441,3 +441,30 @@ def test_prompts_resampled_together_equal_a_loop(spark, monkeypatch):
     whole = [(m, y.tolist()) for m, y, _ in metrics.prompt_metrics(x, v)]
     monkeypatch.setattr(metrics, "CELLS", 4000)
     assert [(m, y.tolist()) for m, y, _ in metrics.prompt_metrics(x, v)] == whole
+
+
+def test_counted_batches_take_work_in_proportion_to_the_items(spark):
+    import time
+
+    import pandas as pd
+
+    class Stream:
+        schema = spark.range(1).selectExpr("'a' AS key", "id").schema
+
+        def groupBy(self, key):
+            return self
+
+        def applyInPandasWithState(self, step, *rest):
+            return step
+
+    class State:
+        exists, held = False, None
+
+        def update(self, value):
+            self.held = value
+
+    step, state = queue.counted_batches(Stream(), "key", "id", 5), State()
+    start = time.perf_counter()
+    out = next(step(("a",), iter([pd.DataFrame({"id": range(1_000_003)})]), state))
+    assert time.perf_counter() - start < 20  # copying what is left after each batch takes minutes
+    assert len(out) == 200_000 and out["batch"].tolist() == list(range(200_000)) and state.held == (200_000, "1000000,1000001,1000002")

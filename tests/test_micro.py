@@ -468,3 +468,15 @@ def test_counted_batches_take_work_in_proportion_to_the_items(spark):
     out = next(step(("a",), iter([pd.DataFrame({"id": range(1_000_003)})]), state))
     assert time.perf_counter() - start < 20  # copying what is left after each batch takes minutes
     assert len(out) == 200_000 and out["batch"].tolist() == list(range(200_000)) and state.held == (200_000, "1000000,1000001,1000002")
+
+
+def test_a_long_box_takes_work_in_proportion_to_its_length(spark):
+    import time
+
+    body = "{a}€😀" * 20_000
+    df = spark.createDataFrame([(f"so \\boxed{{{body}}} and so on",), ("\\boxed{{1}",), ("\\fbox{é😀}.",), (None,), ("plain",)], "s string")
+    start = time.perf_counter()
+    got = [r[0] for r in df.select(text.unboxed(text.last_boxed("s"))).collect()]
+    assert time.perf_counter() - start < 15  # the text was cut anew for each of its characters
+    assert got == [body, None, None, None, None]
+    assert [r[0] for r in df.select(text.last_boxed("s")).collect()][1:] == [None, "\\fbox{é😀}", None, None]

@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rollumen.operators.masked import once
-
 THINK = r"(?s)<think>.*?</think>\s*"
 #: ASCII punctuation, as a character class.
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
@@ -149,35 +147,27 @@ def first_number(x) -> Column:
 def last_boxed(x) -> Column:
     r"""The last \boxed{...} or \fbox{...} with balanced braces, by one fold over the characters from there on; `\boxed `
     runs to the next $. null if there is none or the braces don't close."""
+    s = _c(x)
+    spaced = F.concat(F.lit("\\boxed "), F.substring_index(F.substring_index(s, "\\boxed ", -1), "$", 1))
+    last = lambda word: F.length(s) - F.length(F.substring_index(s, word, -1)) - len(word) + 1
+    start = F.when(F.contains(s, F.lit("\\boxed")), last("\\boxed")).when(F.contains(s, F.lit("\\fbox")), last("\\fbox"))
+    tail = F.substring(s, start, F.length(s))
+    init = F.struct(F.lit(0).alias("open"), F.lit(0).alias("n"), F.lit(0).alias("end"))
 
-    def found(s: Column) -> Column:
-        spaced = F.concat(F.lit("\\boxed "), F.substring_index(F.substring_index(s, "\\boxed ", -1), "$", 1))
-        last = lambda word: F.length(s) - F.length(F.substring_index(s, word, -1)) - len(word) + 1
-        start = F.when(F.contains(s, F.lit("\\boxed")), last("\\boxed")).when(F.contains(s, F.lit("\\fbox")), last("\\fbox"))
-        return F.when(F.contains(s, F.lit("\\boxed ")), spaced).otherwise(once(F.substring(s, start, F.length(s)), braced))
-
-    def braced(tail: Column) -> Column:
-        init = F.struct(F.lit(0).alias("open"), F.lit(0).alias("n"), F.lit(0).alias("end"))
-
-        def step(a: Column, ch: Column) -> Column:
-            now = a["open"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
-            n = a["n"] + 1
-            return F.struct(now.alias("open"), n.alias("n"), F.when((a["end"] == 0) & (ch == "}") & (now == 0), n).otherwise(a["end"]).alias("end"))
-
-        letters = F.regexp_extract_all(tail, F.lit("(?s)."), F.lit(0))
-        return once(F.aggregate(letters, init, step, lambda a: a["end"]), lambda end: F.when(end > 0, F.substring(tail, F.lit(1), end)))
+    def step(a: Column, ch: Column) -> Column:
+        now = a["open"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
+        n = a["n"] + 1
+        return F.struct(now.alias("open"), n.alias("n"), F.when((a["end"] == 0) & (ch == "}") & (now == 0), n).otherwise(a["end"]).alias("end"))
 
-    return once(_c(x), found)
+    # no lambda takes the text, which would be cut anew for each letter
+    end = F.aggregate(F.regexp_extract_all(tail, F.lit("(?s)."), F.lit(0)), init, step, lambda a: F.when(a["end"] > 0, a["end"]))
+    return F.when(F.contains(s, F.lit("\\boxed ")), spaced).otherwise(F.substring(tail, F.lit(1), end))
 
 
 def unboxed(x) -> Column:
     r"""What stands in \boxed{...} or after `\boxed `; null for anything else."""
-    return once(
-        _c(x),
-        lambda s: F.when(F.startswith(s, F.lit("\\boxed ")), F.substring(s, F.lit(8), F.length(s))).when(
-            F.startswith(s, F.lit("\\boxed{")) & F.endswith(s, F.lit("}")), F.substring(s, F.lit(8), F.length(s) - 8)
-        ),
-    )
+    inside = F.regexp_extract_all(_c(x), F.lit(r"(?s)(?<=\A\\boxed ).*|(?<=\A\\boxed\{).*(?=\}\z)"), F.lit(0))
+    return F.try_element_at(inside, F.lit(1))
 
 
 def empty_or_error(x) -> Column:

@@ -14,6 +14,8 @@ from rollumen.streaming.resume import Run, keyed_state, opened, staged, work_fol
 QUERIES, ORACLE_SQL = {}, {}
 #: Events may come so late; the driver's span 30 days, which are staged in PARTS.
 LATE, PARTS = "16 days", 4
+#: Rows of a state, about.
+BUCKET = 2_000
 
 
 def query(name: str, sql: str | None = None):
@@ -76,7 +78,7 @@ def _folded(spark: SparkSession, rows: DataFrame, at: str, order: str, fold, out
     tick = ticks(rows, at, LATE)
     source = staged(rows.unionByName(tick), at, PARTS, f"{folder}/in")
     with keyed_state(spark):
-        stream = ordered_fold(source, "user_id", at, LATE, [order], fold, out)
+        stream = ordered_fold(source, "user_id", at, LATE, [order], fold, out, 1 + rows.count() // BUCKET)
         run = Run(spark, f"{folder}/run")
         run.advance(stream)
         tick.write.parquet(f"{folder}/in/part={PARTS}")  # the first tick moves the watermark for the batch of the second

@@ -29,8 +29,10 @@ def _plain(frame: pd.DataFrame) -> list[list]:
 
 
 class _Ordered(StatefulProcessor):
-    def __init__(self, key: str, order: list[str], fields: list[str], fold: Fold, columns: list[str]) -> None:
-        self.key, self.order, self.fields, self.fold, self.columns = key, order, fields, fold, columns
+    """State of one key, or of a bucket of keys, whose rows wait in one list and whose folds go on side by side."""
+
+    def __init__(self, key: str, order: list[str], fields: list[str], fold: Fold, columns: list[str], buckets: bool) -> None:
+        self.key, self.order, self.fields, self.fold, self.columns, self.buckets = key, order, fields, fold, columns, buckets
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -38,7 +40,7 @@ class _Ordered(StatefulProcessor):
 
     def _load(self) -> dict:
         got = self.held.get()
-        return json.loads(got[0]) if got is not None else {"state": None, "rows": [], "timer": None}
+        return json.loads(got[0]) if got is not None else {"states": {}, "rows": [], "timer": None}
 
     def _save(self, held: dict) -> None:
         """Keep the state, with one timer for the earliest row that waits."""
@@ -54,10 +56,10 @@ class _Ordered(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self._load()
         for frame in rows:
-            held["rows"] += _plain(frame[[MICROS, *self.fields]])
+            held["rows"] += _plain(frame[[MICROS, *self.fields, *([self.key] if self.buckets else [])]])
         held["rows"].sort(key=lambda r: (r[0], *(r[1 + self.fields.index(o)] for o in self.order)))
         self._save(held)
-        yield pd.DataFrame([], columns=self.columns)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held, out = self._load(), []
@@ -65,26 +67,34 @@ class _Ordered(StatefulProcessor):
         passed = timerValues.getCurrentWatermarkInMs()
         n = next((k for k, r in enumerate(held["rows"]) if r[0] // 1000 >= passed), len(held["rows"]))
         for r in held["rows"][:n]:
-            held["state"], got = self.fold(held["state"], dict(zip(self.fields, r[1:])))
-            out += [(key[0], *g) for g in got]
+            own = r[-1] if self.buckets else key[0]
+            name = json.dumps(r[-1]) if self.buckets else ""
+            held["states"][name], got = self.fold(held["states"].get(name), dict(zip(self.fields, r[1:])))
+            out += [(own, *g) for g in got]
         held["rows"] = held["rows"][n:]
         self._save(held)
-        yield pd.DataFrame(out, columns=self.columns)
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
         pass
 
 
-def ordered_fold(stream: DataFrame, key: str, at: str, late: str, order: list[str], fold: Fold, out: str) -> DataFrame:
+def ordered_fold(stream: DataFrame, key: str, at: str, late: str, order: list[str], fold: Fold, out: str, buckets: int | None = None) -> DataFrame:
     """stream folded by key in the order of the timestamp `at`, then of `order`; rows may come up to `late` behind the latest one. `out`: the fields of
-    fold's rows, which come after the key. Rows without a key or a time are left out. A row is let through when a later one has moved the watermark past it; ticks() adds a last one."""
+    fold's rows, which come after the key. Rows without a key or a time are left out. A row is let through when a later one has moved the watermark past it; ticks() adds a last one. With
+    `buckets` the keys (of JSON types) are dealt to so many states, each of which should get some thousand rows: a state costs several calls in each batch, whatever it holds."""
     fields = [c for c in stream.columns if c not in (key, at)]
     kind = stream.schema[key].dataType.simpleString()
     schema = StructType.fromDDL(f"{key} {kind}, {out}")
     rows = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).withColumn(MICROS, F.unix_micros(at))
     # one condition that reads the time, so that it isn't moved before the watermark, which ticks move
     rows = rows.filter(F.when(F.col(at).isNotNull(), F.col(key).isNotNull()).otherwise(False))
-    return rows.groupBy(key).transformWithStateInPandas(_Ordered(key, order, fields, fold, schema.names), schema, "Append", "EventTime")
+    group = key
+    if buckets is not None:
+        group = "bucket_of_keys"
+        rows = rows.withColumn(group, F.pmod(F.xxhash64(key), F.lit(buckets)))
+    return rows.groupBy(group).transformWithStateInPandas(_Ordered(key, order, fields, fold, schema.names, buckets is not None), schema, "Append", "EventTime")
 
 
 def ticks(rows: DataFrame, at: str, late: str) -> DataFrame:

@@ -105,3 +105,28 @@ def test_generating_ends_by_itself(spark, tmp_path):
     log.append(spark.range(8, 10))
     generating(log, run, spark.range(1).schema, lambda rows, k: rows.filter("id > 1").select(F.floor(F.col("id") / 2).alias("id")), 50)
     assert sorted(r.id for r in run.rows(spark.range(1).schema).collect()) == [1, 1, 2, 2, 4, 4, 8, 9]
+
+
+def test_keys_of_a_bucket_are_folded_by_themselves(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [(k % 5, at((k * 7) % 60), k) for k in range(40)]
+    df = spark.createDataFrame(rows, "k long, ts timestamp, id long")
+    df.filter("id % 2 = 0").write.parquet(f"{tmp_path}/in/part=0")
+    stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+
+    def fold(state, row):
+        seen = [*(state or []), row["id"]]
+        return seen, [(",".join(map(str, seen)),)]
+
+    with keyed_state(spark):
+        out = ordered_fold(stream, "k", "ts", "5 minutes", ["id"], fold, "seen string", buckets=2)
+        run = Run(spark, f"{tmp_path}/run")
+        for k, more in enumerate((df.filter("id % 2 = 1"), ticks(df, "ts", "5 minutes"), ticks(df, "ts", "5 minutes"))):
+            run.advance(out)
+            more.write.parquet(f"{tmp_path}/in/part={k + 1}")
+        run.advance(out)
+    want = []
+    for key in range(5):
+        own = [str(r[2]) for r in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]))]
+        want += [(key, ",".join(own[: n + 1])) for n in range(len(own))]
+    assert sorted((r.k, r.seen) for r in run.rows(out.schema).collect()) == sorted(want)

@@ -108,3 +108,24 @@ def test_stages_on_odd_rows(spark):
     for _, stage in pipeline.STAGES:
         assert stage(spark, odd, SMALL).count() >= 1
         assert stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_the_order_of_shingles_changes_no_group(spark, monkeypatch):
+    """frequent_shingles() counts some documents only; any counts give the same groups."""
+    from conftest import SMALL
+
+    from rollumen.llm import simhash
+    from rollumen.llm.common import documents
+
+    docs = documents(spark, SMALL)
+    groups = lambda: sorted(map(tuple, simhash.near_duplicates(docs.select("doc_id", "text")).collect()))
+    want, counted = groups(), simhash.frequent_shingles
+    assert len({r[1] for r in want}) < len(want)
+
+    def reversed_counts(docs, size):
+        key, n = counted(docs, size)
+        return key, -n
+
+    for other in (reversed_counts, lambda docs, size: (np.zeros(0, np.uint64), np.zeros(0, np.int64))):
+        monkeypatch.setattr(simhash, "frequent_shingles", other)
+        assert groups() == want

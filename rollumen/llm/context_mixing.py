@@ -5,13 +5,14 @@ Huffman code of the training bytes, so the product of the bits' probabilities is
 predictors count the bits seen in hashed contexts: the last one, two, three and four bytes, and the current word's
 bytes so far, each with the node of the code. Their log-odds are combined by weights from a set that a gate picks by how
 much the longer contexts have been seen. A task goes through its texts block by block: it counts a block, and then
-predicts a part of a block's bits, with the bits' own counts taken out, and moves the weights before it goes on
-to the next part. An adaptive map refines each probability, by the depth of the node and the gate, from what followed
+predicts some of a block's bits, with the bits' own counts taken out, and moves the weights before it goes on
+to the next ones. An adaptive map refines each probability, by the depth of the node and the gate, from what followed
 such predictions. Tasks' counters and maps are summed, and their weights averaged by what they saw; scoring uses the sums
 over all tasks.
 
 Two scans learn (tokens and bytes; contexts, weights and maps) and one scores. All cover every training text. What goes to the driver and out again has a fixed size: SLOTS counters, the maps, and HEAVY frequent tokens; other tokens are
-looked up by a join. Equal contexts of a block are computed once. A token is named by its 64-bit XXH64.
+looked up by a join. Equal contexts of a block are computed once, and equal tokens of a lot of texts are looked up once. A token is
+named by its 64-bit XXH64.
 
 Nulls: a null text is the empty one (an end alone); a null id hashes as the empty text. Repeated rows count as often
 as they come, and equal texts have equal scores. Texts of any length are read whole, in pieces of PIECE bytes. An empty
@@ -22,7 +23,6 @@ names, are ignored.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollumen.llm.common import Generations, crc32_text, cut, most_frequent, text_bytes
+from rollumen.llm.common import crc32_text, cut, most_frequent, text_bytes
 
-END, BEFORE, PIECE, BLOCK = 255, 64, 1 << 20, 3 << 19
+END, BEFORE, PIECE, BLOCK, PART = 255, 64, 1 << 20, 3 << 21, 3 << 18
 #: log2 of the counters of each predictor; segments of counters that travel together; frequent tokens that are sent.
 BITS = (16, 18, 20, 21, 23)
 SEGMENT, HEAVY, MERGE = 16, 200_000, 64
+#: bytes of texts whose words are looked up together; different words that a task holds; moves of the weights for a bit.
+WORDS, HELD, TURNS = 1 << 22, 500_000, 16
 BASES = np.cumsum([0, *(1 << b for b in BITS)])
 SLOTS = int(BASES[-1])
 PRIOR = 0.04
@@ -93,11 +95,16 @@ def pieces(texts: Iterable[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
 
 
 def blocks(texts: Iterable[bytes]) -> Iterator[list[tuple[int, bytes, bytes]]]:
+    return filled(pieces(texts), BLOCK)
+
+
+def filled(some: Iterable[tuple[int, bytes, bytes]], most: int) -> Iterator[list[tuple[int, bytes, bytes]]]:
+    """Runs of pieces, each as soon as it has that many bytes."""
     own, size = [], 0
-    for p in pieces(texts):
+    for p in some:
         own.append(p)
         size += len(p[1]) + len(p[2]) + 8
-        if size >= BLOCK:
+        if size >= most:
             yield own
             own, size = [], 0
     if own:
@@ -106,16 +113,35 @@ def blocks(texts: Iterable[bytes]) -> Iterator[list[tuple[int, bytes, bytes]]]:
 
 class Contexts:
     """A block's distinct (contexts, byte): code[u] is the byte, n[u] how often it stands there, base[-1][u] the word's
-    context; of[i] is the u of the i-th coded byte, lengths those of the pieces. Contexts of bytes alone are far fewer:
-    low[u] is the one of u, low_code its byte, base[k] the contexts of the other predictors by low, low_n how often."""
+    context. Contexts of bytes alone are far fewer: low[u] is the one of u, low_code its byte, base[k] the contexts of the
+    other predictors by low, low_n how often. A block is taken in parts of about PART bytes, each of which stays in the
+    processor's caches; what is distinct in them is merged. parts: for each, the u of what is distinct in it, which of
+    those each coded byte is, and the lengths of the pieces."""
 
     def __init__(self, block: list[tuple[int, bytes, bytes]], inverse: bool) -> None:
+        found = [self.part(own, inverse) for own in filled(block, PART)]
+        key, code, x, word, many = (np.concatenate([f[k] for f in found]) for k in range(5))
+        first, of, _ = distinct(key, True)
+        self.n = np.bincount(of, many, len(first)).astype(np.int64)
+        ends = np.cumsum([len(f[0]) for f in found])
+        self.parts = [(of[e - len(f[0]) : e], f[5], f[6]) for e, f in zip(ends, found)] if inverse else []
+        self.code, x, word = code[first], x[first], word[first]
+        kept, self.low, _ = distinct(((x << np.uint64(8)) + self.code + np.uint64(1)) * ODD, True)
+        self.low_n = np.bincount(self.low, self.n, len(kept)).astype(np.int64)
+        self.low_code, x = self.code[kept], x[kept]
+        hashed = [((x >> np.uint64(8 * (3 - k))) + np.uint64(k)) * ODD for k in (1, 2, 3)] + [word * ODD]
+        self.base = [(x >> np.uint64(24)).astype(np.uint32), *((h >> np.uint64(32)).astype(np.uint32) for h in hashed)]
+
+    @staticmethod
+    def part(block: list[tuple[int, bytes, bytes]], inverse: bool) -> tuple:
+        """Of what is distinct: key, byte, the last four bytes before it, the word's hash, how often; which of these each
+        coded byte is; the lengths of the pieces."""
         buf = np.frombuffer(b"".join(x for _, before, data in block for x in (b"\0" * 8, before, data)), np.uint8)
-        self.lengths = np.array([len(data) for _, _, data in block])
+        lengths = np.array([len(data) for _, _, data in block])
         lead = np.array([8 + len(before) for _, before, _ in block])
-        ends = np.cumsum(lead + self.lengths)
+        ends = np.cumsum(lead + lengths)
         coded = np.zeros(len(buf), bool)
-        for a, b in zip((ends - self.lengths).tolist(), ends.tolist()):
+        for a, b in zip((ends - lengths).tolist(), ends.tolist()):
             coded[a:b] = True
         coded, n = coded[8:], len(buf)
         byte = buf[8:]
@@ -136,14 +162,13 @@ class Contexts:
         key += byte
         key *= MIX
         key = key[coded]
-        first, self.of, self.n = distinct(key, inverse)
+        first, of, many = distinct(key, inverse)
         at = np.flatnonzero(coded)[first]
-        self.code, x = byte[at], last4[at]
-        kept, self.low, _ = distinct(((x << np.uint64(8)) + self.code + np.uint64(1)) * ODD, True)
-        self.low_n = np.bincount(self.low, self.n, len(kept)).astype(np.int64)
-        self.low_code, x = self.code[kept], x[kept]
-        hashed = [((x >> np.uint64(8 * (3 - k))) + np.uint64(k)) * ODD for k in (1, 2, 3)] + [word[at] * ODD]
-        self.base = [(x >> np.uint64(24)).astype(np.uint32), *((h >> np.uint64(32)).astype(np.uint32) for h in hashed)]
+        return key[first], byte[at], last4[at], word[at], many, of, lengths
+
+    def sums(self, value: np.ndarray) -> np.ndarray:
+        """The sum over each piece's bytes of values by u."""
+        return np.concatenate([np.add.reduceat(value.take(u).take(of), np.append(0, np.cumsum(lengths)[:-1])) for u, of, lengths in self.parts])
 
     def slots(self, k: int, which: np.ndarray, node: np.ndarray) -> np.ndarray:
         """Predictor k's counters for contexts at nodes of the code."""
@@ -157,38 +182,11 @@ class Contexts:
 
 
 def distinct(key: np.ndarray, inverse: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-    """Place of one of each key, of which each place is, how often. By hashing, over and over for what clashes, as a
-    sort costs several times as much. One half of a key gives the seat and the other tells apart who sits there."""
-    low, high = key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint32)
-    first, counts = [], []
-    of = np.zeros(len(key), np.int32) if inverse else None
-    rest, at, bits = np.arange(len(key), dtype=np.int32), 0, min(30, max(10, (len(key) // 2).bit_length()))
-    for turn in range(64):
-        if turn:
-            low, high = low[~own] * np.uint32(0x9E3779B1) + np.uint32(turn), high[~own]  # noqa: F821
-        slot = low >> np.uint32(32 - bits)
-        seat = np.empty(1 << bits, np.int32)
-        seat[slot] = np.arange(len(slot), dtype=np.int32)
-        own = high.take(seat.take(slot)) == high
-        all_in = bool(own.all())
-        kept = slot if all_in else slot[own]
-        taken = np.bincount(kept, minlength=1 << bits)
-        full = np.flatnonzero(taken)
-        first.append(rest[seat[full]])
-        counts.append(taken[full])
-        if inverse:
-            taken[full] = np.arange(at, at + len(full))
-            found = taken.take(kept)
-            if all_in and not turn:
-                of[:] = found
-            else:
-                of[rest if all_in else rest[own]] = found
-        at += len(full)
-        rest = rest[~own]
-        if not len(rest):
-            break
-        bits = min(30, max(10, len(rest).bit_length()))
-    return np.concatenate(first), of, np.concatenate(counts)
+    """Place of one of each key, of which each place is, how often. By hashing, as a sort costs several times as much."""
+    of, kept = pd.factorize(key)
+    first = np.empty(len(kept), np.int32)
+    first[of] = np.arange(len(of), dtype=np.int32)
+    return first, of.astype(np.int32) if inverse else None, np.bincount(of, minlength=len(kept))
 
 
 def levels(n: np.ndarray, most: int) -> np.ndarray:
@@ -311,8 +309,7 @@ class Model:
                 at *= 2
                 at += b
                 log[which] += self.logs.take(at)
-            per = np.add.reduceat(log[c.of], np.append(0, np.cumsum(c.lengths)[:-1]))
-            np.add.at(out, [k for k, _, _ in block], per / np.log(10))
+            np.add.at(out, [k for k, _, _ in block], c.sums(log) / np.log(10))
         return out[of]
 
 
@@ -324,35 +321,78 @@ def train_part(docs: DataFrame) -> DataFrame:
     return texts_of(docs.filter(crc32_text() % 5 != 1)).select("text")
 
 
+def lots(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """The texts in lower case and in order, about WORDS bytes at a time."""
+    own, size = [], 0
+    for text in texts:
+        own.append(text.lower())
+        size += len(text) + 1
+        if size >= WORDS:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the different words, which of them each word is, how many words each text has."""
+    from xxhash import xxh64_intdigest
+
+    words, per = [], []
+    for text in texts:
+        own = text.split()
+        words += own
+        per.append(len(own))
+    of, names = pd.factorize(np.fromiter(map(xxh64_intdigest, words), "<u8", len(words)).view("<i8"))
+    return names, of, np.array(per)
+
+
+def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its numbers."""
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def word_counts(some: Iterable[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Names of words and how often they occur; a name comes again when more than HELD different ones have been."""
+    held, size = [], 0
+    for texts in some:
+        names, of, _ = words_of(texts)
+        held.append((names, np.bincount(of, minlength=len(names))))
+        size += len(names)
+        if size > 2 * HELD:
+            held = [added(*map(np.concatenate, zip(*held)))]
+            size = len(held[0][0])
+            if size > HELD:
+                yield held.pop()
+                size = 0
+    if held:
+        yield added(*map(np.concatenate, zip(*held)))
+
+
 def gather_tokens(train: DataFrame) -> DataFrame:
     """(kind, key, n): 0 for tokens by hash, 1 for bytes by value, 2 for texts."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+        histogram, texts = np.zeros(256, np.int64), np.zeros(1, np.int64)
 
-        seen: Counter = Counter()
-        histogram, texts = np.zeros(256, np.int64), 0
+        def watched() -> Iterator[list[bytes]]:
+            for b in batches:
+                for lot in lots(text_bytes(b.column(0))):
+                    histogram[:] += np.bincount(np.frombuffer(b"".join(lot), np.uint8), minlength=256)
+                    texts[:] += len(lot)
+                    yield lot
 
-        def tokens() -> pa.RecordBatch:
-            keys = np.fromiter((xxh64_intdigest(w) for w in seen), "<u8", len(seen)).view("<i8")
-            n = np.fromiter(seen.values(), np.int64, len(seen))
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(keys), pa.array(n)], names=["kind", "key", "n"])
+        def row(keys: np.ndarray, n: np.ndarray, kind: int = 0) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(keys), pa.array(n)], names=["kind", "key", "n"])
 
-        for b in batches:
-            for text in text_bytes(b.column(0)):
-                text = text.lower()
-                seen.update(text.split())
-                histogram += np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-                texts += 1
-            if len(seen) > 500_000:
-                yield tokens()
-                seen.clear()
-        if seen:
-            yield tokens()
-        histogram[END] += texts
-        keys = np.append(np.arange(256), 0)
-        kinds = np.append(np.ones(256, np.int32), 2).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys), pa.array(np.append(histogram, texts))], names=["kind", "key", "n"])
+        for keys, n in word_counts(watched()):
+            yield row(keys, n)
+        histogram[END] += texts[0]
+        yield row(np.arange(256), histogram, 1)
+        yield row(np.zeros(1, np.int64), texts, 2)
 
     return train.mapInArrow(scan, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
@@ -401,11 +441,12 @@ class Learner:
         for c in held:
             for d, which, b, x, gate in bit_rounds(c, self.code, counted(self.flat)):
                 n = c.n[which].astype(np.int32)
-                step = max(1 << 13, len(which) // 4)
-                for a in range(0, len(which), step):  # predict, then move the weights
-                    xs, gs, ns = x[:, a : a + step], gate[a : a + step], n[a : a + step]
+                # contexts come in the order of their first places: each turn has some of all, frequent ones and others
+                turns = max(1, min(TURNS, len(which) >> 13))
+                for a in range(turns):  # predict, then move the weights
+                    xs, gs, ns = x[:, a::turns], gate[a::turns], n[a::turns]
                     p = 1 / (1 + np.exp(-mixed(xs, gs, self.w.astype(np.float32))))
-                    miss = (b[a : a + step] - p) * ns
+                    miss = (b[a::turns] - p) * ns
                     many = np.bincount(gs, ns, GATES)
                     grad = np.stack([np.bincount(gs, miss * xs[k], GATES) for k in range(INPUTS)], 1) / np.maximum(many, 1)[:, None]
                     self.g2 += grad * grad
@@ -502,39 +543,38 @@ def mixing_scores(docs: DataFrame) -> DataFrame:
     sums = words.agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).first()
     n, v = (sums["n"] or 0) + n_texts, sums["v"] + (n_texts > 0)
     low = float(np.log10(n + 0.5 * (v + 1)))
-    heavy = {r["key"]: r["n"] for r in most_frequent(words, "n", HEAVY).collect()}
+    heavy = np.array(most_frequent(words, "n", HEAVY).select("key", "n").collect(), np.int64).reshape(-1, 2)
+    heavy = heavy[np.argsort(heavy[:, 0])]
     code = huffman(histogram)
     counters, weights, maps = learn_contexts(train, code)
     shared = spark.sparkContext.broadcast(counters)
     del counters
-    frequent = spark.sparkContext.broadcast(heavy)
+    # no logarithm behind the last one, where a search for other names may end
+    frequent = spark.sparkContext.broadcast((heavy[:, 0], np.append(np.log10(heavy[:, 1] + 0.5), np.nan)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     end = float(np.log10(n_texts + 0.5))
 
-    def known_log(word: bytes) -> float:
-        """log10(c + 0.5) of frequent tokens, not a number for others."""
-        from xxhash import xxh64_intdigest
-
-        key = int(np.uint64(xxh64_intdigest(word)).view(np.int64))
-        return float(np.log10(frequent.value[key] + 0.5)) if key in frequent.value else np.nan
-
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+        model, (known, logs) = Model(histogram, shared.value, weights, maps), frequent.value
+        padded = np.append(known, 0)
+
+        def based(lot: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """For each text: words, frequent ones, their logarithms' sum; the names of all others."""
+            names, of, per = words_of(lot)
+            at = np.searchsorted(known, names)
+            at[padded.take(at) != names] = len(known)
+            log = logs.take(at).take(of)
+            odd, own = np.isnan(log), np.repeat(np.arange(len(lot)), per)
+            log[odd] = 0
+            return per, per - np.bincount(own[odd], minlength=len(lot)), np.bincount(own, log, len(lot)), names.take(of[odd])
 
-        model, known = Model(histogram, shared.value, weights, maps), Generations(HEAVY // 2, known_log)
         for b in batches:
             texts = list(text_bytes(b.column(2)))
-            many, common, base, rare = [], [], [], []
-            for text in texts:
-                own = text.lower().split()
-                logs = np.fromiter(map(known.__getitem__, own), float, len(own))
-                odd = np.flatnonzero(np.isnan(logs))
-                many.append(len(own) + 1)
-                common.append(len(own) - len(odd) + (n_texts > 0))
-                base.append(float(np.nansum(logs)) + end)
-                rare.append(np.fromiter((xxh64_intdigest(own[i]) for i in odd.tolist()), "<u8", len(odd)).view("<i8"))
+            empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+            many, common, base, rare = (np.concatenate(x) for x in zip(empty, *map(based, lots(texts))))
+            rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many - common)), pa.int32()), pa.array(rare))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(many, pa.int64()), pa.array(common, pa.int64()), pa.array(base), pa.array(rare, pa.list_(pa.int64())), pa.array(model.scores(texts))],
+                [b.column(0), b.column(1), pa.array(many + 1), pa.array(common + (n_texts > 0)), pa.array(base + end), rare, pa.array(model.scores(texts))],
                 names=["row", "doc_id", "n_tokens", "common", "base", "rare", "score"],
             )
 

@@ -116,6 +116,61 @@ def test_distinct_against_unique():
     assert sorted(key[first]) == sorted(np.unique(key)) and (key[first][of] == key).all() and n.sum() == len(key)
 
 
+def test_mixing_predicts_equal_contexts_once(monkeypatch):
+    # two megabytes and more of nearly equal texts are no more work than one of the texts
+    c, r = context_mixing, random.Random(5)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(300)]
+    text = " ".join(r.choices(words, k=120_000)).encode()
+    model = c.Model(np.bincount(np.frombuffer(text, np.uint8), minlength=256), np.ones(c.SLOTS, np.uint32), np.full((c.GATES, c.INPUTS), 0.3), c.fresh_maps())
+    seen, plain = [], c.bit_rounds
+
+    def spied(own, *rest):
+        seen.append(len(own.code))
+        return plain(own, *rest)
+
+    monkeypatch.setattr(c, "bit_rounds", spied)
+    one = model.scores([text])[0]
+    many = model.scores([text + b" " + w.encode() for w in words[:4]])
+    assert 4 * len(text) > 3 << 19 and sum(seen[1:]) < 1.1 * seen[0]
+    assert (many < one).all() and (many > one * 1.01).all()
+
+
+def test_mixing_parts_of_a_block(monkeypatch):
+    c = context_mixing
+    texts = [sentence(random.Random(k % 7), 30).encode() for k in range(20)] + [b""]
+    block = list(c.pieces(texts))
+    whole = c.Contexts(block, True)
+    monkeypatch.setattr(c, "PART", 300)
+    cut = c.Contexts(block, True)
+    assert len(cut.parts) > 4 and len(whole.parts) == 1
+    for x in (whole, cut):
+        assert (x.sums(np.ones(len(x.code))) == [len(t) + 1 for t in texts]).all() and x.n.sum() == x.low_n.sum() == sum(len(t) + 1 for t in texts)
+    of = lambda x: Counter(zip(x.code.tolist(), x.base[-1].tolist(), x.base[2][x.low].tolist(), x.n.tolist()))
+    assert of(whole) == of(cut)
+
+
+def test_mixing_word_counts(monkeypatch):
+    from xxhash import xxh64_intdigest
+
+    c = context_mixing
+    texts = [b"", b" \t\n", b"The cat\x0bthe\x0cCAT \x1c\xc2\xa0", b"  a "] + [sentence(random.Random(k), 40).encode() for k in range(30)]
+    want = Counter(np.uint64(xxh64_intdigest(w)).view(np.int64) for t in texts for w in re.findall(rb"[^\x20\x09-\x0D]+", t.lower()))
+    monkeypatch.setattr(c, "WORDS", 300)
+    own = list(c.lots(texts))
+    assert [t for lot in own for t in lot] == [t.lower() for t in texts] and len(own) > 4
+    names, of, per = c.words_of(own[0])
+    assert len(set(names)) == len(names) and len(of) == per.sum() and per[:4].tolist() == [0, 0, 5, 1]
+    for most in (10, 60, 10_000):  # given on often, now and then, at the end
+        monkeypatch.setattr(c, "HELD", most)
+        got = Counter()
+        for keys, n in c.word_counts(own):
+            assert len(set(keys.tolist())) == len(keys)
+            for k, m in zip(keys, n):
+                got[k] += int(m)
+        assert got == want
+    assert list(c.word_counts([])) == []
+
+
 def test_scores_against_a_loop():
     """The model's probability of texts, bit by bit in plain integers and floating-point numbers."""
     c = context_mixing

@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 
 from rollumen.llm.common import crc32_text, cut, most_frequent, text_bytes
 
-END, BEFORE, PIECE, BLOCK, PART = 255, 64, 1 << 20, 3 << 21, 3 << 18
+END, BEFORE, PIECE, BLOCK, PART = 255, 64, 1 << 20, 3 << 20, 3 << 18
 #: log2 of the counters of each predictor; segments of counters that travel together; frequent tokens that are sent.
 BITS = (16, 18, 20, 21, 23)
 SEGMENT, HEAVY, MERGE = 16, 200_000, 64
 #: bytes of texts whose words are looked up together; different words that a task holds; moves of the weights for a bit.
-WORDS, HELD, TURNS = 1 << 22, 500_000, 16
+WORDS, HELD, TURNS = 1 << 21, 500_000, 16
 BASES = np.cumsum([0, *(1 << b for b in BITS)])
 SLOTS = int(BASES[-1])
 PRIOR = 0.04
@@ -310,6 +310,7 @@ class Model:
                 at += b
                 log[which] += self.logs.take(at)
             np.add.at(out, [k for k, _, _ in block], c.sums(log) / np.log(10))
+            del c  # not beside the next one
         return out[of]
 
 
